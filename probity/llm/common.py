@@ -53,9 +53,13 @@ def drop_stage(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every staged table of this driver. Only for when no result that reads one is still to be computed."""
-    for path in list(_scratch):
+def scratch_paths() -> list[str]:
+    return list(_scratch)
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete the staged tables at these paths; those that are gone already don't matter."""
+    for path in paths:
         _delete(spark, path)
 
 

@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probity.llm import decontam, html_text, langid, minhash, mixing, quality, tokens, toxicity
+from probity.llm import decontam, html_text, langid, minhash, mixing, quality, substrings, tokens, toxicity
 from probity.llm.common import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -73,10 +73,15 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.count_tokens(docs, public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_minhash, op4_langid, op6_decontamination, op7_mixing, op8_html, op10_tokens)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_minhash, op4_langid, op6_decontamination, op7_mixing, op8_html, op9_suffixes, op10_tokens)}
 ORACLE_SQL: dict[str, str] = {"op6_decontamination": OP6_SQL}

@@ -25,7 +25,10 @@ def words(text: Column) -> Column:
 
 
 def _prints(df: DataFrame, ws: str) -> DataFrame:
-    """df with prints: the distinct least hashes of the windows of WINDOW words; empty for fewer words."""
+    """df with prints: the distinct least hashes of the windows of WINDOW words; empty for fewer words.
+
+    Rows are made of them by an outer explode: for an inner one Spark first tests for empty arrays, for
+    which it would compute the hashes several times over."""
     span = WINDOW - GRAM + 1
     h = F.col("_h")
     df = df.withColumn("_h", F.transform(F.col(ws), lambda w: F.xxhash64(w)))
@@ -66,13 +69,13 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", key: st
 
     found = []
     if WINDOW in lengths:
-        b = _prints(grams.where(F.col("len") == WINDOW).select(F.split("gram", " ").alias("ws")), "ws").select(F.explode("prints").alias("print")).distinct()
-        d = _prints(base, "ws").select("_h1", "_h2", F.explode("prints").alias("print"))
+        b = _prints(grams.where(F.col("len") == WINDOW).select(F.split("gram", " ").alias("ws")), "ws").select(F.explode_outer("prints").alias("print")).distinct()
+        d = _prints(base, "ws").select("_h1", "_h2", F.explode_outer("prints").alias("print"))
         found.append(d.join(b, "print", "left_semi").select("_h1", "_h2"))
     for n in [n for n in lengths if n < WINDOW]:
         b = grams.where(F.col("len") == n).select(F.xxhash64("gram").alias("print")).distinct()
         short = F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("ws", i, n), " ")))
-        d = base.where(F.size("ws") >= n).select("_h1", "_h2", F.explode(F.array_distinct(short)).alias("print"))
+        d = base.where(F.size("ws") >= n).select("_h1", "_h2", F.explode_outer(F.array_distinct(short)).alias("print"))
         found.append(d.join(b, "print", "left_semi").select("_h1", "_h2"))
     if not found:
         return out.select(*keep, "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
@@ -85,7 +88,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", key: st
     texts = base.join(suspects, ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"])
     hits = None
     for n in lengths:
-        at = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: F.array_join(F.slice("ws", i, n), " ")))
+        at = F.posexplode_outer(F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: F.array_join(F.slice("ws", i, n), " ")))
         d = texts.where(F.size("ws") >= n).select("_h1", "_h2", at.alias("pos", "gram"))
         g = grams.where(F.col("len") == n).select("gram", "item")
         part = d.join(g, "gram").select("_h1", "_h2", "pos", (F.col("pos") + n).alias("end"), "item")

@@ -1,9 +1,7 @@
 """Registry of the engine's own queries and their SQL."""
 from __future__ import annotations
 
-from collections.abc import Callable
+from probity.plans import text_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = dict(text_queries.QUERIES)
+ORACLE_SQL = dict(text_queries.SQL)

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from probity.llm.common import drop_stage, stage
 
 #: Neighbours and sampled reverse neighbours of a node; first blocks' trees and size; rounds of local joins.
-K, REVERSE, TREES, BLOCK, ROUNDS = 32, 16, 6, 4096, 2
+K, REVERSE, TREES, BLOCK, ROUNDS = 32, 16, 8, 4096, 2
 #: Search: nodes kept for each query, nodes expanded in a round, rounds.
-POOL, EXPAND, HOPS = 96, 24, 3
+POOL, EXPAND, HOPS = 128, 32, 4
 TOP = 20
 SEED = 5
 

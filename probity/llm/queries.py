@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probity.llm import decontam, html_text, langid, minhash, mixing, quality, substrings, tokens, toxicity
+from probity.llm import decontam, html_text, langid, minhash, mixing, neighbours, quality, substrings, tokens, toxicity
 from probity.llm.common import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -40,6 +40,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
@@ -83,5 +87,5 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs, public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_minhash, op4_langid, op6_decontamination, op7_mixing, op8_html, op9_suffixes, op10_tokens)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_minhash, op4_langid, op5_neighbours, op6_decontamination, op7_mixing, op8_html, op9_suffixes, op10_tokens)}
 ORACLE_SQL: dict[str, str] = {"op6_decontamination": OP6_SQL}

@@ -1,7 +1,7 @@
 """Registry of the engine's own queries and their SQL."""
 from __future__ import annotations
 
-from probity.plans import text_queries
+from probity.plans import activity_queries, text_queries
 
-QUERIES = dict(text_queries.QUERIES)
-ORACLE_SQL = dict(text_queries.SQL)
+QUERIES = text_queries.QUERIES | activity_queries.QUERIES
+ORACLE_SQL = text_queries.SQL | activity_queries.SQL

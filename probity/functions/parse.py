@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from probity import const
 
@@ -22,7 +23,7 @@ HASHTAG = r"(?<![\p{L}\p{N}_])#([\p{L}\p{N}_]{2,})"
 MENTION = r"(?<![\p{L}\p{N}_])@([A-Za-z0-9_.]{2,})"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Character references decoded; there is no built-in for all of them."""
     for s in parts:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast below this estimated size; above it, the join shuffles.
 BROADCAST_BYTES = 64 << 20
 #: Bytes of text that one vectorised step handles at a time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _scratch: list[str] = []
 

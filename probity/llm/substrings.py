@@ -30,7 +30,7 @@ from probity.llm.common import drop_stage, mix, slices, stage, utf8
 LENGTH, GRAM = 50, 20
 LEAD = LENGTH - GRAM
 WIDE = LEAD + LENGTH
-PACK = 1 << 20
+PACK = 1 << 19
 #: Text bytes that a range answers for, about; and ranges at least.
 RANGE_BYTES, RANGES = 64 << 20, 64
 #: Anchors that more packs hold send windows; groups of more contexts compare windows.

@@ -80,6 +80,8 @@ class Pack:
         self.off = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
         self.pos = np.zeros(0, np.int64)
         self.hash = np.zeros(0, U)
+        self.doc = np.zeros(0, np.int64)
+        self.valid = np.zeros(0, bool)
         if len(data) < LENGTH:
             return
         h = mix(gram_hashes(data, GRAM))

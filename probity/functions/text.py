@@ -101,6 +101,6 @@ def char_entropy(df: DataFrame, key: str, t: str) -> DataFrame:
 
     Characters are summed by key before they are shuffled. Keys must be unique; null texts have entropy 0."""
     chars = df.select(key, F.explode_outer(F.split(F.lower(F.when(F.length(t) >= 2, F.col(t))), "")).alias("c"))
-    k = chars.groupBy(key, "c").agg(F.count("c").alias("k")).where("k > 0 or c is null")
-    h = k.groupBy(key).agg(F.sum("k").alias("n"), F.sum(F.when(F.col("k") > 0, F.col("k") * F.log2("k")).otherwise(0.0)).alias("s"))
+    k = chars.groupBy(key, "c").agg(F.count("c").alias("_n_c")).where("_n_c > 0 or c is null")
+    h = k.groupBy(key).agg(F.sum("_n_c").alias("n"), F.sum(F.when(F.col("_n_c") > 0, F.col("_n_c") * F.log2("_n_c")).otherwise(0.0)).alias("s"))
     return h.select(key, F.when(F.col("n") > 1, F.greatest(F.lit(0.0), F.log2("n") - F.col("s") / F.col("n"))).otherwise(0.0).alias("entropy"))

@@ -16,12 +16,13 @@ Every byte that a LENGTH-byte string covers which also starts in a document with
 """
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
@@ -288,11 +289,19 @@ def pack_documents(docs: DataFrame) -> DataFrame:
                 data, off = utf8(part.column(1))
                 number += 1
                 one = lambda col: pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), col)
-                yield pa.RecordBatch.from_arrays([pa.array([number]), one(part.column(0)), one(pa.array(np.diff(off).astype(np.int32))), one(part.column(2)), pa.array([data.tobytes()], pa.binary())], names=["pack", "ids", "lens", "rows", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([number]), one(part.column(0)), one(pa.array(np.diff(off).astype(np.int32))), one(part.column(2)), pa.array([pressed(data.tobytes())], pa.binary())], names=["pack", "ids", "lens", "rows", "data"])
 
     return docs.select("doc_id", "text", "row").mapInArrow(run, schema)
 
 
+def pressed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + bytes(pa.Codec("zstd", 3).compress(raw, asbytes=True))
+
+
+def unpressed(blob: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+
+
 #: Rows without an id come after all others: nothing is removed for them, and nothing from them.
 NO_ID = -(1 << 63)
 
@@ -302,7 +311,7 @@ def _packs(batch: pa.RecordBatch) -> Iterator[tuple[int, Pack]]:
     for i in range(batch.num_rows):
         get = lambda c, i=i: batch.column(names.index(c))[i]
         ids = get("ids").values.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-        data = np.frombuffer(get("data").as_buffer(), np.uint8)
+        data = np.frombuffer(unpressed(get("data").as_py()), np.uint8)
         lens = get("lens").values.to_numpy(zero_copy_only=False).astype(np.int64)
         if (ids == NO_ID).any():  # their bytes take no part: an unmatched place each
             keep = ids != NO_ID
@@ -331,7 +340,22 @@ def _blobs(row: dict) -> pa.RecordBatch:
 
 
 BLOB = "kind int, range int, pack long, blob binary"
-_CONTEXT = np.dtype([("anchor", "<u8"), ("least", "<i8"), ("entry", "<u4"), ("size", "u1"), ("lead", "u1")])
+def write_contexts(least: np.ndarray, entry: np.ndarray, size: np.ndarray, lead: np.ndarray, data: np.ndarray) -> bytes:
+    head = b"".join(x.tobytes() for x in (least.astype("<i8"), np.diff(entry, prepend=0).astype("<u4"), size.astype("u1"), lead.astype("u1")))
+    return pressed(len(least).to_bytes(4, "little") + head + data.tobytes())
+
+
+def read_contexts(blob: bytes) -> tuple[np.ndarray, ...]:
+    raw = unpressed(blob)
+    n = int.from_bytes(raw[:4], "little")
+    at, out = 4, []
+    for kind in ("<i8", "<u4", "u1", "u1"):
+        out.append(np.frombuffer(raw, kind, n, at).astype(np.int64))
+        at += n * np.dtype(kind).itemsize
+    out[1] = np.cumsum(out[1])
+    return (*out, np.frombuffer(raw, np.uint8, -1, at))
+
+
 _WINDOW = np.dtype([("key", "<u8"), ("least", "<i8"), ("entry", "<u4")])
 _FOUND = np.dtype([("entry", "<u4"), ("lo", "u1"), ("hi", "u1"), ("least", "<i8")])
 
@@ -344,6 +368,12 @@ def _gathered(batches: Iterator[pa.RecordBatch], kinds: int) -> list[list[tuple[
     return out
 
 
+def _free(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps whose result is written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with the text's remaining bytes, and n_bytes, n_removed, spans behind its columns.
 
@@ -400,6 +430,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     sent = packs.select("pack", "ids", "lens", "data").mapInArrow(send_anchors, BLOB)
     shared = stage(sent.repartition(ranges, "range").mapInArrow(find_shared, BLOB).groupBy("pack").agg(F.collect_list("blob").alias("shared")))
 
+    del sent
+    _free(docs.sparkSession)
+
     def send_contexts(batches):
         for b in batches:
             row = {"kind": [], "range": [], "pack": [], "blob": []}
@@ -409,11 +442,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                 known = np.concatenate([np.frombuffer(x.as_buffer(), U) for x in got[i]])
                 (_, _, start, size, lead, anchor, least, _), (_, _, wkey, wleast) = pack.entries(known)
                 for r, part in _split(anchor, bits):
-                    head = np.zeros(len(part), _CONTEXT)
-                    head["anchor"], head["least"], head["entry"], head["size"], head["lead"] = anchor[part], least[part], part, size[part], lead[part]
                     n = size[part]
                     at = np.repeat(start[part] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
-                    for k, v in (("kind", 0), ("range", r), ("pack", ids[i]), ("blob", len(part).to_bytes(4, "little") + head.tobytes() + pack.data[at].tobytes())):
+                    for k, v in (("kind", 0), ("range", r), ("pack", ids[i]), ("blob", write_contexts(least[part], part, n, lead[part], pack.data[at]))):
                         row[k].append(v)
                 for r, part in _split(wkey, bits):
                     head = np.zeros(len(part), _WINDOW)
@@ -434,27 +465,26 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                     row[k].append(v)
 
         if contexts:
-            heads, bodies = [], []
-            for _, blob in contexts:
-                n = int.from_bytes(blob[:4], "little")
-                heads.append(np.frombuffer(blob, _CONTEXT, n, 4))
-                bodies.append(np.frombuffer(blob, np.uint8, -1, 4 + n * _CONTEXT.itemsize))
-            of = np.repeat(np.arange(len(heads)), [len(x) for x in heads])
-            head, data = np.concatenate(heads), np.concatenate(bodies)
-            size = head["size"].astype(np.int64)
+            read = [read_contexts(blob) for _, blob in contexts]
+            of = np.repeat(np.arange(len(read)), [len(x[0]) for x in read])
+            least, own, size, lead, data = (np.concatenate(c) for c in zip(*read))
+            del read
             start = np.concatenate([[0], np.cumsum(size)])[:-1]
-            # range by range of anchors, so that the working arrays stay small
-            by = np.argsort(head["anchor"], kind="stable")
-            a = head["anchor"][by]
+            anchor = np.zeros(len(start), U)
+            for k in range(GRAM):
+                anchor = anchor * U(BASE) + byte_values()[data[start + lead + k]]
+            # some anchors at a time, so that the working arrays stay small
+            by = np.argsort(anchor, kind="stable")
+            a = anchor[by]
             cut = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
             marks = [0, *cut[np.searchsorted(cut, np.arange(1 << 15, len(by), 1 << 15))[np.searchsorted(cut, np.arange(1 << 15, len(by), 1 << 15)) < len(cut)]], len(by)]
             for lo, hi in zip(marks, marks[1:]):
                 part = by[lo:hi]
                 if not len(part):
                     continue
-                entry, x, y, doc = shared_strings(head["anchor"][part], data, start[part], size[part], head["lead"][part].astype(np.int64), head["least"][part])
+                entry, x, y, doc = shared_strings(anchor[part], data, start[part], size[part], lead[part], least[part])
                 found = np.zeros(len(entry), _FOUND)
-                found["entry"], found["lo"], found["hi"], found["least"] = head["entry"][part][entry], x, y, doc
+                found["entry"], found["lo"], found["hi"], found["least"] = own[part][entry], x, y, doc
                 reply(0, None, [p for p, _ in contexts], found, of[part][entry])
         if windows:
             heads = [np.frombuffer(b, _WINDOW) for _, b in windows]
@@ -470,6 +500,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     asked = packs.join(shared, "pack").select("pack", "ids", "lens", "data", "shared").mapInArrow(send_contexts, BLOB)
     found = stage(asked.repartition(ranges, "range").mapInArrow(compare, BLOB).groupBy("pack").agg(F.collect_list(F.struct("kind", "blob")).alias("found")))
+    del asked
+    _free(docs.sparkSession)
     schema = docs.select(*keep).schema.add(text, BinaryType()).add("n_bytes", LongType()).add("n_removed", LongType()).add("spans", ArrayType(StructType().add("start", LongType()).add("end", LongType())))
 
     def cut(batches):
@@ -509,7 +541,7 @@ def _cover(cover: np.ndarray, pack: Pack, begin: np.ndarray, of: np.ndarray, fou
 def _results(b: pa.RecordBatch, i: int, pack: Pack, gone: np.ndarray, schema: StructType, keep: list[str]) -> Iterator[pa.RecordBatch]:
     names = b.schema.names
     lens = b.column(names.index("lens"))[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
-    data = np.frombuffer(b.column(names.index("data"))[i].as_buffer(), np.uint8)
+    data = np.frombuffer(unpressed(b.column(names.index("data"))[i].as_py()), np.uint8)
     mask = np.zeros(len(data), bool)
     if len(pack.kept_docs) == len(lens):
         mask[:] = gone

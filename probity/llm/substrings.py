@@ -477,7 +477,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             by = np.argsort(anchor, kind="stable")
             a = anchor[by]
             cut = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-            marks = [0, *cut[np.searchsorted(cut, np.arange(1 << 15, len(by), 1 << 15))[np.searchsorted(cut, np.arange(1 << 15, len(by), 1 << 15)) < len(cut)]], len(by)]
+            marks = [0]
+            while marks[-1] < len(by):
+                next_ = np.searchsorted(cut, marks[-1] + (1 << 15))
+                marks.append(int(cut[next_]) if next_ < len(cut) else len(by))
             for lo, hi in zip(marks, marks[1:]):
                 part = by[lo:hi]
                 if not len(part):

@@ -27,6 +27,8 @@ FEATURES = SURFACE + CLASSES * CLASSES
 #: Rows of each kind that the network is fitted on at most, in expectation: positives, and unlabelled rows.
 POSITIVES, UNLABELLED = 20_000, 30_000
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 24, 40, 512, 4e-3, 7
+#: Share of the epochs that use the logistic loss.
+BOUNDED_FROM = 0.5
 
 
 def byte_classes() -> np.ndarray:
@@ -82,8 +84,9 @@ class Network(NamedTuple):
 
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, center: np.ndarray, scale: np.ndarray) -> Network:
-    """Adam steps on the non-negative PU risk with the logistic loss; where a batch's negative part falls
-    below zero, the step ascends that part alone."""
+    """Adam steps on the non-negative PU risk; where a batch's negative part falls below zero, the step
+    ascends that part alone. The logistic loss comes first; the last rounds use the sigmoid loss, which is
+    bounded, so that sure positives add little noise to the negative part."""
     rng = np.random.default_rng(SEED)
     p, u = (np.clip((x - center) / scale, -6, 6) for x in (positive, unlabelled))
     d = p.shape[1]
@@ -102,10 +105,15 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, center:
             h = np.tanh(x @ theta[0] + theta[1])
             z = h @ theta[2] + theta[3][0]
             za, zb = z[: len(a)], z[len(a) :]
-            negative = np.logaddexp(0, zb).mean() - prior * np.logaddexp(0, za).mean()
-            ga, gb = -prior * sig(za) / len(a), sig(zb) / len(b)  # of the negative part
+            pa_, pb = sig(za), sig(zb)
+            if epoch < EPOCHS * BOUNDED_FROM:
+                negative = np.logaddexp(0, zb).mean() - prior * np.logaddexp(0, za).mean()
+                ga, gb, gp = -prior * pa_ / len(a), pb / len(b), -prior * (1 - pa_) / len(a)
+            else:
+                negative = pb.mean() - prior * pa_.mean()
+                ga, gb, gp = -prior * pa_ * (1 - pa_) / len(a), pb * (1 - pb) / len(b), -prior * pa_ * (1 - pa_) / len(a)
             if negative >= 0:
-                g = np.concatenate([ga - prior * sig(-za) / len(a), gb])
+                g = np.concatenate([ga + gp, gb])
             else:
                 g = -np.concatenate([ga, gb])
             gh = np.outer(g, theta[2]) * (1 - h * h)

@@ -7,7 +7,8 @@ at J = 0.85 with a chance below 1e-4.
 
 A table's bucket is searched without listing its pairs: all members are verified against the bucket's
 least document; components of those links settle most buckets; in the others, members outside the
-bucket's commonest component are compared with all members of other components.
+bucket's commonest component are compared with all members of other components, but for those that hold
+too many shingles of their own to be linked with any.
 """
 from __future__ import annotations
 
@@ -213,15 +214,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     open_ = stage(counts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("most.comp").alias("main")))
     sigs = nodes.select(F.col("node").alias("s_node"), "n_shingles", "sig")
     rest = stage(placed.join(open_, "key").join(sigs, F.col("node") == F.col("s_node")).select("key", "node", "comp", "main", "n_shingles", "sig"))
-    x = rest.where("comp <> main").select(F.col("key").alias("x_key"), F.col("node").alias("x"), F.col("comp").alias("x_comp"), F.col("n_shingles").alias("x_n"), F.col("sig").alias("x_sig"))
+    # shingles that no other document of these buckets holds bound what a document can share
+    each = sets.join(rest.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.explode("set").alias("s"))
+    alone = each.groupBy("s").agg(F.count("*").alias("c"), F.min("doc_id").alias("d")).where("c = 1").groupBy("d").agg(F.count("*").alias("u"))
+    most = F.col("n_shingles") - F.coalesce("u", F.lit(0))
+    bounded = rest.join(alone, F.col("node") == F.col("d"), "left").withColumn("most", most).drop("d", "u")
+    rest, full = stage(bounded.where(100 * F.col("most") >= percent * F.col("n_shingles"))), rest
+    x = rest.where("comp <> main").select(F.col("key").alias("x_key"), F.col("node").alias("x"), F.col("comp").alias("x_comp"), F.col("n_shingles").alias("x_n"), F.col("most").alias("x_most"), F.col("sig").alias("x_sig"))
     equal = F.size(F.filter(F.zip_with("sig", "x_sig", lambda p, q: p == q), lambda e: e))
     near = (F.col("key") == F.col("x_key")) & (F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("main")) | (F.col("node") > F.col("x")))
+    near &= (100 + percent) * F.least("most", "x_most") >= percent * (F.col("n_shingles") + F.col("x_n"))
     near &= (100 * F.least("n_shingles", "x_n") >= percent * F.greatest("n_shingles", "x_n")) & (equal >= EQUAL)
     pairs = stage(x.join(rest, near).select(F.col("x").alias("a"), F.col("node").alias("b")).distinct())
     more = stage(_verified(pairs, sets, percent))
     if more.limit(1).count():
         label = components(links.unionByName(more))
-    drop_stage(members, placed, rest, sets)
+    drop_stage(members, placed, rest, full, sets)
 
     # back to every row, by its text's set
     named = alike.join(label, "node", "left").select(F.col("d1").alias("n1"), F.col("d2").alias("n2"), F.coalesce("comp", "node").alias("comp"))

@@ -31,11 +31,11 @@ from probity.llm.common import drop_stage, mix, slices, stage, utf8
 LENGTH, GRAM = 50, 20
 LEAD = LENGTH - GRAM
 WIDE = LEAD + LENGTH
-PACK = 1 << 19
+PACK = 1 << 20
 #: Text bytes that a range answers for, about; and ranges at least.
 RANGE_BYTES, RANGES = 64 << 20, 64
 #: Anchors that more packs hold send windows; groups of more contexts compare windows.
-HOT, GROUP = 16, 24
+HOT, GROUP = 1024, 24
 BASE = 0x9E3779B97F4A7C15 | 1
 SEED = 99
 U = np.uint64
@@ -205,6 +205,19 @@ def suffix_sort(group: np.ndarray, rows: np.ndarray, h: np.ndarray, size: np.nda
     return order
 
 
+def distinct_windows(data: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, class) of the LENGTH-byte strings at pos: by hash, verified on the bytes; by the bytes alone
+    where two strings of one hash differ."""
+    _, first, at = np.unique(mix(gram_hashes(data, LENGTH))[pos], return_index=True, return_inverse=True)
+    span = np.arange(LENGTH)
+    for s in range(0, len(pos), 1 << 16):
+        x, y = pos[s : s + (1 << 16)], pos[first[at[s : s + (1 << 16)]]]
+        if (data[x[:, None] + span] != data[y[:, None] + span]).any():
+            _, first, at = np.unique(np.ascontiguousarray(data[pos[:, None] + span]).view(f"V{LENGTH}").ravel(), return_index=True, return_inverse=True)
+            break
+    return first, at
+
+
 def shared_strings(anchor: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray, lead: np.ndarray, least: np.ndarray):
     """(entry, lo, hi, id): bytes [lo, hi) of the entry's context occur in document id, whose strings of
     LENGTH bytes cover them. Entries are contexts of several packs; equal ones of an anchor are one string."""
@@ -266,14 +279,24 @@ def shared_strings(anchor: np.ndarray, data: np.ndarray, start: np.ndarray, size
             out.append((m, lo_[rep], hi_[rep], doc[rep]))
     many = np.flatnonzero((count > GROUP)[np.argsort(by)][same]) if (count > GROUP).any() else np.zeros(0, np.int64)
     if len(many):
-        w = size[many] - LENGTH + 1
-        rep = np.repeat(many, w)
+        n_of = size[many]
+        begin = np.concatenate([[0], np.cumsum(n_of)])
+        own = data[np.repeat(start[many] - begin[:-1], n_of) + np.arange(begin[-1])]
+        w = n_of - LENGTH + 1
+        rep = np.repeat(np.arange(len(many)), w)
         lo_ = np.arange(len(rep)) - np.repeat(np.concatenate([[0], np.cumsum(w)])[:-1], w)
-        text = data[(start[rep] + lo_)[:, None] + np.arange(LENGTH)]
-        _, at = np.unique(np.ascontiguousarray(text).view(f"V{LENGTH}").ravel(), return_inverse=True)
+        pos = begin[rep] + lo_
+        _, at = distinct_windows(own, pos)
         best = np.full(at.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(best, at, least[rep])
-        out.append((rep, lo_, lo_ + LENGTH, best[at]))
+        np.minimum.at(best, at, least[many][rep])
+        best = best[at]
+        use = np.flatnonzero(best < low[same][many][rep])
+        rep, lo_, best = rep[use], lo_[use], best[use]
+        if len(use):  # neighbouring windows of the same document are one string
+            new = np.concatenate([[True], (rep[1:] != rep[:-1]) | (best[1:] != best[:-1]) | (lo_[1:] != lo_[:-1] + 1)])
+            first_ = np.flatnonzero(new)
+            last_ = np.append(first_[1:], len(use)) - 1
+            out.append((many[rep[first_]], lo_[first_], lo_[last_] + LENGTH, best[first_]))
     entry, lo_, hi_, doc = (np.concatenate(c) for c in zip(*out))
     return entry, lo_, hi_, doc
 

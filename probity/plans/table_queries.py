@@ -125,8 +125,8 @@ def topk_desc(spark, d):
 
 
 @query(
-    "WITH x AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS chars, CAST(quality AS DOUBLE) AS quality, CASE WHEN toxic = 1 THEN 1.0 END AS toxic_rate FROM documents LEFT JOIN labels USING (doc_id)) "
-    "SELECT doc_id, chars, coalesce(quality, (SELECT median(quality) FROM x)) AS quality, coalesce(toxic_rate, 0.0) AS toxic_rate FROM x"
+    "WITH x AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS chars, CAST(quality AS DOUBLE) AS quality, CASE WHEN toxic = 1 THEN 1.0e0 END AS toxic_rate FROM documents LEFT JOIN labels USING (doc_id)) "
+    "SELECT doc_id, chars, coalesce(quality, (SELECT median(quality) FROM x)) AS quality, coalesce(toxic_rate, 0.0e0) AS toxic_rate FROM x"
 )
 def median_imputation(spark, d):
     x = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left").select("doc_id", F.col("n_chars").cast("double").alias("chars"), F.col("quality").cast("double").alias("quality"), F.when(F.col("toxic") == 1, 1.0).alias("toxic_rate"))

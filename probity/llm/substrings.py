@@ -31,11 +31,13 @@ from probity.llm.common import drop_stage, mix, slices, stage, utf8
 LENGTH, GRAM = 50, 20
 LEAD = LENGTH - GRAM
 WIDE = LEAD + LENGTH
-PACK = 1 << 20
+PACK = 1 << 19
+#: Bytes of a pack that are hashed at a time.
+BLOCK = 1 << 16
 #: Text bytes that a range answers for, about; and ranges at least.
 RANGE_BYTES, RANGES = 64 << 20, 64
 #: Anchors that more packs hold send windows; groups of more contexts compare windows.
-HOT, GROUP = 1024, 24
+HOT, GROUP = 2048, 24
 BASE = 0x9E3779B97F4A7C15 | 1
 SEED = 99
 U = np.uint64
@@ -85,16 +87,27 @@ class Pack:
         self.valid = np.zeros(0, bool)
         if len(data) < LENGTH:
             return
-        h = mix(gram_hashes(data, GRAM))
         windows = len(data) - LENGTH + 1
-        ends = np.repeat(self.off[1:], lens)
-        self.valid = np.arange(windows) + LENGTH <= ends[:windows]
-        least = np.where(self.valid, sliding(h, LEAD + 1, np.minimum), U(0))
-        pad = np.zeros(LEAD, U)
-        self.pos = np.flatnonzero((sliding(np.concatenate([pad, least, pad]), LEAD + 1, np.maximum) == h) & (h > 0))
-        self.hash = h[self.pos] & ~U(1)
+        self.valid = np.ones(windows, bool)
+        for lo, end in zip(self.off, self.off[1:]):
+            self.valid[max(lo, end - LENGTH + 1) : end] = False
+        found = [self._block(at, min(at + BLOCK, len(data))) for at in range(0, len(data), BLOCK)]
+        self.pos, self.hash = (np.concatenate(c) for c in zip(*found))
         self.doc = np.searchsorted(self.off, self.pos, side="right") - 1
 
+    def _block(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """The anchors at [lo, hi), and their hashes. A block at a time keeps the arrays small."""
+        first = max(0, lo - LEAD)
+        h = mix(gram_hashes(self.data[first : hi + LENGTH], GRAM))
+        if len(h) <= LEAD:
+            return np.zeros(0, np.int64), np.zeros(0, U)
+        least = sliding(h, LEAD + 1, np.minimum)
+        least = np.where(self.valid[first : first + len(least)], least, U(0))
+        pad = np.zeros(LEAD, U)
+        pos = np.flatnonzero((sliding(np.concatenate([pad, least, pad]), LEAD + 1, np.maximum) == h) & (h > 0))
+        pos = pos[(pos + first >= lo) & (pos + first < hi)]
+        return pos + first, h[pos] & ~U(1)
+
     def anchors(self) -> np.ndarray:
         """The distinct anchor hashes, sorted; the lowest bit tells that two ids of this pack hold it."""
         by = np.argsort(self.hash, kind="stable")
@@ -126,8 +139,11 @@ class Pack:
         key = mix(key ^ ((hi - lo).astype(U) << U(32)) ^ (p - lo).astype(U))
         first, entry, least = self._distinct(key, self.ids[d])
         contexts = (lo, entry, lo[first], (hi - lo)[first], (p - lo)[first], self.hash[cold][first], least, key[first])
-        mask = np.zeros(len(self.data) + 1, np.int32)
         h = np.flatnonzero(hot)
+        if not len(h):
+            z = np.zeros(0, np.int64)
+            return contexts, (z, z, np.zeros(0, U), z)
+        mask = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(mask, np.maximum(self.pos[h] - LEAD, 0), 1)
         np.add.at(mask, self.pos[h] + 1, -1)
         start = np.flatnonzero((np.cumsum(mask)[: len(self.valid)] > 0) & self.valid) if len(h) else np.zeros(0, np.int64)

@@ -226,8 +226,8 @@ def distinct_windows(data: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.
     where two strings of one hash differ."""
     _, first, at = np.unique(mix(gram_hashes(data, LENGTH))[pos], return_index=True, return_inverse=True)
     span = np.arange(LENGTH)
-    for s in range(0, len(pos), 1 << 16):
-        x, y = pos[s : s + (1 << 16)], pos[first[at[s : s + (1 << 16)]]]
+    for s in range(0, len(pos), 1 << 13):
+        x, y = pos[s : s + (1 << 13)], pos[first[at[s : s + (1 << 13)]]]
         if (data[x[:, None] + span] != data[y[:, None] + span]).any():
             _, first, at = np.unique(np.ascontiguousarray(data[pos[:, None] + span]).view(f"V{LENGTH}").ravel(), return_index=True, return_inverse=True)
             break
@@ -241,8 +241,10 @@ def shared_strings(anchor: np.ndarray, data: np.ndarray, start: np.ndarray, size
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z, z
-    cols = np.arange(WIDE)
-    full = np.where(cols < size[:, None], data[np.minimum(start[:, None] + cols, len(data) - 1)], 0).astype(np.uint8)
+    full = np.zeros((n, WIDE), np.uint8)
+    for c in range(WIDE):  # by column: an index of all cells would take eight times the bytes
+        inside = np.flatnonzero(size > c)
+        full[inside, c] = data[start[inside] + c]
     key = np.hstack([anchor[:, None].view(np.uint8).reshape(n, 8), lead[:, None].astype(np.uint8), size[:, None].astype(np.uint8), full])
     _, first, same = np.unique(np.ascontiguousarray(key).view(f"V{key.shape[1]}").ravel(), return_index=True, return_inverse=True)
     low = np.full(len(first), np.iinfo(np.int64).max)

@@ -30,23 +30,24 @@ SMOOTH, RADIUS = 1.0, 2
 
 
 class Lines(HTMLParser):
-    """Collects a page's lines (blocks): text, tags in it, link characters, inside an article, excluded."""
+    """Collects a page's lines (blocks): text, tags in it, link characters, innermost article, innermost main (0: none)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool]] = []  # tag, whether it excludes
         self.out: list[list] = []
         self.parts: list[str] = []
-        self.tags = self.links = self.skipped = self.inside = self.anchors = 0
+        self.tags = self.links = self.skipped = self.anchors = self.regions = 0
+        self.inside: dict[str, list[int]] = {"article": [0], "main": [0]}  # open elements' numbers
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.out.append([text, self.tags, self.links, self.inside > 0])
+            self.out.append([text, self.tags, self.links, self.inside["article"][-1], self.inside["main"][-1]])
         self.parts, self.tags, self.links = [], 0, 0
 
     def excludes(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in NEVER or tag == "header" and not self.inside:
+        if tag in NEVER or tag == "header" and not any(x[-1] for x in self.inside.values()):
             return True
         if tag in ("html", "body", "main"):
             return False
@@ -61,7 +62,8 @@ class Lines(HTMLParser):
     def pop(self, to: int) -> None:
         for tag, out in self.stack[to:]:
             self.skipped -= out
-            self.inside -= tag in ("article", "main")
+            if tag in self.inside:
+                self.inside[tag].pop()
             self.anchors -= tag == "a"
         del self.stack[to:]
 
@@ -91,7 +93,9 @@ class Lines(HTMLParser):
         out = self.excludes(tag, attrs)
         self.stack.append((tag, out))
         self.skipped += out
-        self.inside += tag in ("article", "main")
+        if tag in self.inside:
+            self.regions += 1
+            self.inside[tag].append(self.regions)
         self.anchors += tag == "a"
 
     def handle_startendtag(self, tag, attrs) -> None:
@@ -121,21 +125,34 @@ def content(lines: list[list]) -> list[str]:
     """The lines of the content regions.
 
     A line's ratio is its characters outside links over its tags. Ratios are smoothed by a Gaussian kernel;
-    lines above the standard deviation of the smoothed ratios are content, and so are the lines between the
-    first and the last of them. Where lines lie in an article or main element, they are one region, which a
-    content line of its own selects whole.
+    lines above the standard deviation of the smoothed ratios are content. An article with a content line
+    whose own ratio is above it, too, is one region and stays whole; any other article holds no content
+    (teasers). Elsewhere the lines between two content lines join them, if they lie in the same main element
+    (or all in none) and no article without content is among them. A list of links joins no region.
     """
-    if any(line[3] for line in lines):
-        return [line[0] for line in lines if line[3]]
     if not lines:
         return []
-    ratio = np.array([max(0, len(t) - links) / max(1, tags) for t, tags, links, _ in lines])
+    text, tags, links, article, main = zip(*lines)
+    size, links = np.array(list(map(len, text))), np.array(links)
+    article, main = np.array(article), np.array(main)
+    ratio = np.maximum(0, size - links) / np.maximum(1, tags)
     kernel = np.exp(-(np.arange(-RADIUS, RADIUS + 1) ** 2) / (2 * SMOOTH**2))
     smooth = np.convolve(np.pad(ratio, RADIUS, mode="edge"), kernel / kernel.sum(), mode="valid")
-    chosen = np.flatnonzero((smooth >= min(smooth.std(), smooth.max())) & (ratio > 0))
-    if not len(chosen):
-        return []
-    return [line[0] for line in lines[chosen[0] : chosen[-1] + 1]]
+    least = min(smooth.std(), smooth.max())
+    chosen = (smooth >= least) & (ratio > 0)
+    own = chosen & (ratio >= least)
+    whole = np.isin(article, article[own if own.any() else chosen]) & (article > 0)
+    chosen = whole | chosen & (article == 0)
+    # two or more lines in a row that are mostly links
+    linked = 2 * links >= size
+    listed = linked & (np.append(linked[1:], False) | np.append(False, linked[:-1]))
+    keep = chosen.copy()
+    at = np.flatnonzero(chosen)
+    apart = np.flatnonzero(np.diff(at) > 1)
+    for a, b in zip(at[apart], at[apart + 1]):
+        gap = slice(a + 1, b)
+        keep[gap] = (main[a : b + 1] == main[a]).all() and not article[gap].any()
+    return [text[i] for i in np.flatnonzero(keep & ~listed)]
 
 
 def main_text(html: str | None) -> str:

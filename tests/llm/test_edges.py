@@ -105,6 +105,36 @@ def test_html():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>x</nav>") == ""
 
 
+PARAS = [f"Paragraph {i} " + "tells its story at some length and without any link in it, " * 4 for i in range(6)]
+LINKS = "<ul>" + "".join(f"<li><a href=/{i}>Other story number {i}</a></li>" for i in range(5)) + "</ul>"
+TEASERS = "".join(f"<article><h3><a href=/t{i}>Teaser {i}</a></h3><p>Short words {i}</p></article>" for i in range(6))
+
+
+def body(paras):
+    return "".join(f"<p>{x}</p>" for x in paras)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div>{body(PARAS)}</div><div>{TEASERS}</div>",
+        f"<div>{TEASERS}</div><div>{body(PARAS)}</div>",
+        f"<div>{body(PARAS[:3])}</div>{TEASERS}<div>{body(PARAS[3:])}</div>",
+        f"<main><div>{body(PARAS)}</div>{LINKS}</main>",
+        f"<main><div>{body(PARAS[:3])}{LINKS}{body(PARAS[3:])}</div></main>",
+        f"<main><article>{body(PARAS)}</article><div>" + "".join(f"<div><b>Reader {i}</b><p>I agree</p></div>" for i in range(8)) + "</div></main>",
+    ],
+)
+def test_html_ratios_choose_the_regions(page):
+    assert html_text.main_text(page) == " ".join(" ".join(PARAS).split())
+
+
+def test_html_article_stays_whole():
+    short = ["Note.", "More.", "Thus.", "End."]
+    page = f"<div>{TEASERS}</div><article><h1>Head</h1>{body(PARAS + short)}</article>"
+    assert html_text.main_text(page) == " ".join(" ".join(["Head", *PARAS, *short]).split())
+
+
 def test_scratch_is_shared_folder(spark):
     path = common.scratch_dir(spark)
     assert path.startswith(spark.conf.get("spark.checkpoint.dir"))

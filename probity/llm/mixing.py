@@ -1,9 +1,9 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
-Targets by source come from water-filling; blocks of equal size go to sources, and each source's blocks
-to its shards, by highest quotients size / (2 * seats + 1). Within a shard, documents stand in an order
-that the seed fixes, as one line of tokens; a shard takes its quota of blocks from that line, whole
-passes first and the rest from its start.
+Targets by source come from water-filling; blocks of equal size go to sources, and the tokens of each
+source's blocks (blocks of one) to its shards, by highest quotients size / (2 * seats + 1). Within a shard,
+documents stand in an order that the seed fixes, as one line of tokens; a shard takes its quota of tokens
+from that line, whole passes first and the rest from its start.
 """
 from __future__ import annotations
 
@@ -90,10 +90,10 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     q = quota.select(F.col("source").alias("q_source"), "source_size", "target", "shards", "blocks", F.col("at").alias("source_at"))
     placed = rows.join(q, rows["source"].eqNullSafe(q["q_source"]))
     placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "key", "rank"), F.col("shards")))
-    shards = placed.groupBy("source_at", "shard").agg(F.sum("size").cast("double").alias("shard_size"), F.first("blocks").alias("blocks"))
-    shards = shards.withColumns({"at": F.col("shard"), "most": F.floor(F.col("shard_size") * CAP / block).cast("long")})
-    # where rounding leaves a source more blocks than its shards can hold, they hold what they can
-    shards = stage(apportion(shards, ["source_at"], "shard_size", "blocks", "quota", "most").select(F.col("source_at").alias("s_at"), F.col("shard").alias("s_shard"), F.col("shard_size").cast("long").alias("shard_size"), (F.col("quota") * block).alias("tokens")))
+    shards = placed.groupBy("source_at", "shard").agg(F.sum("size").cast("double").alias("shard_size"), (F.first("blocks") * block).alias("tokens"))
+    # seats of one token: a shard holds CAP * shard_size of them, so the shards of a source hold all its blocks
+    shards = shards.withColumns({"at": F.col("shard"), "most": (F.col("shard_size") * CAP).cast("long")})
+    shards = stage(apportion(shards, ["source_at"], "shard_size", "tokens", "quota", "most").select(F.col("source_at").alias("s_at"), F.col("shard").alias("s_shard"), F.col("shard_size").cast("long").alias("shard_size"), F.col("quota").alias("tokens")))
     line = placed.join(shards, (F.col("source_at") == F.col("s_at")) & (F.col("shard") == F.col("s_shard")))
     w = W.partitionBy("source_at", "shard").orderBy("rank", "key", "size").rowsBetween(W.unboundedPreceding, -1)
     passes = F.when(F.col("shard_size") > 0, F.floor(F.col("tokens") / F.col("shard_size"))).otherwise(0).cast("long")

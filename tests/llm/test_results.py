@@ -109,6 +109,19 @@ def test_mixing(spark):
         assert all(0 <= r["taken"] <= 3 * r["size"] for r in own) and g <= 3 * own[0]["source_size"] + 1e-6
 
 
+@pytest.mark.parametrize("shard_rows", [4, 16, 64, 4096])
+def test_mixing_capped_source_of_many_shards(spark, monkeypatch, shard_rows):
+    monkeypatch.setattr(mixing, "SHARD_ROWS", shard_rows)
+    rows = [(i, "w " * (1 + i % 3), "a") for i in range(3000)] + [(i, "w " * 50, "b") for i in range(3000, 7000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s, size in (("a", 6000), ("b", 200000)):
+        own = [r for r in out if r["source"] == s]
+        goal = own[0]["target"]
+        assert own[0]["source_size"] == size and (s == "b" or goal == pytest.approx(3 * size))
+        assert sum(r["taken"] for r in own) == pytest.approx(goal, abs=2 * 18000 / mixing.GRAIN)
+        assert all(0 <= r["taken"] <= 3 * r["size"] for r in own)
+
+
 def held_out(spark, query, label):
     out = query(spark, "/root/testdata/sf0.01").where("held_out").toPandas()
     lab = duckdb.sql("select * from read_parquet('/root/testdata/sf0.01/labels.parquet')").df()

@@ -2,8 +2,9 @@
 
 Rows of equal vectors are one node. The graph starts from blocks of nodes whose random-projection codes
 agree, then improves by rounds of local joins: each node's neighbours and reverse neighbours are compared
-with each other, and those nearer than a node's farthest neighbour are proposed to it. A query starts at
-its own node's neighbours and, round by round, expands the nearest nodes that it hasn't expanded. Only the
+with each other, and those nearer than a node's farthest neighbour are proposed to it, until a round
+changes less than CHANGED of all neighbours. A query starts at its own node's neighbours and, round by
+round, expands the nearest nodes that it hasn't expanded, until a round leaves its TOP as they were. Only the
 order of candidates is approximate: scores are inner products of the original vectors in double precision.
 """
 from __future__ import annotations
@@ -18,9 +19,13 @@ from pyspark.sql import functions as F
 
 from probity.llm.common import drop_stage, stage
 
-#: Neighbours and sampled reverse neighbours of a node; first blocks' trees and size; rounds of local joins.
+#: Neighbours and sampled reverse neighbours of a node; first blocks' trees and size; rounds of local joins at least.
 K, REVERSE, TREES, BLOCK, ROUNDS = 32, 16, 8, 4096, 2
-#: Search: nodes kept for each query, nodes expanded in a round, rounds.
+#: Local joins end with the round that changes a smaller share of all neighbours.
+CHANGED = 0.01
+#: What a center proposes to a member: its nearest, and as many of the others, another draw each round.
+PROPOSED = 8
+#: Search: nodes kept for each query, nodes expanded in a round, rounds at least.
 POOL, EXPAND, HOPS = 128, 32, 4
 TOP = 20
 SEED = 5
@@ -131,6 +136,7 @@ def improved(graph: DataFrame, points: DataFrame, turn: int) -> DataFrame:
     joined = around.join(state, F.col("member") == F.col("node")).groupBy("center").agg(F.collect_list(F.struct("member", "h", F.when(F.col("held") < K, F.lit(-2.0)).otherwise(F.col("worst")).cast("float").alias("worst"))).alias("m")).select("m.member", "m.h", "m.worst")
 
     def local(batches):
+        rng = np.random.default_rng(turn)
         for b in batches:
             nodes, ids, sims = [], [], []
             for member, h, worst in zip(*b.columns):
@@ -141,8 +147,10 @@ def improved(graph: DataFrame, points: DataFrame, turn: int) -> DataFrame:
                 good = s > worst.values.to_numpy()[:, None]
                 for i in np.flatnonzero(good.any(1)):
                     j = np.flatnonzero(good[i])
-                    if len(j) > 8:
-                        j = j[np.argpartition(-s[i, j], 7)[:8]]
+                    if len(j) > 2 * PROPOSED:
+                        # the nearest may be known to the member already; the others get their turn
+                        by = np.argpartition(-s[i, j], PROPOSED - 1)
+                        j = j[np.append(by[:PROPOSED], rng.choice(by[PROPOSED:], PROPOSED, replace=False))]
                     nodes.append(m[i])
                     ids.append(m[j])
                     sims.append(s[i, j])
@@ -152,34 +160,49 @@ def improved(graph: DataFrame, points: DataFrame, turn: int) -> DataFrame:
     return stage(_merge(graph.unionByName(new)))
 
 
+def changed(old: DataFrame, new: DataFrame) -> float:
+    """The share of new's neighbours that old doesn't have."""
+    was = old.select(F.col("node").alias("was"), F.col("ids").alias("had"))
+    share = new.join(was, F.col("node") == F.col("was")).agg(F.sum(F.size(F.array_except("ids", "had"))) / F.sum(F.size("ids"))).first()[0]
+    return share or 0.0
+
+
 def search(graph: DataFrame, points: DataFrame, queries: DataFrame) -> DataFrame:
-    """queries(q, qh) to (q, ids): the POOL nearest nodes that greedy search finds, the start included."""
-    state = stage(queries.join(graph, F.col("q") == F.col("node")).select("q", "qh", F.concat(F.array("q"), "ids").alias("ids"), F.concat(F.array(F.lit(2.0).cast("float")), "sims").alias("sims"), F.array("q").alias("done")))
-    for hop in range(HOPS):
+    """queries(q, qh) to (q, ids): the nearest nodes that greedy search finds, POOL at least, the start included.
+
+    After HOPS rounds, a query ends with the round that leaves its TOP nearest as they were; the others go on
+    with a wider pool."""
+    state = stage(queries.join(graph, F.col("q") == F.col("node")).select("q", "qh", F.concat(F.array("q"), "ids").alias("ids"), F.concat(F.array(F.lit(2.0).cast("float")), "sims").alias("sims"), F.array("q").alias("done"), F.lit(False).alias("ended")))
+    hop = 0
+    while hop < HOPS or not state.where("not ended").isEmpty():
         open_ = F.slice(F.array_except("ids", "done"), 1, EXPAND)
-        front = state.select("q", F.explode(open_).alias("f"))
+        front = state.where("not ended").select("q", F.explode(open_).alias("f"))
         near = front.join(graph, F.col("f") == F.col("node")).groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("reached"))
         fresh = state.join(near.withColumnRenamed("q", "nq"), F.col("q") == F.col("nq")).select("q", F.explode(F.array_except("reached", "ids")).alias("w"))
         found = fresh.join(points.select(F.col("node").alias("p"), "h"), F.col("w") == F.col("p")).groupBy("q").agg(F.collect_list("w").alias("w"), F.collect_list("h").alias("h")).withColumnRenamed("q", "wq")
-        rows = state.withColumn("done", F.array_union("done", open_)).join(found, F.col("q") == F.col("wq"), "left").select("q", "qh", "ids", "sims", "done", "w", "h")
+        rows = state.withColumn("done", F.when(F.col("ended"), F.col("done")).otherwise(F.array_union("done", open_))).join(found, F.col("q") == F.col("wq"), "left").select("q", "qh", "ids", "sims", "done", "w", "h")
 
-        def step(batches):
+        def step(batches, hop=hop):
+            pool = POOL + EXPAND * max(0, hop + 1 - HOPS)
             for b in batches:
-                ids, sims = [], []
+                ids, sims, ended = [], [], []
                 for qh, i, s, w, h in zip(b.column(1), b.column(2), b.column(3), b.column(5), b.column(6)):
                     i, s = i.values.to_numpy(), s.values.to_numpy()
+                    top = set(i[: TOP + 1].tolist())
                     if w.is_valid and len(w):
                         m = w.values.to_numpy()
                         x = np.frombuffer(b"".join(h.values.to_pylist()), np.float16).reshape(len(m), -1).astype(np.float32)
                         v = np.frombuffer(qh.as_buffer(), np.float16).astype(np.float32)
-                        i, s = _best(np.concatenate([i, m]), np.concatenate([s, x @ v]), POOL)
+                        i, s = _best(np.concatenate([i, m]), np.concatenate([s, x @ v]), pool)
                     ids.append(i)
                     sims.append(s)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *_lists(ids, sims), b.column(4)], names=["q", "qh", "ids", "sims", "done"])
+                    ended.append(hop + 1 >= HOPS and top == set(i[: TOP + 1].tolist()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *_lists(ids, sims), b.column(4), pa.array(ended, pa.bool_())], names=["q", "qh", "ids", "sims", "done", "ended"])
 
-        new = stage(rows.mapInArrow(step, "q long, qh binary, ids array<long>, sims array<float>, done array<long>"))
+        new = stage(rows.mapInArrow(step, "q long, qh binary, ids array<long>, sims array<float>, done array<long>, ended boolean"))
         drop_stage(state)
         state = new
+        hop += 1
     return state.select("q", "ids")
 
 
@@ -221,10 +244,13 @@ def nearest(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", eve
     points = stage(nodes.select("node", "v").mapInArrow(lift, "node long, h binary, qh binary"))
     graph = first_graph(points, n, size // 8 + 1)
     _free(spark)
-    for turn in range(ROUNDS):
+    turn, share = 0, 1.0
+    while turn < ROUNDS or share >= CHANGED:
         better = improved(graph, points.select("node", "h"), turn)
+        share = changed(graph, better)
         drop_stage(graph)
         graph = better
+        turn += 1
         _free(spark)
     # every usable row of the query set, by its node
     asked = nodes_of_queries(vectors, nodes, key, vec, every, size)

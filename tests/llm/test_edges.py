@@ -1,4 +1,5 @@
 """Each operator on nulls, empty, blank and long texts, ties, repeated rows, empty tables, clashing columns."""
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +98,18 @@ def test_vectors(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_vectors_search_until_nothing_changes(spark, monkeypatch):
+    for name, value in {"BLOCK": 64, "TREES": 2, "ROUNDS": 1, "HOPS": 1, "EXPAND": 8}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    x = np.random.default_rng(1).normal(size=(1500, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    s = x @ x.T
+    np.fill_diagonal(s, -9)
+    want = {(q, i) for q in range(0, len(x), 20) for i in np.argsort(-s[q])[:20].tolist()}
+    assert len(want & {(r["query_id"], r["vec_id"]) for r in got}) > 0.97 * len(want)
+
+
 def test_html():
     page = """<html><head><title>No</title></head><body><header>Site</header><nav><ul><li><a href=x>Menu</a></ul></nav>
     <div class="cookie-notice">We use</div><article><h1>Head&eacute;</h1><p>One <b>two</b>three

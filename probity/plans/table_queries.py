@@ -92,6 +92,13 @@ def local_clustering(spark, d):
     return G.local_clustering(e).withColumn("local_clustering", r6("local_clustering"))
 
 
+@query()
+def local_clustering_graph(spark, d):
+    """All edges with their own ids (a customer and a part of the same number are one node); its SQL would take too long."""
+    e = customer_parts(spark, d).select(F.col("c").alias("src"), F.col("p").alias("dst"))
+    return G.local_clustering(e).withColumn("local_clustering", r6("local_clustering"))
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 def anti_join_missing(spark, d):
     o = t(spark, d, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))

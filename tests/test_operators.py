@@ -5,6 +5,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from probity import catalog
 from probity.functions import clean
 from probity.operators import metrics, models, pages, store
 from probity.sources import schema
@@ -31,6 +32,21 @@ def test_pages(spark):
     assert c[8]["timestamp"] == NOW - 7200 and c[8]["reply_to_comment_id"] == 3 and c[8]["author_name"] == "Ann B"
 
 
+def test_local_clustering_graph_keeps_ids(spark, tmp_path):
+    # hub 1000 meets all; ids beyond 100 stay apart, and so do sparse neighbourhoods
+    edges = {(1000, k) for k in range(1, 301)} | {(k, k + 100) for k in range(1, 201)} | {(k, 1000) for k in range(1, 301, 7)} | {(5, 5), (5, 205), (105, 205)}
+    rows = sorted(edges)
+    spark.createDataFrame([(i, c) for i, (c, _) in enumerate(rows)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i, p) for i, (_, p) in enumerate(rows)] * 2, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = {r["src"]: r for r in catalog.QUERIES["local_clustering_graph"](spark, str(tmp_path)).collect()}
+    assert set(out) == {c for c, _ in edges}
+    for v, r in out.items():
+        near = [b for a, b in rows if a == v]
+        links = sum((a, b) in edges for a in near for b in near if a != b)
+        want = links / (len(near) * (len(near) - 1)) if len(near) > 1 else 0.0
+        assert r["neighbour_count"] == len(near) and r["local_clustering"] == pytest.approx(want, abs=1e-6) and r["suspicious_low_clustering"] == (want < 0.1)
+
+
 def test_profile_bundle(spark):
     cache = [{"method": "users.get", "response": [{"id": 5, "first_name": "A]", "verified": 1, "counters": {"friends": 3, "albums": "2"}, "schools": [{"id": 1, "name": "S"}], "contacts": {"mobile_phone": "1"}}]}, {"method": "friends.get", "response": {"count": 9, "items": [{"id": 6, "first_name": "F"}]}}]
     df = spark.createDataFrame([(1, f'<script>x({{"apiPrefetchCache":{json.dumps(cache)},"z":1}})</script>'), (2, "no")], "page_id int, html string")

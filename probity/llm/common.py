@@ -4,6 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,23 +24,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="probity-")
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share. Only where that setting
-    is absent (tests, one machine) it is set to a temporary folder."""
+    """A new folder below spark.checkpoint.dir, which all executors share. On one machine (local master) a
+    session without that setting gets a temporary folder; on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="probity-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _local_dir()
     path = f"{base.rstrip('/')}/probity-{uuid.uuid4().hex}"
     _scratch.append(path)
     return path
 
 
+#: Lets Spark drop a query's shuffle files as soon as it has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, *partition: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write df once to the shared folder and read it back: cuts the lineage and survives lost executors.
+    The shuffle files behind it go once it is written."""
     spark = df.sparkSession
     path = scratch_dir(spark)
-    df.write.option("compression", "zstd").partitionBy(*partition).parquet(path)
+    was = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").partitionBy(*partition).parquet(path)
+    finally:
+        spark.conf.set(CLEAN, was) if was is not None else spark.conf.unset(CLEAN)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

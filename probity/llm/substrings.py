@@ -7,22 +7,26 @@ Every byte that a LENGTH-byte string covers which also starts in a document with
    every document. Packs send their distinct anchor hashes to ranges, and learn which others hold, too.
 2. For an anchor that other documents hold, the suffixes are compared: each pack sends the anchor's
    distinct contexts (LENGTH - GRAM bytes before, LENGTH behind its start) with their least document. In a
-   range, the contexts of an anchor are sorted as suffixes by mergesort; two suffixes are compared by
-   binary search on prefix polynomial hashes for their common extension, whose bytes are then verified.
-   Neighbours in that order give the common extension of any two, and the same search leftwards gives the
-   strings that they share. Anchors of many packs send hashes of whole windows instead, which spread over
-   all ranges, and groups of many contexts compare windows inside the range.
+   range, the suffixes from the anchor on are sorted by mergesort; two are compared by binary search on
+   prefix polynomial hashes for their common extension, whose bytes are then verified. The suffixes that
+   start one byte further left follow from that order, sorted stably by the byte that they gain, and so on
+   for all starts of a window. Equal windows are neighbours in these orders, however many there are.
 3. Packs learn the shared strings and their least documents, and remove what they cover.
+
+A task holds one range at a time: rows come sorted by range. Contexts of an anchor that more than HOT packs
+hold are merged in parts of about HOT packs before the range sees them, so no range holds a context twice for
+each pack. Equal hashes count only where the bytes agree.
 """
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
@@ -31,16 +35,21 @@ from probity.llm.common import drop_stage, mix, slices, stage, utf8
 LENGTH, GRAM = 50, 20
 LEAD = LENGTH - GRAM
 WIDE = LEAD + LENGTH
-PACK = 1 << 19
+PACK = 1 << 20
 #: Bytes of a pack that are hashed at a time.
 BLOCK = 1 << 16
 #: Text bytes that a range answers for, about; and ranges at least.
-RANGE_BYTES, RANGES = 64 << 20, 64
-#: Anchors that more packs hold send windows; groups of more contexts compare windows.
-HOT, GROUP = 2048, 24
+RANGE_BYTES, RANGES = 8 << 20, 16
+#: Packs whose contexts of one anchor meet at once.
+HOT = 128
+#: Contexts that a range compares at once, about.
+TOGETHER = 1 << 14
+#: Lowest bits of a shared anchor: how often its packs are halved into parts.
+PARTS = np.uint64(31)
 BASE = 0x9E3779B97F4A7C15 | 1
 SEED = 99
 U = np.uint64
+FAR = np.iinfo(np.int64).max
 
 
 def byte_values() -> np.ndarray:
@@ -106,7 +115,7 @@ class Pack:
         pad = np.zeros(LEAD, U)
         pos = np.flatnonzero((sliding(np.concatenate([pad, least, pad]), LEAD + 1, np.maximum) == h) & (h > 0))
         pos = pos[(pos + first >= lo) & (pos + first < hi)]
-        return pos + first, h[pos] & ~U(1)
+        return pos + first, h[pos] & ~PARTS
 
     def anchors(self) -> np.ndarray:
         """The distinct anchor hashes, sorted; the lowest bit tells that two ids of this pack hold it."""
@@ -118,49 +127,84 @@ class Pack:
         lo, hi = np.minimum.reduceat(d, first), np.maximum.reduceat(d, first)
         return h[first] | (lo != hi).astype(U)
 
-    def entries(self, shared: np.ndarray):
-        """(contexts, windows) of the anchors in `shared`, whose lowest bit marks those of many packs.
-
-        contexts: occurrence starts and their entry; by entry: content start, length, anchor offset, anchor
-        hash, least id. windows: occurrence starts and their entry; by entry: hash, least id."""
+    def entries(self, shared: np.ndarray) -> Entries:
+        """The contexts of the anchors in `shared`, equal ones of this pack as one entry."""
         shared = np.sort(shared)
-        at = np.searchsorted(shared, self.hash)
-        at = np.minimum(at, max(0, len(shared) - 1))
-        found = ((shared[at] & ~U(1)) == self.hash) if len(shared) else np.zeros(len(self.hash), bool)
-        hot = found & ((shared[at] & U(1)) == 1) if len(shared) else found
-        cold = np.flatnonzero(found & ~hot)
-        p, d = self.pos[cold], self.doc[cold]
+        at = np.minimum(np.searchsorted(shared, self.hash), max(0, len(shared) - 1))
+        # the lowest bits of `shared` sort behind the bare hash
+        found = np.flatnonzero((shared[at] & ~PARTS) == self.hash) if len(shared) else np.zeros(0, np.int64)
+        p, d = self.pos[found], self.doc[found]
         lo, hi = np.maximum(p - LEAD, self.off[d]), np.minimum(p + LENGTH, self.off[d + 1])
-        value = byte_values()
-        key = self.hash[cold].copy()
-        for k in range(WIDE):
-            i = lo + k
-            key = np.where(i < hi, key * U(BASE) + value[self.data[np.minimum(i, len(self.data) - 1)]], key)
-        key = mix(key ^ ((hi - lo).astype(U) << U(32)) ^ (p - lo).astype(U))
-        first, entry, least = self._distinct(key, self.ids[d])
-        contexts = (lo, entry, lo[first], (hi - lo)[first], (p - lo)[first], self.hash[cold][first], least, key[first])
-        h = np.flatnonzero(hot)
-        if not len(h):
-            z = np.zeros(0, np.int64)
-            return contexts, (z, z, np.zeros(0, U), z)
-        mask = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(mask, np.maximum(self.pos[h] - LEAD, 0), 1)
-        np.add.at(mask, self.pos[h] + 1, -1)
-        start = np.flatnonzero((np.cumsum(mask)[: len(self.valid)] > 0) & self.valid) if len(h) else np.zeros(0, np.int64)
-        wkey = mix(gram_hashes(self.data, LENGTH)[start]) if len(start) else np.zeros(0, U)
-        doc = np.searchsorted(self.off, start, side="right") - 1
-        wfirst, wentry, wleast = self._distinct(wkey, self.ids[doc])
-        return contexts, (start, wentry, wkey[wfirst], wleast)
-
-    @staticmethod
-    def _distinct(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if not len(key):
-            z = np.zeros(0, np.int64)
-            return z, z, z
-        _, first, entry = np.unique(key, return_index=True, return_inverse=True)
-        least = np.full(len(first), np.iinfo(np.int64).max)
-        np.minimum.at(least, entry, ids)
-        return first, entry, least
+        key = mix(span_hashes(self.data, lo, hi) ^ ((hi - lo).astype(U) << U(32)) ^ (p - lo).astype(U))
+        first, entry = distinct_spans(key, self.data, lo, hi, p)
+        least = np.full(len(first), FAR)
+        np.minimum.at(least, entry, self.ids[d])
+        return Entries(lo, entry, lo[first], (hi - lo)[first], (p - lo)[first], shared[at[found[first]]], least)
+
+
+class Entries(NamedTuple):
+    """Starts of the occurrences of contexts, and their entry; by entry: content start, length, anchor offset,
+    anchor (with its parts in the lowest bits), least id."""
+
+    begin: np.ndarray
+    entry: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    lead: np.ndarray
+    anchor: np.ndarray
+    least: np.ndarray
+
+
+@lru_cache(maxsize=2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse."""
+    out = []
+    for b in (BASE, pow(BASE, -1, 1 << 64)):
+        a = np.full(n, b, U)
+        a[:1] = 1
+        np.multiply.accumulate(a, out=a)
+        out.append(a)
+    return out[0], out[1]
+
+
+def span_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of data[lo:hi], from prefix hashes."""
+    n = max(1, 1 << (len(data) - 1).bit_length()) if len(data) else 1
+    power, inverse = powers(n)
+    prefix = np.zeros(len(data) + 1, U)
+    np.cumsum(byte_values()[data] * power[: len(data)], out=prefix[1:])
+    return (prefix[hi] - prefix[lo]) * inverse[np.minimum(lo, n - 1)]
+
+
+def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, class): classes of equal keys, numbered by their first rows."""
+    _, first, at = np.unique(key, return_index=True, return_inverse=True)
+    by = np.argsort(first, kind="stable")
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    return first[by], rank[at.ravel()]
+
+
+def distinct_spans(key: np.ndarray, data: np.ndarray, lo: np.ndarray, hi: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, class) of the strings data[lo:hi] around p: by their keys, verified on the bytes; by the bytes
+    alone where two strings have one key."""
+    if not len(key):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first, at = numbered(key)
+    other = np.flatnonzero(first[at] != np.arange(len(at)))
+    for s in range(0, len(other), 1 << 13):
+        x = other[s : s + (1 << 13)]
+        y = first[at[x]]
+        if ((hi - lo)[x] != (hi - lo)[y]).any() or ((p - lo)[x] != (p - lo)[y]).any() or (rows_of(data, lo[x], hi[x]) != rows_of(data, lo[y], hi[y])).any():
+            full = np.hstack([rows_of(data, lo, hi), (hi - lo)[:, None].astype(np.uint8), (p - lo)[:, None].astype(np.uint8)])
+            return numbered(np.ascontiguousarray(full).view(f"V{WIDE + 2}").ravel())
+    return first, at
+
+
+def rows_of(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The bytes data[lo:hi], WIDE columns each, 0 behind the end."""
+    at = lo[:, None] + np.arange(WIDE)
+    return np.where(at < hi[:, None], data[np.minimum(at, len(data) - 1)], np.uint8(0))
 
 
 def lcp(h: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -184,6 +228,12 @@ def prefix_hashes(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def verified(rows: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The common prefixes m of strings x and y, cut where bytes differ in spite of equal hashes."""
+    differ = (rows[x] != rows[y]) & (np.arange(rows.shape[1]) < m[:, None])
+    return np.where(differ.any(1), differ.argmax(1), m)
+
+
 def suffix_sort(group: np.ndarray, rows: np.ndarray, h: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The order of the strings within their groups (contiguous), by bottom-up mergesort.
 
@@ -206,7 +256,7 @@ def suffix_sort(group: np.ndarray, rows: np.ndarray, h: np.ndarray, size: np.nda
         while (open_ := np.flatnonzero(lo < hi)).size:
             mid = (lo[open_] + hi[open_]) // 2
             x, y = order[open_], order[begin[open_] + mid]
-            m = lcp(h, x, y, np.minimum(size[x], size[y]))
+            m = verified(rows, x, y, lcp(h, x, y, np.minimum(size[x], size[y])))
             end_x, end_y = m >= size[x], m >= size[y]
             bx = np.where(end_x, -1, rows[x, np.minimum(m, rows.shape[1] - 1)].astype(np.int64))
             by = np.where(end_y, -1, rows[y, np.minimum(m, rows.shape[1] - 1)].astype(np.int64))
@@ -221,102 +271,88 @@ def suffix_sort(group: np.ndarray, rows: np.ndarray, h: np.ndarray, size: np.nda
     return order
 
 
-def distinct_windows(data: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, class) of the LENGTH-byte strings at pos: by hash, verified on the bytes; by the bytes alone
-    where two strings of one hash differ."""
-    _, first, at = np.unique(mix(gram_hashes(data, LENGTH))[pos], return_index=True, return_inverse=True)
-    span = np.arange(LENGTH)
-    for s in range(0, len(pos), 1 << 13):
-        x, y = pos[s : s + (1 << 13)], pos[first[at[s : s + (1 << 13)]]]
-        if (data[x[:, None] + span] != data[y[:, None] + span]).any():
-            _, first, at = np.unique(np.ascontiguousarray(data[pos[:, None] + span]).view(f"V{LENGTH}").ravel(), return_index=True, return_inverse=True)
-            break
-    return first, at
-
-
 def shared_strings(anchor: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray, lead: np.ndarray, least: np.ndarray):
-    """(entry, lo, hi, id): bytes [lo, hi) of the entry's context occur in document id, whose strings of
-    LENGTH bytes cover them. Entries are contexts of several packs; equal ones of an anchor are one string."""
-    n = len(anchor)
-    if not n:
-        z = np.zeros(0, np.int64)
+    """(entry, lo, hi, id): bytes [lo, hi) of the entry's context occur in document id, which is smaller than
+    the entry's own least one; strings of LENGTH bytes in that document cover them. Entries are contexts of
+    several packs, those of an anchor together; equal ones are one string."""
+    z = np.zeros(0, np.int64)
+    if not len(anchor):
         return z, z, z, z
-    full = np.zeros((n, WIDE), np.uint8)
-    for c in range(WIDE):  # by column: an index of all cells would take eight times the bytes
-        inside = np.flatnonzero(size > c)
-        full[inside, c] = data[start[inside] + c]
-    key = np.hstack([anchor[:, None].view(np.uint8).reshape(n, 8), lead[:, None].astype(np.uint8), size[:, None].astype(np.uint8), full])
-    _, first, same = np.unique(np.ascontiguousarray(key).view(f"V{key.shape[1]}").ravel(), return_index=True, return_inverse=True)
-    low = np.full(len(first), np.iinfo(np.int64).max)
+    end = start + size
+    first, same = distinct_spans(mix(row_hashes(data, start, end) ^ (size.astype(U) << U(32)) ^ lead.astype(U)), data, start, end, start + lead)
+    low = np.full(len(first), FAR)
     np.minimum.at(low, same, least)
-    out = [(np.arange(n), np.zeros(n, np.int64), size, low[same])]
+    entry = np.flatnonzero(low[same] < least)
+    out = [(entry, np.zeros(len(entry), np.int64), size[entry], low[same[entry]])]
     by = np.argsort(anchor[first], kind="stable")
-    u = first[by]
-    a = anchor[u]
+    a = anchor[first[by]]
     group = np.cumsum(np.concatenate([[0], a[1:] != a[:-1]]))
-    count = np.bincount(group)[group]
-    few = np.flatnonzero((count > 1) & (count <= GROUP))
-    pairs = []
-    if len(few):
-        g, e = group[few], u[few]
-        right_n, left_n = size[e] - lead[e], lead[e]
-        take = np.arange(len(e))[:, None]
-        right = full[e][take, np.minimum(lead[e][:, None] + np.arange(LENGTH), WIDE - 1)]
-        left = full[e][take, np.maximum(lead[e][:, None] - 1 - np.arange(LEAD), 0)]
-        hr, hl = prefix_hashes(right), prefix_hashes(left)
-        order = suffix_sort(g, right, hr, right_n)
-        # common extension of neighbours in the order; of any two: the least one between them
-        step = lcp(hr, order[:-1], order[1:], np.minimum(right_n[order[:-1]], right_n[order[1:]]))
-        reach = step
-        for d in range(1, GROUP):
-            if len(order) <= d:
-                break
-            reach = step if d == 1 else np.minimum(reach[:-1], step[d - 1 :])
-            x, y = order[:-d], order[d:]
-            near = np.flatnonzero(g[x] == g[y])
-            if not len(near):
-                break
-            x, y, r = x[near], y[near], reach[near]
-            back = lcp(hl, x, y, np.minimum(left_n[x], left_n[y]))
-            ok = np.flatnonzero(r + back >= LENGTH)
-            x, y, r, back = x[ok], y[ok], r[ok], back[ok]
-            # verification on the bytes
-            true = ((right[x] == right[y]) | (np.arange(LENGTH) >= r[:, None])).all(1) & ((left[x] == left[y]) | (np.arange(LEAD) >= back[:, None])).all(1)
-            x, y, r, back = x[true], y[true], r[true], back[true]
-            pairs.append((np.concatenate([x, y]), np.concatenate([y, x]), np.tile(r, 2), np.tile(back, 2)))
-        if pairs:
-            x, y, r, back = (np.concatenate(c) for c in zip(*pairs))
-            ex, ey = same[e[x]], same[e[y]]
-            use = low[ey] < np.iinfo(np.int64).max
-            ex, lo_, hi_, doc = ex[use], (lead[e[x]] - back)[use], (lead[e[x]] + r)[use], low[ey][use]
-            members = np.argsort(same, kind="stable")
-            begin = np.searchsorted(same[members], np.arange(len(first) + 1))
-            k = begin[ex + 1] - begin[ex]
-            rep = np.repeat(np.arange(len(ex)), k)
-            m = members[np.repeat(begin[ex], k) + np.arange(len(rep)) - np.repeat(np.concatenate([[0], np.cumsum(k)])[:-1], k)]
-            out.append((m, lo_[rep], hi_[rep], doc[rep]))
-    many = np.flatnonzero((count > GROUP)[np.argsort(by)][same]) if (count > GROUP).any() else np.zeros(0, np.int64)
+    many = np.flatnonzero(np.bincount(group)[group] > 1)
     if len(many):
-        n_of = size[many]
-        begin = np.concatenate([[0], np.cumsum(n_of)])
-        own = data[np.repeat(start[many] - begin[:-1], n_of) + np.arange(begin[-1])]
-        w = n_of - LENGTH + 1
-        rep = np.repeat(np.arange(len(many)), w)
-        lo_ = np.arange(len(rep)) - np.repeat(np.concatenate([[0], np.cumsum(w)])[:-1], w)
-        pos = begin[rep] + lo_
-        _, at = distinct_windows(own, pos)
-        best = np.full(at.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(best, at, least[many][rep])
-        best = best[at]
-        use = np.flatnonzero(best < low[same][many][rep])
-        rep, lo_, best = rep[use], lo_[use], best[use]
-        if len(use):  # neighbouring windows of the same document are one string
-            new = np.concatenate([[True], (rep[1:] != rep[:-1]) | (best[1:] != best[:-1]) | (lo_[1:] != lo_[:-1] + 1)])
-            first_ = np.flatnonzero(new)
-            last_ = np.append(first_[1:], len(use)) - 1
-            out.append((many[rep[first_]], lo_[first_], lo_[last_] + LENGTH, best[first_]))
-    entry, lo_, hi_, doc = (np.concatenate(c) for c in zip(*out))
-    return entry, lo_, hi_, doc
+        u = by[many]  # distinct contexts, those of an anchor together
+        x, lo, hi, doc = windows_of(group[many], rows_of(data, start[first[u]], end[first[u]]), size[first[u]], lead[first[u]], low[u])
+        # to all entries of these contexts
+        x = u[x]
+        members = np.argsort(same, kind="stable")
+        begin = np.searchsorted(same[members], np.arange(len(first) + 1))
+        k = begin[x + 1] - begin[x]
+        rep = np.repeat(np.arange(len(x)), k)
+        m = members[np.repeat(begin[x] - np.concatenate([[0], np.cumsum(k)])[:-1], k) + np.arange(len(rep))]
+        use = doc[rep] < least[m]
+        out.append((m[use], lo[rep[use]], hi[rep[use]], doc[rep[use]]))
+    entry, lo, hi, doc = (np.concatenate(c) for c in zip(*out))
+    return entry, lo, hi, doc
+
+
+def row_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of data[lo:hi], which are WIDE bytes long at most."""
+    value, out = byte_values(), np.zeros(len(lo), U)
+    for k in range(WIDE):
+        at = lo + k
+        out = np.where(at < hi, out * U(BASE) + value[data[np.minimum(at, len(data) - 1)]], out)
+    return out
+
+
+def windows_of(group: np.ndarray, text: np.ndarray, size: np.ndarray, lead: np.ndarray, low: np.ndarray):
+    """(row, lo, hi, id): columns [lo, hi) of the row's context that smaller ids hold, from the windows that
+    contexts of a group share. Windows of one id that follow each other are one string."""
+    take = np.arange(len(text))[:, None]
+    right_n, left_n = size - lead, lead
+    right = text[take, np.minimum(lead[:, None] + np.arange(LENGTH), WIDE - 1)]
+    left = text[take, np.maximum(lead[:, None] - 1 - np.arange(LEAD), 0)]
+    hr, hl = prefix_hashes(right), prefix_hashes(left)
+    order = suffix_sort(group, right, hr, right_n)
+    rows, starts, ids = [], [], []
+    for o in range(LEAD + 1):  # windows that start o bytes before the anchor
+        if o:
+            order = order[left_n[order] >= o]
+            order = order[np.argsort((group[order] << 8) | left[order, o - 1], kind="stable")]
+        w = order[right_n[order] >= LENGTH - o]
+        if len(w) < 2:
+            continue
+        x, y = w[:-1], w[1:]
+        equal = (group[x] == group[y]) & (hr[x, LENGTH - o] == hr[y, LENGTH - o]) & (hl[x, o] == hl[y, o])
+        at = np.flatnonzero(equal)
+        if not len(at):
+            continue
+        x, y = x[at], y[at]
+        equal[at] = (right[x, : LENGTH - o] == right[y, : LENGTH - o]).all(1) & (left[x, :o] == left[y, :o]).all(1)
+        run = np.concatenate([[0], np.cumsum(~equal)])
+        best = np.minimum.reduceat(low[w], np.flatnonzero(np.concatenate([[True], ~equal])))[run]
+        use = np.flatnonzero(best < low[w])
+        rows.append(w[use])
+        starts.append(lead[w[use]] - o)
+        ids.append(best[use])
+    if not rows:
+        z = np.zeros(0, np.int64)
+        return z, z, z, z
+    row, lo, doc = (np.concatenate(c) for c in (rows, starts, ids))
+    by = np.lexsort((lo, doc, row))
+    row, lo, doc = row[by], lo[by], doc[by]
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (doc[1:] != doc[:-1]) | (lo[1:] != lo[:-1] + 1)])[: len(row)]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row))[: len(first)] - 1
+    return row[first], lo[first], lo[last] + LENGTH, doc[first]
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
@@ -347,22 +383,19 @@ def unpressed(blob: bytes) -> bytes:
 NO_ID = -(1 << 63)
 
 
-def _packs(batch: pa.RecordBatch) -> Iterator[tuple[int, Pack]]:
-    names = batch.schema.names
-    for i in range(batch.num_rows):
-        get = lambda c, i=i: batch.column(names.index(c))[i]
-        ids = get("ids").values.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-        data = np.frombuffer(unpressed(get("data").as_py()), np.uint8)
-        lens = get("lens").values.to_numpy(zero_copy_only=False).astype(np.int64)
-        if (ids == NO_ID).any():  # their bytes take no part: an unmatched place each
-            keep = ids != NO_ID
-            cut = np.repeat(keep, lens)
-            pack = Pack(ids[keep], lens[keep], data[cut])
-            pack.kept_docs = np.flatnonzero(keep)
-        else:
-            pack = Pack(ids, lens, data)
-            pack.kept_docs = np.arange(len(ids))
-        yield i, pack
+def _unpacked(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, lengths, bytes) of a pack's documents."""
+    get = lambda c: batch.column(batch.schema.names.index(c))[i]
+    ids = get("ids").values.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+    return ids, get("lens").values.to_numpy(zero_copy_only=False).astype(np.int64), np.frombuffer(unpressed(get("data").as_py()), np.uint8)
+
+
+def _packs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Pack]]:
+    """(row, number, pack) of each row; documents without an id take no part."""
+    for i, number in enumerate(batch.column(batch.schema.names.index("pack")).to_pylist()):
+        ids, lens, data = _unpacked(batch, i)
+        known = ids != NO_ID
+        yield i, number, Pack(ids[known], lens[known], data if known.all() else data[np.repeat(known, lens)])
 
 
 def _split(key: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -376,43 +409,105 @@ def _split(key: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(at[part[0]]), part
 
 
-def _blobs(row: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(row["kind"], pa.int32()), pa.array(row["range"], pa.int32()), pa.array(row["pack"], pa.int64()), pa.array(row["blob"], pa.binary())], names=["kind", "range", "pack", "blob"])
+BLOB = "kind int, range long, part int, pack long, blob binary"
+#: kinds of rows: what a range compares; where entries occur in a pack; which entries a part has merged
+ASK, OWN, MERGED = 0, 1, 2
+
+
+class Rows:
+    """Rows (kind, range, part, pack, blob) for an Arrow batch."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+
+    def add(self, kind: int, range_: int, part: int, pack: int, blob: bytes) -> None:
+        self.rows.append((kind, range_, part, pack, blob))
+
+    def batch(self) -> pa.RecordBatch:
+        cols = list(zip(*self.rows)) or [()] * 5
+        self.rows = []
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["kind", "range", "part", "pack", "blob"])
+
+
+def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], list[tuple[int, bytes]]]]:
+    """((kind, range, part), [(pack, blob)]) of rows that come sorted by these three."""
+    now, held = None, []
+    for b in batches:
+        blob = b.column(4)
+        for i, (*key, pack) in enumerate(zip(*(b.column(k).to_pylist() for k in range(4)))):
+            if key != now and held:
+                yield tuple(now), held
+                held = []
+            now = key
+            held.append((pack, blob[i].as_py()))
+    if held:
+        yield tuple(now), held
+
+
+def to_ranges(rows: DataFrame) -> DataFrame:
+    return rows.repartition("kind", "range", "part").sortWithinPartitions("kind", "range", "part")
 
 
-BLOB = "kind int, range int, pack long, blob binary"
 def write_contexts(least: np.ndarray, entry: np.ndarray, size: np.ndarray, lead: np.ndarray, data: np.ndarray) -> bytes:
     head = b"".join(x.tobytes() for x in (least.astype("<i8"), np.diff(entry, prepend=0).astype("<u4"), size.astype("u1"), lead.astype("u1")))
     return pressed(len(least).to_bytes(4, "little") + head + data.tobytes())
 
 
-def read_contexts(blob: bytes) -> tuple[np.ndarray, ...]:
-    raw = unpressed(blob)
-    n = int.from_bytes(raw[:4], "little")
-    at, out = 4, []
-    for kind in ("<i8", "<u4", "u1", "u1"):
-        out.append(np.frombuffer(raw, kind, n, at).astype(np.int64))
-        at += n * np.dtype(kind).itemsize
-    out[1] = np.cumsum(out[1])
-    return (*out, np.frombuffer(raw, np.uint8, -1, at))
+class Contexts(NamedTuple):
+    """Contexts of several packs: index of the pack, entry there, least id, length, anchor offset, start in data, bytes."""
+
+    of: np.ndarray
+    entry: np.ndarray
+    least: np.ndarray
+    size: np.ndarray
+    lead: np.ndarray
+    start: np.ndarray
+    data: np.ndarray
+
+    @classmethod
+    def read(cls, blobs: list[tuple[int, bytes]]) -> Contexts:
+        parts = []
+        for _, blob in blobs:
+            raw = unpressed(blob)
+            n = int.from_bytes(raw[:4], "little")
+            at, cols = 4, []
+            for kind in ("<i8", "<u4", "u1", "u1"):
+                cols.append(np.frombuffer(raw, kind, n, at))
+                at += n * np.dtype(kind).itemsize
+            cols[1] = np.cumsum(cols[1], dtype=np.int64)
+            parts.append([*cols, np.frombuffer(raw, np.uint8, -1, at)])
+        of = np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts])
+        least, entry, size, lead, data = (np.concatenate(c) for c in zip(*parts))
+        size, lead = size.astype(np.int64), lead.astype(np.int64)
+        return cls(of, entry, least, size, lead, np.concatenate([[0], np.cumsum(size)])[:-1], data)
+
+    def anchors(self) -> np.ndarray:
+        out, value = np.zeros(len(self.start), U), byte_values()
+        for k in range(GRAM):
+            out = out * U(BASE) + value[self.data[self.start + self.lead + k]]
+        return out
+
+    def bytes_of(self, rows: np.ndarray) -> np.ndarray:
+        n = self.size[rows]
+        return self.data[np.repeat(self.start[rows] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())]
 
 
-_WINDOW = np.dtype([("key", "<u8"), ("least", "<i8"), ("entry", "<u4")])
 _FOUND = np.dtype([("entry", "<u4"), ("lo", "u1"), ("hi", "u1"), ("least", "<i8")])
+_PLACE = np.dtype([("begin", "<u4"), ("entry", "<u4")])
+_ENTRY = np.dtype([("size", "u1"), ("doc", "<u4")])
+_MERGED = np.dtype([("entry", "<u4"), ("to", "<u4")])
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], kinds: int) -> list[list[tuple[int, bytes]]]:
-    out: list[list[tuple[int, bytes]]] = [[] for _ in range(kinds)]
-    for b in batches:
-        for kind, pack, blob in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-            out[kind].append((pack, blob))
-    return out
+def _by_pack(of: np.ndarray) -> Iterator[np.ndarray]:
+    """Indices of each pack's rows."""
+    order = np.argsort(of, kind="stable")
+    return iter(np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else [])
 
 
-def _free(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps whose result is written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def merged_id(range_: int, part: int) -> int:
+    """The number of a part that stands for its packs: below all packs' numbers."""
+    return -(range_ << 31 | part) - 1
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -430,183 +525,205 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     packs = stage(pack_documents(src))
     total = packs.select(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     bits = max(RANGES - 1, total // RANGE_BYTES).bit_length()
-    ranges = 1 << bits
+    hot = HOT
 
     def send_anchors(batches):
         for b in batches:
-            row = {"kind": [], "range": [], "pack": [], "blob": []}
-            ids = b.column(b.schema.names.index("pack")).to_pylist()
-            for i, pack in _packs(b):
-                h = pack.anchors()
+            for _, number, pack in _packs(b):
+                rows, h = Rows(), pack.anchors()
                 for r, part in _split(h, bits):
-                    for k, v in (("kind", 0), ("range", r), ("pack", ids[i]), ("blob", h[part].tobytes())):
-                        row[k].append(v)
-            yield _blobs(row)
+                    rows.add(ASK, r, 0, number, h[part].tobytes())
+                yield rows.batch()
 
     def find_shared(batches):
-        (blobs,) = _gathered(batches, 1)
-        if not blobs:
-            return
-        h = np.concatenate([np.frombuffer(b, U) for _, b in blobs])
-        ends = np.cumsum([len(b) // 8 for _, b in blobs])
-        by = np.argsort(h, kind="stable")
-        s = h[by] & ~U(1)
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        n = np.diff(np.append(first, len(s)))
-        own = np.maximum.reduceat(h[by] & U(1), first)
-        state = np.where((n > 1) | (own == 1), 1 + (n > HOT), 0)
-        flag = np.empty(len(h), np.int8)
-        flag[by] = np.repeat(state, n)
-        row = {"kind": [], "range": [], "pack": [], "blob": []}
-        at = 0
-        for (pack, _), end in zip(blobs, ends):
-            f = flag[at:end]
-            got = (h[at:end][f > 0] & ~U(1)) | (f[f > 0] > 1).astype(U)
-            at = end
-            if len(got):
-                for k, v in (("kind", 0), ("range", 0), ("pack", pack), ("blob", got.tobytes())):
-                    row[k].append(v)
-        yield _blobs(row)
+        for _, blobs in by_range(batches):
+            h = np.concatenate([np.frombuffer(b, U) for _, b in blobs])
+            by = np.argsort(h, kind="stable")
+            s = h[by] & ~PARTS
+            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            n = np.diff(np.append(first, len(s)))
+            own = np.maximum.reduceat(h[by] & U(1), first)
+            halved = np.minimum(31, np.ceil(np.log2(np.maximum(1, n / hot)))).astype(np.int8)
+            state = np.empty(len(h), np.int8)
+            state[by] = np.repeat(np.where((n > 1) | (own == 1), halved, -1), n)
+            rows, at = Rows(), 0
+            for number, blob in blobs:
+                end = at + len(blob) // 8
+                k = np.flatnonzero(state[at:end] >= 0) + at
+                at = end
+                if len(k):
+                    rows.add(ASK, 0, int(state[k].max()), number, ((h[k] & ~PARTS) | state[k].astype(U)).tobytes())
+            yield rows.batch()
 
     sent = packs.select("pack", "ids", "lens", "data").mapInArrow(send_anchors, BLOB)
-    shared = stage(sent.repartition(ranges, "range").mapInArrow(find_shared, BLOB).groupBy("pack").agg(F.collect_list("blob").alias("shared")))
-
-    del sent
-    _free(docs.sparkSession)
-
-    def send_contexts(batches):
-        for b in batches:
-            row = {"kind": [], "range": [], "pack": [], "blob": []}
-            ids = b.column(b.schema.names.index("pack")).to_pylist()
-            got = b.column(b.schema.names.index("shared"))
-            for i, pack in _packs(b):
-                known = np.concatenate([np.frombuffer(x.as_buffer(), U) for x in got[i]])
-                (_, _, start, size, lead, anchor, least, _), (_, _, wkey, wleast) = pack.entries(known)
-                for r, part in _split(anchor, bits):
-                    n = size[part]
-                    at = np.repeat(start[part] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
-                    for k, v in (("kind", 0), ("range", r), ("pack", ids[i]), ("blob", write_contexts(least[part], part, n, lead[part], pack.data[at]))):
-                        row[k].append(v)
-                for r, part in _split(wkey, bits):
-                    head = np.zeros(len(part), _WINDOW)
-                    head["key"], head["least"], head["entry"] = wkey[part], wleast[part], part
-                    for k, v in (("kind", 1), ("range", r), ("pack", ids[i]), ("blob", head.tobytes())):
-                        row[k].append(v)
-            yield _blobs(row)
+    shared = to_ranges(sent).mapInArrow(find_shared, BLOB).groupBy("pack").agg(F.collect_list("blob").alias("shared"), F.max("part").alias("halved"))
+    shared = stage(shared)
+    source = packs.join(shared, "pack").select("pack", "ids", "lens", "data", "shared", "halved")
+
+    def send_contexts(of_hot):
+        def run(batches):
+            for b in batches:
+                got = b.column(b.schema.names.index("shared"))
+                for i, number, pack in _packs(b):
+                    e = pack.entries(np.concatenate([np.frombuffer(x.as_buffer(), U) for x in got[i]]))
+                    rows, halved = Rows(), (e.anchor & PARTS).astype(np.int64)
+                    spread = int(mix(np.array([number]).astype(U))[0])
+                    ask = np.flatnonzero((halved > 0) == of_hot)
+                    if not of_hot:
+                        place, entries = np.zeros(len(e.begin), _PLACE), np.zeros(len(e.size), _ENTRY)
+                        place["begin"], place["entry"], entries["size"] = np.diff(e.begin, prepend=0).astype("<u4"), e.entry, e.size
+                        by = np.argsort(pack.ids, kind="stable")
+                        entries["doc"] = by[np.searchsorted(pack.ids[by], e.least)]
+                        rows.add(OWN, spread & 0xFFFF, 0, number, pressed(len(place).to_bytes(8, "little") + place.tobytes() + entries.tobytes()))
+                    for r, part in _split(e.anchor[ask], bits):
+                        part = ask[part]
+                        for k in np.unique(halved[part]).tolist():
+                            some = part[halved[part] == k]
+                            n = e.size[some]
+                            at = np.repeat(e.start[some] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
+                            rows.add(ASK, r, (k << 26 | spread & (1 << min(k, 26)) - 1) if k else 0, number, write_contexts(e.least[some], some, n, e.lead[some], pack.data[at]))
+                    yield rows.batch()
+
+        return run
+
+    def merge(batches):
+        for (_, r, part), blobs in by_range(batches):
+            c = Contexts.read(blobs)
+            first, same = distinct_spans(mix(row_hashes(c.data, c.start, c.start + c.size) ^ (c.size.astype(U) << U(32)) ^ c.lead.astype(U)), c.data, c.start, c.start + c.size, c.start + c.lead)
+            low = np.full(len(first), FAR)
+            np.minimum.at(low, same, c.least)
+            rows, own = Rows(), merged_id(r, part)
+            rows.add(ASK, r, 0, own, write_contexts(low, np.arange(len(first)), c.size[first], c.lead[first], c.bytes_of(first)))
+            for k in _by_pack(c.of):
+                to = np.zeros(len(k), _MERGED)
+                to["entry"], to["to"] = c.entry[k], same[k]
+                # what the part itself knows of its packs' contexts
+                f = np.zeros(len(k), _FOUND)
+                f["entry"], f["hi"], f["least"] = c.entry[k], c.size[k], low[same[k]]
+                rows.add(MERGED, own, 0, blobs[c.of[k[0]]][0], to.tobytes())
+                f = f[f["least"] < c.least[k]]
+                if len(f):
+                    rows.add(OWN, own, 1, blobs[c.of[k[0]]][0], f.tobytes())
+            yield rows.batch()
 
     def compare(batches):
-        contexts, windows = _gathered(batches, 2)
-        row = {"kind": [], "range": [], "pack": [], "blob": []}
-
-        def reply(kind, owner, packs_, found, by_pack):
-            order = np.argsort(by_pack, kind="stable")
-            cuts = np.flatnonzero(np.diff(by_pack[order])) + 1
-            for part in np.split(order, cuts) if len(order) else []:
-                for k, v in (("kind", kind), ("range", 0), ("pack", packs_[by_pack[part[0]]]), ("blob", found[part].tobytes())):
-                    row[k].append(v)
-
-        if contexts:
-            read = [read_contexts(blob) for _, blob in contexts]
-            of = np.repeat(np.arange(len(read)), [len(x[0]) for x in read])
-            least, own, size, lead, data = (np.concatenate(c) for c in zip(*read))
-            del read
-            start = np.concatenate([[0], np.cumsum(size)])[:-1]
-            anchor = np.zeros(len(start), U)
-            for k in range(GRAM):
-                anchor = anchor * U(BASE) + byte_values()[data[start + lead + k]]
-            # some anchors at a time, so that the working arrays stay small
+        for (kind, _, _), blobs in by_range(batches):
+            if kind == OWN:
+                rows = Rows()
+                for number, blob in blobs:
+                    rows.add(OWN, 0, 0, number, blob)
+                yield rows.batch()
+                continue
+            c = Contexts.read(blobs)
+            anchor = c.anchors()
             by = np.argsort(anchor, kind="stable")
             a = anchor[by]
-            cut = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-            marks = [0]
-            while marks[-1] < len(by):
-                next_ = np.searchsorted(cut, marks[-1] + (1 << 15))
-                marks.append(int(cut[next_]) if next_ < len(cut) else len(by))
-            for lo, hi in zip(marks, marks[1:]):
-                part = by[lo:hi]
-                if not len(part):
-                    continue
-                entry, x, y, doc = shared_strings(anchor[part], data, start[part], size[part], lead[part], least[part])
+            cut = np.append(np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])), len(a))
+            lo = 0
+            while lo < len(by):  # whole groups, about TOGETHER contexts at a time
+                hi = int(cut[min(np.searchsorted(cut, lo + TOGETHER), len(cut) - 1)])
+                part, rows = by[lo:hi], Rows()
+                lo = hi
+                entry, x, y, doc = shared_strings(anchor[part], c.data, c.start[part], c.size[part], c.lead[part], c.least[part])
                 found = np.zeros(len(entry), _FOUND)
-                found["entry"], found["lo"], found["hi"], found["least"] = own[part][entry], x, y, doc
-                reply(0, None, [p for p, _ in contexts], found, of[part][entry])
-        if windows:
-            heads = [np.frombuffer(b, _WINDOW) for _, b in windows]
-            of = np.repeat(np.arange(len(heads)), [len(x) for x in heads])
-            head = np.concatenate(heads)
-            _, at = np.unique(head["key"], return_inverse=True)
-            best = np.full(at.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(best, at, head["least"])
-            found = np.zeros(len(head), _FOUND)
-            found["entry"], found["hi"], found["least"] = head["entry"], LENGTH, best[at]
-            reply(1, None, [p for p, _ in windows], found, of)
-        yield _blobs(row)
-
-    asked = packs.join(shared, "pack").select("pack", "ids", "lens", "data", "shared").mapInArrow(send_contexts, BLOB)
-    found = stage(asked.repartition(ranges, "range").mapInArrow(compare, BLOB).groupBy("pack").agg(F.collect_list(F.struct("kind", "blob")).alias("found")))
-    del asked
-    _free(docs.sparkSession)
+                found["entry"], found["lo"], found["hi"], found["least"] = c.entry[part][entry], x, y, doc
+                of = c.of[part][entry]
+                for k in _by_pack(of):
+                    rows.add(ASK, 0, 0, blobs[of[k[0]]][0], found[k].tobytes())
+                yield rows.batch()
+
+    asked, scratch = source.mapInArrow(send_contexts(False), BLOB), []
+    parts = None
+    if not shared.where("halved > 0").isEmpty():
+        parts = stage(to_ranges(source.where("halved > 0").mapInArrow(send_contexts(True), BLOB)).mapInArrow(merge, BLOB))
+        scratch.append(parts)
+        asked = asked.unionByName(parts.where(F.col("kind") == ASK))
+    found = to_ranges(asked).mapInArrow(compare, BLOB)
+    if parts is not None:
+        found = stage(found)
+        scratch.append(found)
+        said = found.where("pack < 0").groupBy("pack").agg(F.collect_list("blob").alias("found")).withColumnRenamed("pack", "m")
+
+        def forward(batches):
+            for b in batches:
+                rows = Rows()
+                for number, to, found_ in zip(*b.columns):
+                    to = np.sort(np.frombuffer(to.as_buffer(), _MERGED), order="to")
+                    f = np.concatenate([np.frombuffer(x.as_buffer(), _FOUND) for x in found_])
+                    lo, hi = (np.searchsorted(to["to"], f["entry"], side=s) for s in ("left", "right"))
+                    rep = np.repeat(np.arange(len(f)), hi - lo)
+                    out = f[rep]
+                    out["entry"] = to["entry"][np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)])[:-1], hi - lo) + np.arange(len(rep))]
+                    if len(out):
+                        rows.add(ASK, 0, 0, number.as_py(), out.tobytes())
+                yield rows.batch()
+
+        members = parts.where(F.col("kind") == MERGED).select(F.col("range").alias("r"), "pack", F.col("blob").alias("to"))
+        told = members.join(said, F.col("r") == F.col("m")).select("pack", "to", "found").mapInArrow(forward, BLOB)
+        within = parts.where((F.col("kind") == OWN)).withColumn("kind", F.lit(ASK))
+        found = found.where("pack >= 0").unionByName(told).unionByName(within)
+    found = stage(found.groupBy("pack").agg(F.collect_list(F.struct("kind", "blob")).alias("found")))
+    drop_stage(shared, *scratch)
     schema = docs.select(*keep).schema.add(text, BinaryType()).add("n_bytes", LongType()).add("n_removed", LongType()).add("spans", ArrayType(StructType().add("start", LongType()).add("end", LongType())))
 
     def cut(batches):
         for b in batches:
-            names_ = b.schema.names
-            for i, pack in _packs(b):
-                cover = np.zeros(len(pack.data) + 1, np.int64)
-                shared_, found_ = b.column(names_.index("shared"))[i], b.column(names_.index("found"))[i]
-                if shared_.is_valid and found_.is_valid:
-                    known = np.concatenate([np.frombuffer(x.as_buffer(), U) for x in shared_])
-                    (start, entry, *_), (wstart, wentry, *_) = pack.entries(known)
-                    for kind, begin, of in ((0, start, entry), (1, wstart, wentry)):
-                        parts = [np.frombuffer(x["blob"].as_buffer(), _FOUND) for x in found_ if x["kind"].as_py() == kind]
-                        if parts and len(begin):
-                            _cover(cover, pack, begin, of, np.concatenate(parts))
-                gone = np.cumsum(cover[:-1]) > 0
-                yield from _results(b, i, pack, gone, schema, keep)
-
-    joined = packs.join(shared, "pack", "left").join(found, "pack", "left")
-    return joined.select("ids", "lens", "rows", "data", "shared", "found").mapInArrow(cut, schema)
-
-
-def _cover(cover: np.ndarray, pack: Pack, begin: np.ndarray, of: np.ndarray, found: np.ndarray) -> None:
-    """Mark the found strings at all occurrences of their entry whose document's id is greater."""
-    f = np.sort(found, order="entry", kind="stable")
-    lo = np.searchsorted(f["entry"], of, side="left")
-    n = np.searchsorted(f["entry"], of, side="right") - lo
-    rep = np.repeat(np.arange(len(of)), n)
-    at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(len(rep))
-    doc = np.searchsorted(pack.off, begin, side="right") - 1
-    use = f["least"][at] < pack.ids[doc[rep]]
+            told = b.column(b.schema.names.index("found"))
+            for i in range(b.num_rows):
+                ids, lens, data = _unpacked(b, i)
+                yield results(b, i, lens, data, removed(ids, lens, told[i], len(data)), schema, keep)
+
+    return packs.join(found, "pack", "left").select("ids", "lens", "rows", "data", "found").mapInArrow(cut, schema)
+
+
+def removed(ids: np.ndarray, lens: np.ndarray, told: pa.Scalar, n: int) -> np.ndarray:
+    """Which of a pack's n bytes the strings cover that it was told of, or that it holds twice itself."""
+    gone = np.zeros(n, bool)
+    if not told.is_valid:
+        return gone
+    known = ids != NO_ID
+    ids, off = ids[known], np.concatenate([[0], np.cumsum(lens[known])]).astype(np.int64)
+    begin = entry = np.zeros(0, np.int64)
+    found = [np.zeros(0, _FOUND)]
+    for x in told:
+        raw = x["blob"].as_buffer()
+        if x["kind"].as_py() == OWN:
+            raw = unpressed(raw.to_pybytes())
+            k = int.from_bytes(raw[:8], "little")
+            place, own = np.frombuffer(raw, _PLACE, k, 8), np.frombuffer(raw, _ENTRY, -1, 8 + k * _PLACE.itemsize)
+            begin, entry = np.cumsum(place["begin"].astype(np.uint32), dtype=np.uint32).astype(np.int64), place["entry"].astype(np.int64)
+            f = np.zeros(len(own), _FOUND)
+            f["entry"], f["hi"], f["least"] = np.arange(len(own)), own["size"], ids[own["doc"]]
+            found.append(f)
+        else:
+            found.append(np.frombuffer(raw, _FOUND))
+    f = np.concatenate(found)
+    f = f[np.argsort(f["entry"], kind="stable")]
+    lo, hi = (np.searchsorted(f["entry"], entry, side=s) for s in ("left", "right"))
+    rep = np.repeat(np.arange(len(entry)), hi - lo)
+    at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)])[:-1], hi - lo) + np.arange(len(rep))
+    use = f["least"][at] < ids[(np.searchsorted(off, begin, side="right") - 1)[rep]]
     rep, at = rep[use], at[use]
-    np.add.at(cover, begin[rep] + f["lo"][at], 1)
-    np.add.at(cover, begin[rep] + f["hi"][at], -1)
-
-
-def _results(b: pa.RecordBatch, i: int, pack: Pack, gone: np.ndarray, schema: StructType, keep: list[str]) -> Iterator[pa.RecordBatch]:
-    names = b.schema.names
-    lens = b.column(names.index("lens"))[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
-    data = np.frombuffer(unpressed(b.column(names.index("data"))[i].as_py()), np.uint8)
-    mask = np.zeros(len(data), bool)
-    if len(pack.kept_docs) == len(lens):
-        mask[:] = gone
-    else:
-        known = np.zeros(len(lens), bool)
-        known[pack.kept_docs] = True
-        mask[np.repeat(known, lens)] = gone
+    edge = np.bincount(begin[rep] + f["lo"][at], minlength=off[-1] + 1) - np.bincount(begin[rep] + f["hi"][at], minlength=off[-1] + 1)
+    gone[np.repeat(known, lens)] = np.cumsum(edge)[:-1] > 0
+    return gone
+
+
+def results(b: pa.RecordBatch, i: int, lens: np.ndarray, data: np.ndarray, gone: np.ndarray, schema: StructType, keep: list[str]) -> pa.RecordBatch:
     off = np.concatenate([[0], np.cumsum(lens)])
-    raw, texts, removed, spans = data.tobytes(), [], [], []
+    raw, texts, cut, spans = data.tobytes(), [], [], []
     for a, z in zip(off, off[1:]):
-        m = mask[a:z]
+        m = gone[a:z]
         if not m.any():
             texts.append(raw[a:z])
-            removed.append(0)
+            cut.append(0)
             spans.append([])
             continue
         edge = np.flatnonzero(np.diff(np.concatenate([[0], m.view(np.int8), [0]])))
         texts.append(data[a:z][~m].tobytes())
-        removed.append(int(m.sum()))
+        cut.append(int(m.sum()))
         spans.append([{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)])
-    rows = b.column(names.index("rows"))[i].values
+    rows = b.column(b.schema.names.index("rows"))[i].values
     cols = [rows.field(k) for k in range(len(keep))]
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.binary()), pa.array(lens, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind)], names=schema.names)
+    return pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.binary()), pa.array(lens, pa.int64()), pa.array(cut, pa.int64()), pa.array(spans, kind)], names=schema.names)

@@ -82,10 +82,9 @@ def plain_cuts(rows, n=50):
     return out
 
 
-@pytest.mark.parametrize("hot, group, pack", [(16, 24, 1 << 19), (1, 2, 1 << 12), (100, 3, 1 << 12)])
-def test_cuts_equal_brute_force(spark, corpus, monkeypatch, hot, group, pack):
+@pytest.mark.parametrize("hot, pack", [(128, 1 << 20), (1, 1 << 12), (3, 1 << 12)])
+def test_cuts_equal_brute_force(spark, corpus, monkeypatch, hot, pack):
     monkeypatch.setattr(substrings, "HOT", hot)
-    monkeypatch.setattr(substrings, "GROUP", group)
     monkeypatch.setattr(substrings, "PACK", pack)
     rows = corpus + [(1000, "ab" * 200), (1001, "ab" * 90), (1002, "é" * 60), (1003, "xé" + "é" * 60)]
     out = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
@@ -95,6 +94,48 @@ def test_cuts_equal_brute_force(spark, corpus, monkeypatch, hot, group, pack):
         assert r["n_removed"] == sum(s["end"] - s["start"] for s in r["spans"]) == r["n_bytes"] - len(r["text"])
 
 
+@pytest.mark.parametrize("bits", [64, 8, 2, 0])
+def test_equal_hashes_of_different_bytes(monkeypatch, bits):
+    """Contexts of one anchor against brute force, with hashes of so many bits that count."""
+    mask = np.uint64((1 << bits) - 1)
+    for name in ("prefix_hashes", "row_hashes", "span_hashes", "mix"):
+        monkeypatch.setattr(substrings, name, lambda *a, f=getattr(substrings, name): f(*a) & mask)
+    rng = np.random.default_rng(1)
+    gram, words = b"abcdefghijklmnopqrst", [b"aab", b"ab", b"b", b"aabb"]
+    bases = [b"".join(words[k] for k in rng.integers(0, 4, 40))[:30] for _ in range(3)]
+
+    def side():
+        out = bytearray(bases[rng.integers(3)])
+        out[rng.integers(30)] = ord("b")
+        return bytes(out)
+
+    texts = [(side()[rng.integers(12) :], side()[: 30 - rng.integers(12)]) for _ in range(150)]
+    data = np.frombuffer(b"".join(left + gram + right for left, right in texts), np.uint8)
+    lead = np.array([len(left) for left, _ in texts])
+    size = np.array([len(left) + 20 + len(right) for left, right in texts])
+    start = np.concatenate([[0], np.cumsum(size)])[:-1]
+    least = rng.permutation(len(texts))
+    covered = np.zeros(len(data), bool)
+    for e, lo, hi, doc in zip(*substrings.shared_strings(np.zeros(len(texts), np.uint64), data, start, size, lead, least)):
+        assert doc < least[e]
+        covered[start[e] + lo : start[e] + hi] = True
+    first: dict[tuple[int, bytes], int] = {}
+    windows = [(e, o, (lead[e] - o, data[start[e] + o : start[e] + o + 50].tobytes())) for e in range(len(texts)) for o in range(size[e] - 49) if 0 <= lead[e] - o <= 30]
+    for e, _, w in windows:
+        first[w] = min(least[e], first.get(w, 1 << 60))
+    want = np.zeros(len(data), bool)
+    for e, o, w in windows:
+        want[start[e] + o : start[e] + o + 50] |= first[w] < least[e]
+    assert 0 < want.sum() < len(want) and (covered == want).all()
+    # a pack's own contexts
+    blocks = [b"".join(words[k] for k in rng.integers(0, 4, 40)) for _ in range(60)]
+    pack = substrings.Pack(np.arange(60), np.array(list(map(len, blocks))), np.frombuffer(b"".join(blocks), np.uint8))
+    if len(pack.hash):
+        e = pack.entries(np.unique(pack.hash))
+        for begin, k in zip(e.begin, e.entry):
+            assert (pack.data[begin : begin + e.size[k]] == pack.data[e.start[k] : e.start[k] + e.size[k]]).all()
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (1 + i % 50), f"s{i % 5}" if i % 11 else None) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

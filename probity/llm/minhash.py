@@ -6,9 +6,10 @@ second is the key of one of GROUPS**2 tables, so the tables cost 2 * GROUPS * WI
 at J = 0.85 with a chance below 1e-4.
 
 A table's bucket is searched without listing its pairs: all members are verified against the bucket's
-least document; components of those links settle most buckets; in the others, members outside the
-bucket's commonest component are compared with all members of other components, but for those that hold
-too many shingles of their own to be linked with any.
+least document, then, where a bucket is left in several components, against its most central one (least share
+of shingles that no other open document holds). What is still apart meets by prefix filtering, which is exact:
+with each document's shingles in order of their frequency, two linked documents share one so early that the
+shingles behind it could still make up the overlap.
 """
 from __future__ import annotations
 
@@ -27,8 +28,8 @@ WORDS = 5
 GROUPS, WIDTH = 8, 2
 HASHES = 2 * GROUPS * WIDTH
 SEED = 1234567
-#: Least equal minhashes, out of HASHES, of a pair that is verified: at J = 0.8 six standard deviations down.
-EQUAL = 12
+#: Least similarity in per cent that the tables are laid out for.
+LEAST_PERCENT = 80
 
 
 def separators() -> np.ndarray:
@@ -172,6 +173,18 @@ def tensor_keys(nodes: DataFrame) -> DataFrame:
     return both.select("node", F.xxhash64("l", "r").alias("key"))
 
 
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and minhashes allow: as many equal minhashes as six standard deviations
+    below the mean at the similarity of `percent`."""
+    p = percent / 100
+    least = int(HASHES * p - 6 * (HASHES * p * (1 - p)) ** 0.5)
+    a = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("a_n"), F.col("sig").alias("a_sig"))
+    b = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("b_n"), F.col("sig").alias("b_sig"))
+    equal = F.size(F.filter(F.zip_with("a_sig", "b_sig", lambda x, y: x == y), lambda e: e))
+    fit = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
+    return pairs.join(a, "a").join(b, "b").where(fit & (equal >= least)).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * |intersection| >= percent * |union|."""
     a = sets.select(F.col("doc_id").alias("a_id"), F.col("set").alias("a_set"))
@@ -181,6 +194,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * both >= percent * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
 
 
+def _open(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, node, comp) of the buckets that hold several components."""
+    of = label.select(F.col("node").alias("l_node"), F.col("comp").alias("l_comp"))
+    placed = members.select("key", "node").join(of, F.col("node") == F.col("l_node"), "left").select("key", "node", F.coalesce("l_comp", "node").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return stage(placed.join(mixed, "key", "left_semi"))
+
+
+def _rare_first(sets: DataFrame) -> DataFrame:
+    """(doc, n, own, shared): the size of each set, how many of its shingles no other set holds, and the others
+    as (count, shingle), rarest first."""
+    each = stage(sets.select(F.col("doc_id").alias("doc"), F.explode("set").alias("s")))
+    counts = each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select(F.col("s").alias("c_s"), "c")
+    shared = each.join(counts, F.col("s") == F.col("c_s")).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("shared"))
+    out = stage(sets.select(F.col("doc_id").alias("d"), F.size("set").alias("n")).join(shared, F.col("d") == F.col("doc"), "left").select(F.col("d").alias("doc"), "n", (F.col("n") - F.coalesce(F.size("shared"), F.lit(0))).alias("own"), "shared"))
+    drop_stage(each)
+    return out
+
+
+def _apart(rest: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in open buckets that prefix filtering can't rule out."""
+    comps = rest.groupBy("key", "comp").agg(F.count("*").alias("members"))
+    main = comps.groupBy("key").agg(F.max(F.struct("members", "comp"))["comp"].alias("main"))
+    # one of two linked documents of a bucket is outside of the bucket's largest component
+    docs = rest.join(main, "key").groupBy("node").agg(F.first("comp").alias("comp"), F.max(F.col("comp") != F.col("main")).alias("out"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    rows = docs.join(ranked, F.col("node") == F.col("doc")).where(F.col("own") < prefix)
+    rows = rows.select("node", "comp", "out", "n", "own", F.posexplode(F.slice("shared", F.lit(1), (prefix - F.col("own")).cast("int"))).alias("i", "x"))
+    rows = stage(rows.select("node", "comp", "out", "n", (F.col("own") + F.col("i") + 1).alias("pos"), F.col("x.s").alias("s")))
+    x = rows.where("out").select(F.col("node").alias("a"), F.col("comp").alias("a_comp"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("s").alias("a_s"))
+    fit = (F.col("s") == F.col("a_s")) & (F.col("comp") != F.col("a_comp")) & (~F.col("out") | (F.col("node") > F.col("a")))
+    fit &= 100 * F.least("n", "a_n") >= percent * F.greatest("n", "a_n")
+    fit &= (100 + percent) * (1 + F.least(F.col("n") - F.col("pos"), F.col("a_n") - F.col("a_pos"))) >= percent * (F.col("n") + F.col("a_n"))
+    pairs = stage(x.join(rows, fit).select("a", F.col("node").alias("b")).distinct())
+    drop_stage(rows)
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 85) -> DataFrame:
     """docs without its text, with n_shingles, component_id and kept behind its columns.
 
@@ -188,10 +239,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     of WORDS words, or all its words as one shingle if it has fewer. Two documents are linked if 100 times
     their intersection is at least percent times their union. component_id: the least key that links reach;
     kept: whether it is the row's own. Null, empty and blank texts have no set and are linked with nothing.
-    Documents with equal sets are linked. Each row has its own text's result, also where rows repeat a key.
+    Documents with equal sets are linked. percent is LEAST_PERCENT at least. Each row has its own text's result, also where rows repeat a key.
     A row with a null key takes the component of an equal set, else null (kept then). Columns of docs
     named like a result are replaced.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"the tables find similarities of {LEAST_PERCENT} per cent and more")
     names = ["n_shingles", "component_id", "kept"]
     keep = [c for c in docs.columns if c not in (text, *names)]
     src = docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text"), F.struct(*[docs[c] for c in keep]).alias("row"))
@@ -204,32 +257,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     members = stage(keys.join(buckets, "key"))
     drop_stage(keys)
     sets = stage(shingle_sets(src.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")))
-    links = stage(_verified(members.where("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, percent))
+    star = members.where("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    links = stage(_verified(_likely(star, nodes, percent), sets, percent))
     label = components(links)
-
-    # buckets that those links leave in more than one component
-    of = label.select(F.col("node").alias("l_node"), "comp")
-    placed = stage(members.join(of, F.col("node") == F.col("l_node"), "left").select("key", "node", F.coalesce("comp", "node").alias("comp")))
-    counts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    open_ = stage(counts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("most.comp").alias("main")))
-    sigs = nodes.select(F.col("node").alias("s_node"), "n_shingles", "sig")
-    rest = stage(placed.join(open_, "key").join(sigs, F.col("node") == F.col("s_node")).select("key", "node", "comp", "main", "n_shingles", "sig"))
-    # shingles that no other document of these buckets holds bound what a document can share
-    each = sets.join(rest.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.explode("set").alias("s"))
-    alone = each.groupBy("s").agg(F.count("*").alias("c"), F.min("doc_id").alias("d")).where("c = 1").groupBy("d").agg(F.count("*").alias("u"))
-    most = F.col("n_shingles") - F.coalesce("u", F.lit(0))
-    bounded = rest.join(alone, F.col("node") == F.col("d"), "left").withColumn("most", most).drop("d", "u")
-    rest, full = stage(bounded.where(100 * F.col("most") >= percent * F.col("n_shingles"))), rest
-    x = rest.where("comp <> main").select(F.col("key").alias("x_key"), F.col("node").alias("x"), F.col("comp").alias("x_comp"), F.col("n_shingles").alias("x_n"), F.col("most").alias("x_most"), F.col("sig").alias("x_sig"))
-    equal = F.size(F.filter(F.zip_with("sig", "x_sig", lambda p, q: p == q), lambda e: e))
-    near = (F.col("key") == F.col("x_key")) & (F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("main")) | (F.col("node") > F.col("x")))
-    near &= (100 + percent) * F.least("most", "x_most") >= percent * (F.col("n_shingles") + F.col("x_n"))
-    near &= (100 * F.least("n_shingles", "x_n") >= percent * F.greatest("n_shingles", "x_n")) & (equal >= EQUAL)
-    pairs = stage(x.join(rest, near).select(F.col("x").alias("a"), F.col("node").alias("b")).distinct())
-    more = stage(_verified(pairs, sets, percent))
-    if more.limit(1).count():
-        label = components(links.unionByName(more))
-    drop_stage(members, placed, rest, full, sets)
+    rest = _open(members, label)
+    if not rest.isEmpty():
+        inside = rest.select(F.col("node").alias("doc_id")).distinct()
+        ranked = _rare_first(sets.join(inside, "doc_id", "left_semi"))
+        share = ranked.select("doc", (F.col("own") / F.col("n")).alias("share"))
+        center = rest.join(share, F.col("node") == F.col("doc")).groupBy("key").agg(F.min(F.struct("share", "node", "comp")).alias("m")).select("key", F.col("m.node").alias("a"), F.col("m.comp").alias("a_comp"))
+        star = rest.join(center, "key").where("comp <> a_comp").select("a", F.col("node").alias("b")).distinct()
+        links = stage(links.unionByName(_verified(_likely(star, nodes, percent), sets, percent)))
+        drop_stage(label, rest)
+        label = components(links)
+        rest = _open(members, label)
+        more = stage(_verified(_likely(_apart(rest, ranked, percent), nodes, percent), sets, percent))
+        if not more.isEmpty():
+            drop_stage(label)
+            label = components(links.unionByName(more))
+        drop_stage(ranked, more)
+    drop_stage(members, rest, sets, nodes, links)
 
     # back to every row, by its text's set
     named = alike.join(label, "node", "left").select(F.col("d1").alias("n1"), F.col("d2").alias("n2"), F.coalesce("comp", "node").alias("comp"))

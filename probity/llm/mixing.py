@@ -20,24 +20,48 @@ CAP = 3
 SHARD_ROWS, SHARDS = 4096, 4096
 #: A block is this part of the smallest positive target, and at least one token.
 GRAIN = 256
-#: Seats beyond a floored quota less one that are ranked by quotient.
-CONTEST = 4
 
 
 def apportion(rows: DataFrame, by: list[str], weight: str, seats: str, out: str, most: str) -> DataFrame:
     """rows with out: its seats among the rows of the same `by`, by the highest quotients weight/(2s+1).
 
-    `seats` (the same in each group) is the number of seats, `most` a row's limit. Seats that no quotient
-    contest can change (the floored exact share less one) are given at once; the others go to the highest
-    quotients. Ties go to the smaller `at`, a unique order of the rows.
+    `seats` (the same in each group) is the number of seats, `most` a row's limit. Ties go to the smaller `at`,
+    a unique order of the rows. Rows without weight or limit get none; seats beyond all limits stay free.
+
+    The divisor is bracketed first: n rows hold within n/2 of sum(min(most, weight / (2 * divisor))) quotients,
+    and that sum is solved by the order in which rows reach their limits. Quotients above the bracket are seats
+    at once; those inside, fewer than 4n + 4 in all, are ranked.
     """
     g = W.partitionBy(*by)
-    exact = F.when(F.sum(weight).over(g) > 0, F.col(seats) * F.col(weight) / F.sum(weight).over(g)).otherwise(0.0)
-    base = rows.withColumn("_base", F.least(F.col(most), F.greatest(F.lit(0), F.floor(exact).cast("long") - 1)))
-    base = base.withColumn("_open", F.col(seats) - F.sum("_base").over(g))
-    claims = base.where(F.col(weight) > 0).select(*by, "at", weight, "_base", "_open", most, F.explode(F.sequence(F.lit(0), F.lit(CONTEST - 1))).alias("_k"))
-    claims = claims.where(F.col("_base") + F.col("_k") < F.col(most)).withColumn("_q", F.col(weight) / (2 * (F.col("_base") + F.col("_k")) + 1))
-    won = claims.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("_q"), "at", "_k"))).where(F.col("_r") <= F.col("_open")).groupBy(*by, "at").agg(F.count("*").alias("_won"))
+    base = rows.withColumn("_m", F.when(F.col(weight) > 0, F.greatest(F.col(most), F.lit(0))).otherwise(0).cast("double"))
+    base = base.withColumn("_c", F.when(F.col("_m") > 0, F.col(weight) / (2 * F.col("_m") - 1)))
+    order = g.orderBy(F.desc_nulls_last("_c"), "at")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    w = F.when(F.col("_m") > 0, F.col(weight).cast("double")).otherwise(0.0)
+    base = base.withColumns(
+        {
+            "_i": F.row_number().over(order),
+            "_full": F.coalesce(F.sum("_m").over(before), F.lit(0.0)),
+            "_left": F.sum(w).over(order.rowsBetween(0, W.unboundedFollowing)),
+            "_up": F.coalesce(F.lag("_c").over(order), F.lit(float("inf"))),
+            "_n": F.count("*").over(g) / 2 + 1,
+        }
+    )
+
+    def divisor(goal: Column) -> Column:
+        level = F.when(goal > F.col("_full"), F.col("_left") / (2 * (goal - F.col("_full")))).otherwise(F.lit(float("inf")))
+        reached = F.col("_full") + F.col("_left") / (2 * F.col("_c")) >= goal
+        return F.coalesce(F.min(F.when(reached, F.struct("_i", F.least("_up", level).alias("v")))).over(g)["v"], F.lit(0.0))
+
+    def held(div: Column) -> Column:
+        return F.when(div > 0, F.floor((F.col(weight) / div + 1) / 2)).otherwise(F.col("_m"))
+
+    base = base.withColumns({"_high": divisor(F.col(seats) - F.col("_n")), "_low": divisor(F.col(seats) + F.col("_n"))})
+    base = base.withColumns({"_base": F.greatest(F.lit(0), F.least("_m", held(F.col("_high"))) - F.when(F.col("_high") > 0, 1).otherwise(0)).cast("long"), "_end": F.least("_m", held(F.col("_low")) + 1).cast("long")})
+    base = base.withColumn("_base", F.when(F.col("_m") > 0, F.col("_base")).otherwise(0)).withColumn("_free", F.col(seats) - F.sum("_base").over(g))
+    claims = base.where("_m > 0 and _end > _base").select(*by, "at", weight, "_free", F.explode(F.sequence(F.col("_base"), F.col("_end") - 1)).alias("_s"))
+    claims = claims.withColumn("_q", F.col(weight) / (2 * F.col("_s") + 1))
+    won = claims.withColumn("_r", F.row_number().over(g.orderBy(F.desc("_q"), "at", "_s"))).where(F.col("_r") <= F.col("_free")).groupBy(*by, "at").agg(F.count("*").alias("_won"))
     won = won.select(*[F.col(c).alias(f"_w_{c}") for c in [*by, "at"]], "_won")
     cond = F.col("at") == F.col("_w_at")
     for c in by:
@@ -68,14 +92,15 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     size: words of the text (null: 0). Sources in order of code points, null last, weigh WEIGHTS, repeated,
     and share the sum of all sizes; no target exceeds CAP times its source's size. taken: the words that
     the mix takes of the row, repeats counted; CAP * size at most. The sum of a source's taken words is its
-    quota of blocks, within a block of its target. Rows with equal key, size and source are alike: which of
+    quota of blocks, within a block of its target. Rows with equal key, text and source are alike: which of
     them is taken does not matter. Null keys are ordered first. An empty table gives no rows, and where
     all sizes are 0 all targets are. Columns of docs named like one of the four are replaced.
     """
     spark = docs.sparkSession
     names = ["size", "source_size", "target", "taken"]
     keep = [c for c in docs.columns if c not in (text, *names)]
-    rank: Column = F.xxhash64(F.lit(seed), docs[key])
+    # the text's hash spreads rows of one key, null ones above all
+    rank: Column = F.xxhash64(F.lit(seed), docs[key], docs[text])
     rows = stage(docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs[source].alias("source"), F.coalesce(F.regexp_count(docs[text], F.lit(SIZE)), F.lit(0)).cast("long").alias("size"), rank.alias("rank"), docs[key].alias("key")))
     per = stage(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     total = per.agg(F.sum("source_size")).first()[0] or 0
@@ -89,7 +114,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     # at most one row for each source: broadcast or not as Spark measures it
     q = quota.select(F.col("source").alias("q_source"), "source_size", "target", "shards", "blocks", F.col("at").alias("source_at"))
     placed = rows.join(q, rows["source"].eqNullSafe(q["q_source"]))
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "key", "rank"), F.col("shards")))
+    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "rank"), F.col("shards")))
     shards = placed.groupBy("source_at", "shard").agg(F.sum("size").cast("double").alias("shard_size"), (F.first("blocks") * block).alias("tokens"))
     # seats of one token: a shard holds CAP * shard_size of them, so the shards of a source hold all its blocks
     shards = shards.withColumns({"at": F.col("shard"), "most": (F.col("shard_size") * CAP).cast("long")})

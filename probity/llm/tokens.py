@@ -1,119 +1,144 @@
 """Token counts by overlap resynchronisation.
 
-A text is cut into overlapping chunks. Each chunk is encoded to the start offsets of its words (runs
-without ASCII white space) and the library's token count of each word. Two neighbouring chunks are
-spliced at a boundary that is stable in both: a word start that white space precedes in either chunk.
-No match of the tokenizer's pre-tokenisation, normalisation or special strings spans white space, so
-from such a boundary on, the right chunk's tokens are those of the whole text. Where the overlap holds
-no such boundary, it is widened, up to the rest of the text.
+Documents longer than a chunk are encoded by the library in overlapping chunks, with the offsets of the tokens.
+Two neighbouring chunks are spliced where both start a word (the tokenizer's own pre-token) at the same
+character, and from there on have the same tokens at the same offsets, up to the last word that the left
+chunk's end can't have touched. Words are matched from left to right without looking back, so from a start
+that is true in the left chunk, a chunk that starts a word there has the tokens of the whole text. Where the
+overlap holds no such start, it is widened; once it would reach the left chunk's own splice, both are encoded
+as one chunk. A tokenizer without words of its own thus encodes whole texts; sentencepiece models, whose
+words aren't reported, always do.
 """
 from __future__ import annotations
 
-import re
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cached_property
+from itertools import islice
+from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from probity.llm.common import slices
 
-CHUNK = 1 << 15
-OVERLAP = 1 << 8
-#: Words whose counts a task keeps; a full memo starts anew.
-MEMO = 1 << 20
+#: Characters of a chunk, and of the overlap that is tried first.
+CHUNK, OVERLAP = 1 << 12, 1 << 7
+#: Chunks that are encoded at once.
+TOGETHER = 64
+#: Characters before a chunk's end in which its tokens may differ from the text's, at least; the longest
+#: special string may ask for more.
+MARGIN = 16
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
+class Token(NamedTuple):
+    id: int
+    start: int  # in the text
+    first: bool  # of a word
 
-def _per_text(tok, texts: list[str], together: int = 128) -> list[int]:
-    """Token counts of words. They are encoded `together` at a time, a space between them, which costs
-    less than one by one; each token counts for the word that its offset lies in."""
-    groups = [texts[i : i + together] for i in range(0, len(texts), together)]
-    out: list[int] = []
-    for words, enc in zip(groups, tok.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
-        ends = np.cumsum([len(w) + 1 for w in words])
-        first = np.array([a for a, _ in enc.offsets], dtype=np.int64)
-        out += np.bincount(np.searchsorted(ends, first, side="right"), minlength=len(words)).tolist()
-    return out
 
+class Chunk:
+    """text[at:to] as the library encodes it. Tokens are looked at one by one, since only overlaps need theirs."""
 
-class Counter:
-    """Token counts of words, as the library gives them for each word's text."""
+    def __init__(self, at: int, to: int, found):
+        self.at, self.to, self.found, self.n = at, to, found, len(found)
+
+    @cached_property
+    def ids(self) -> list[int]:
+        return self.found.ids
+
+    def token(self, k: int) -> Token:
+        e = self.found
+        return Token(self.ids[k], self.at + e.token_to_chars(k)[0], k == 0 or e.token_to_word(k) != e.token_to_word(k - 1))
+
+
+class Library:
+    """The library that a tokenizer file is for: tokenizers for .json, sentencepiece for .model."""
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.margin = MARGIN
         if path.endswith(".model"):
             import sentencepiece
 
-            proc = sentencepiece.SentencePieceProcessor(model_file=path)
-            self._encode = lambda texts: [len(x) for x in proc.encode(texts, num_threads=1)]
+            self.proc = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.tok = None
         else:
             from tokenizers import Tokenizer
 
-            tok = Tokenizer.from_file(path)
-            tok.no_padding()
-            tok.no_truncation()
-            self._encode = lambda texts: _per_text(tok, texts)
-        self.memo: dict[bytes, int] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list(words)
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            self.memo.update(zip(part, self._encode([w.decode() for w in part])))
-
-    def total(self, words: list[bytes]) -> int:
-        return sum(map(self.memo.__getitem__, words))
-
-    def count(self, text: bytes) -> int:
-        words = text.split()
-        self.learn(set(words))
-        return self.total(words)
-
-
-def words_of(text: bytes, at: int, to: int) -> tuple[list[int], list[bytes]]:
-    """Start offsets (in the whole text) and words of the chunk [at, to)."""
-    found = list(_WORD.finditer(text, at, to))
-    return [m.start() for m in found], [m.group() for m in found]
-
-
-def spliced(text: bytes, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[list[bytes]]:
-    """The words of the text, a list for each chunk, which the chunks' splices bound.
-
-    A start is stable in a chunk if white space precedes it inside the chunk. Chunk and next chunk are
-    spliced at the first start that is stable in both; the words before it are the left chunk's, all of
-    them ended by white space, and the others the right chunk's. With no such start in the overlap, the
-    overlap is widened; where it has reached the left chunk's own splice, the left chunk is lengthened.
-    """
-    out: list[list[bytes]] = []
-    splice, end = 0, min(chunk, len(text))
-    starts, words = words_of(text, 0, end)
-    while end < len(text):
-        wide, p = overlap, None
-        while p is None and end < len(text):
-            at = max(splice, end - wide)
-            right_end = min(len(text), at + max(chunk, 2 * wide))
-            right_starts, right_words = words_of(text, at, right_end)
-            stable = {x for x in starts[bisect_right(starts, at) :]}
-            p = next((x for x in right_starts if x > at and x in stable), None)
-            if p is None:
-                wide *= 4
-                if at == splice:
-                    end = min(len(text), end + wide)
-                    starts, words = words_of(text, splice, end)
-        if p is None:
+            self.tok = Tokenizer.from_file(path)
+            self.tok.no_padding()
+            self.tok.no_truncation()
+            self.margin = max([MARGIN, *(2 * len(t.content) for t in self.tok.get_added_tokens_decoder().values())])
+
+    def chunks(self, parts: Iterable[tuple[str, int, int]]) -> Iterator[Chunk]:
+        """text[at:to] of each (text, at, to), encoded TOGETHER at a time: a huge text's tokens are never all held."""
+        parts = iter(parts)
+        while some := list(islice(parts, TOGETHER)):
+            cut = [t[a:z] for t, a, z in some]
+            found = self.proc.encode(cut, num_threads=1) if self.tok is None else self.tok.encode_batch(cut, add_special_tokens=False)
+            yield from (Chunk(a, z, e) for (_, a, z), e in zip(some, found))
+
+    def chunk(self, text: str, at: int, to: int) -> Chunk:
+        return next(self.chunks([(text, at, to)]))
+
+
+def splice(left: Chunk, right: Chunk, least: int, margin: int) -> tuple[int, int] | None:
+    """Indices of the token of either chunk from which on the right one takes over, `least` at least in the
+    left one; None if the overlap has none."""
+    tail: list[Token] = []  # the left chunk's tokens inside the overlap, up to its last untouched word
+    for k in range(left.n - 1, least - 1, -1):
+        t = left.token(k)
+        if t.start <= right.at:
+            break
+        if tail or t.first and t.start <= left.to - margin:
+            tail.append(t)
+            begin = k
+    tail.reverse()
+    head: list[Token] = []
+    for k in range(right.n):
+        t = right.token(k)
+        if not tail or t.start > tail[-1].start:
             break
-        out.append(words[bisect_left(starts, splice) : bisect_left(starts, p)])
-        splice, end, starts, words = p, right_end, right_starts, right_words
-    out.append(words[bisect_left(starts, splice) :])
-    return out
+        head.append(t)
+    places: dict[int, int] = {}
+    for j, t in enumerate(head):
+        if t.first and t.start > right.at:
+            places.setdefault(t.start, j)
+    for i, t in enumerate(tail):
+        j = places.get(t.start) if t.first else None
+        if j is not None and tail[i:-1] == head[j : j + len(tail) - 1 - i]:
+            return begin + i, j
+    return None
+
+
+def counts(lib: Library, texts: list[str], chunk: int, overlap: int) -> list[int]:
+    """The tokens of each text, from chunks of so many characters."""
+    overlap = min(overlap, chunk // 2)
+    spans = [[(0, len(t))] if lib.tok is None or len(t) <= chunk else [(a, min(len(t), a + chunk)) for a in range(0, len(t) - overlap, chunk - overlap)] for t in texts]
+    found = lib.chunks((t, a, z) for t, cuts in zip(texts, spans) for a, z in cuts)
+    return [spliced(lib, t, islice(found, len(cuts)), overlap) for t, cuts in zip(texts, spans)]
+
+
+def spliced(lib: Library, text: str, chunks: Iterator[Chunk], overlap: int) -> int:
+    """The text's tokens, from its overlapping chunks in order."""
+    left = next(chunks)
+    total = begin = 0
+    for right in chunks:
+        wide, hit = overlap, splice(left, right, begin, lib.margin)
+        while hit is None:
+            wide *= 4
+            at = left.to - wide
+            if at <= (left.token(begin).start if begin < left.n else left.at):
+                left, right = lib.chunk(text, left.at, right.to), None
+                break
+            right = lib.chunk(text, at, right.to)
+            hit = splice(left, right, begin, lib.margin)
+        if right is not None:
+            total += hit[0] - begin
+            left, begin = right, hit[1]
+    return total + left.n - begin
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -125,19 +150,12 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "doc
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        lib = Library(path)
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = [(t or "").encode() for t in part.column(1).to_pylist()]
-                words = []
-                for t in texts:
-                    if len(t) <= chunk:
-                        words.append([t.split()])
-                    else:
-                        words.append(spliced(t, chunk, overlap))
-                counter.learn({w for row in words for ws in row for w in ws})
-                n = [sum(map(counter.total, row)) for row in words]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                n = counts(lib, texts, chunk, overlap)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text"))

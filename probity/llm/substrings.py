@@ -39,7 +39,7 @@ PACK = 1 << 20
 #: Bytes of a pack that are hashed at a time.
 BLOCK = 1 << 16
 #: Text bytes that a range answers for, about; and ranges at least.
-RANGE_BYTES, RANGES = 8 << 20, 16
+RANGE_BYTES, RANGES = 2 << 20, 64
 #: Packs whose contexts of one anchor meet at once.
 HOT = 128
 #: Contexts that a range compares at once, about.

@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 from probity import const
 
 # Fixed patterns of the page formats.
-BR = r"(?i)<\s*br\s*/?\s*>"
+BR = r"(?iU)<\s*br\s*/?\s*>"
 TAG = r"<[^>]+>"
 IMAGE = r'(?i)<img[^>]+src="(https?://[^"]+)"'
 VIDEO = r'(?i)<a[^>]+href="(/video[-\d_]+)"'
@@ -35,9 +35,14 @@ def strip_tags(t: Column, entities: bool = True) -> Column:
     s = F.regexp_replace(F.regexp_replace(t, BR, "\n"), TAG, "")
     if entities:
         s = F.when(F.contains(s, F.lit("&")), unescape(s)).otherwise(s)
-    s = F.regexp_replace(s, r"[ \t]+", " ")
+    s = F.regexp_replace(s, r"[ \t\r\f\x0B]+", " ")
     s = F.regexp_replace(s, r"\n{3,}", "\n\n")
-    return F.regexp_replace(s, r"^\s+|\s+$", "")
+    return trim(s)
+
+
+def trim(t: Column) -> Column:
+    """Without white space of any kind at its ends, ASCII separators included."""
+    return F.regexp_replace(t, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
 
 def tags_to_spaces(t: Column) -> Column:
@@ -45,13 +50,14 @@ def tags_to_spaces(t: Column) -> Column:
 
 
 def compact_number(t: Column) -> Column:
-    """'1.2K' -> 1200; blanks and commas are dropped; without a suffix all digits count; none: 0."""
-    s = F.regexp_replace(F.coalesce(t, F.lit("")), r"[\s,\x{A0}]", "")
-    suffix = F.upper(F.regexp_extract(s, r"^(\d+(?:\.\d+)?)([KkMm])$", 2))
-    number = F.regexp_extract(s, r"^(\d+(?:\.\d+)?)([KkMm])$", 1).try_cast("double")
-    scaled = (number * F.when(suffix == "K", 1000).otherwise(1000000)).cast("long")
-    digits = F.regexp_replace(s, r"[^0-9]", "")
-    return F.when(suffix != "", scaled).when(digits != "", digits.try_cast("long")).otherwise(F.lit(0).cast("long"))
+    """'1.2K' -> 1200, '1.5' -> 1; blanks (U+0020) and commas are dropped. What is no number with an optional
+    suffix k or m counts by its digits; none: 0."""
+    s = F.translate(trim(F.coalesce(t, F.lit(""))), " ,", "")
+    form = r"^(\d+(?:\.\d+)?)([kKmM]?)$"
+    suffix = F.lower(F.regexp_extract(s, form, 2))
+    scaled = (F.regexp_extract(s, form, 1).try_cast("double") * F.when(suffix == "k", 1000).when(suffix == "m", 1000000).otherwise(1)).cast("long")
+    digits = F.regexp_replace(s, r"[^0-9]", "").try_cast("long")
+    return F.coalesce(F.when(s.rlike(form), scaled).otherwise(digits), F.lit(0).cast("long"))
 
 
 def features_in_text(t: Column) -> Column:
@@ -64,42 +70,49 @@ def attachments(t: Column) -> Column:
 
 
 def unwrap_ajax(t: Column) -> Column:
-    """The joined string items of a JSON object's `data`; anything else as it is."""
-    data = F.get_json_object(t, "$.data")
-    items = F.from_json(data, "array<string>", {"mode": "PERMISSIVE"})
-    return F.when(t.rlike(r"^\s*\{") & items.isNotNull(), F.array_join(items, "")).otherwise(t)
-
-
+    """The joined string items of a JSON object's `data` (other items are left out; none without `data`);
+    what is no JSON object as it is, trimmed."""
+    s = trim(F.coalesce(t, F.lit("")))
+    v = F.try_parse_json(s)
+    data = F.try_variant_get(v, "$.data", "variant")
+    items = F.filter(F.try_variant_get(data, "$", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING")
+    joined = F.array_join(F.transform(items, lambda x: F.try_variant_get(x, "$", "string")), "")
+    one = F.when(F.schema_of_variant(data) == "STRING", F.try_variant_get(data, "$", "string"))
+    return F.when(s.startswith("{") & v.isNotNull(), F.coalesce(joined, one, F.lit(""))).otherwise(s)
+
+
+# The spelled numbers.
 _NUMBERS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
 
 
 def relative_date(t: Column, now: Column, zone: str = "Europe/Moscow") -> Column:
     """Epoch seconds of a date text seen at `now` (epoch seconds): 'd mon yyyy [at h:mm am]', 'd mon [at ...]',
-    'today/yesterday at ...', 'N hours/minutes ago' (digits or one to ten). A date without a year lies in
-    now's year, or the year before where that were more than a day ahead. Unknown months count as January;
-    what fits no form is 0."""
-    s = F.lower(F.trim(F.regexp_replace(F.coalesce(t, F.lit("")), r"\s+", " ")))
-    local = F.from_utc_timestamp(F.timestamp_seconds(now), zone)
-    full = r"^(\d{1,2}) ([a-z]{3})[a-z]*(?: (\d{4}))?(?: at (\d{1,2}):(\d{2}) ?(am|pm)?)?$"
-    near = r"^(today|yesterday) at (\d{1,2}):(\d{2}) ?(am|pm)?$"
-    ago = r"^(\d+|[a-z]+) (hour|minute)s? ago$"
+    and, whatever follows, 'today/yesterday at ...' and 'N hours/minutes ago' (digits or one to ten). A date
+    without a year lies in now's year, or the year before where that were more than a day ahead. Unknown
+    months count as January; what fits no form or no calendar is 0. Nothing depends on the session's zone."""
+    s = F.lower(trim(F.coalesce(t, F.lit(""))))
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.timestamp_add("SECOND", now, epoch))
+    full = r"(?U)^(\d{1,2})\s+([a-z]{3,5})[a-z]*(?:\s+(\d{4}))?(?:\s+at\s+(\d{1,2}):(\d{2})\s*(am|pm)?)?$"
+    near = r"(?U)^(yesterday|today)\s+at\s+(\d{1,2}):(\d{2})\s*(am|pm)?"
+    ago = r"(?U)^(\d+|" + "|".join(_NUMBERS) + r")\s+(hour|minute)s?\s+ago"
 
     def part(pattern: str, i: int) -> Column:
         return F.regexp_extract(s, pattern, i)
 
-    def clock(h: Column, half: Column) -> Column:
-        hour = F.coalesce(h.try_cast("int"), F.lit(0))
-        return F.when(half == "pm", hour % 12 + 12).when(half == "am", hour % 12).otherwise(hour)
-
-    month = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, const.MONTHS)), part(full, 2)), F.lit(0)), F.lit(1)).cast("int")
-
-    def at(year: Column) -> Column:
-        return F.expr("1") * 0 + F.unix_seconds(F.to_utc_timestamp(F.try_make_timestamp(year, month, part(full, 1).try_cast("int"), clock(part(full, 4), part(full, 6)), F.coalesce(part(full, 5).try_cast("int"), F.lit(0)), F.lit(0)), zone))
-
-    this = at(F.year(local))
-    dated = F.when(part(full, 3) != "", at(part(full, 3).try_cast("int"))).when(this > now + 86400, at(F.year(local) - 1)).otherwise(this)
+    def seconds(year: Column, month: Column, day: Column, pattern: str, i: int) -> Column:
+        hour = F.coalesce(part(pattern, i).try_cast("int"), F.lit(0))
+        half = part(pattern, i + 2)
+        hour = F.when((half == "pm") & (hour != 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
+        wall = F.try_make_timestamp_ntz(year, month, day, hour, F.coalesce(part(pattern, i + 1).try_cast("int"), F.lit(0)), F.lit(0))
+        return F.timestamp_diff("SECOND", epoch, F.convert_timezone(F.lit(zone), F.lit("UTC"), wall))
+
+    month = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, const.MONTHS)), F.substring(part(full, 2), 1, 3)), F.lit(0)), F.lit(1)).cast("int")
+    in_year = lambda y: seconds(y, month, part(full, 1).try_cast("int"), full, 4)
+    this = in_year(F.year(local))
+    dated = F.when(part(full, 3) != "", in_year(part(full, 3).try_cast("int"))).when(this - now > 86400, in_year(F.year(local) - 1)).otherwise(this)
     day = F.date_sub(F.to_date(local), F.when(part(near, 1) == "yesterday", 1).otherwise(0))
-    close = F.unix_seconds(F.to_utc_timestamp(day.cast("timestamp"), zone)) + clock(part(near, 2), part(near, 4)) * 3600 + F.coalesce(part(near, 3).try_cast("int"), F.lit(0)) * 60
+    close = seconds(F.year(day), F.month(day), F.day(day), near, 2)
     spelled = F.array_position(F.array(*map(F.lit, _NUMBERS)), part(ago, 1))
     n = F.coalesce(part(ago, 1).try_cast("long"), F.nullif(spelled, F.lit(0)))
     since = now - n * F.when(part(ago, 2) == "hour", 3600).otherwise(60)

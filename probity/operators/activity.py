@@ -60,13 +60,18 @@ def keep_one(df: DataFrame, keys: list[str], order: list[str], out: str, last: b
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
     """new merged into old by key; a rule gives a column's value from the new and the old one. Columns
-    without a rule are overwritten wherever the key is new or updated."""
+    without a rule are overwritten wherever the key is new or updated; columns that new doesn't have keep
+    the old value (null in new rows)."""
     o = old.select(*keys, *[F.col(c).alias(f"_o_{c}") for c in old.columns if c not in keys], F.lit(True).alias("_o"))
     n = new.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in new.columns if c not in keys], F.lit(True).alias("_n"))
     both = o.join(n, keys, "full")
     out = []
     for c in [c for c in old.columns if c not in keys]:
-        a, b = F.col(f"_n_{c}"), F.col(f"_o_{c}")
+        b = F.col(f"_o_{c}")
+        if c not in new.columns:
+            out.append(b.alias(c))
+            continue
+        a = F.col(f"_n_{c}")
         merged = rules[c](a, b) if c in rules else a
         out.append(F.when(F.col("_n").isNull(), b).otherwise(merged).alias(c))
     return both.select(*keys, *out)

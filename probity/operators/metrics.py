@@ -35,6 +35,11 @@ def best_threshold(grid: DataFrame) -> DataFrame:
     return grid.orderBy(F.desc("f1"), "threshold").limit(1)
 
 
+def precise_threshold(grid: DataFrame) -> DataFrame:
+    """The row of the highest precision, then the highest recall; ties to the smaller threshold."""
+    return grid.orderBy(F.desc("precision"), F.desc("recall"), "threshold").limit(1)
+
+
 def confusion(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:
     """tp, fp, fn, tn, accuracy and the Brier score."""
     y, p = F.col(label) == 1, F.col(score) >= threshold
@@ -44,13 +49,34 @@ def confusion(df: DataFrame, label: str, score: str, threshold: float = 0.5) ->
     )
 
 
-def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Area under the ROC curve from ranks (ties share their mean rank).
+#: Value ranges that a running sum is cut into.
+RANGES = 256
+
+
+def running(df: DataFrame, value: str, sums: list[str], descending: bool = False) -> DataFrame:
+    """df(value unique, ...) with before_<c> for each of sums: its sum over all rows of smaller (greater, if
+    descending) values.
+
+    Approximate quantiles cut the values into ranges; sums of the ranges, a few hundred rows, are added up
+    and meet the rows of their range, which each have a window of their own. No task sorts all values. Null
+    values come first (last, if descending)."""
+    cuts = df.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10000)).first()[0] or []
+    cuts = sorted(set(cuts))
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(value))) if cuts else F.lit(0)
+    x = df.withColumn("_range", F.when(F.col(value).isNull(), -1).otherwise(at))
+    per = x.groupBy("_range").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    turn = (lambda c: F.desc_nulls_last(c)) if descending else (lambda c: F.asc_nulls_first(c))
+    ahead = W.orderBy(turn("_range")).rowsBetween(W.unboundedPreceding, -1)  # RANGES + 1 rows at most
+    per = per.select(F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_{c}").over(ahead), F.lit(0)).alias(f"_to_{c}") for c in sums])
+    w = W.partitionBy("_range").orderBy(turn(value)).rowsBetween(W.unboundedPreceding, -1)
+    x = x.join(F.broadcast(per), F.col("_range") == F.col("_r"))
+    return x.select(*df.columns, *[(F.col(f"_to_{c}") + F.coalesce(F.sum(c).over(w), F.lit(0))).alias(f"before_{c}") for c in sums])
+
 
-    Counts by distinct score come first; only they go through the window."""
+def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Area under the ROC curve from ranks (ties share their mean rank)."""
     k = df.groupBy(score).agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("p"))
-    before = F.coalesce(F.sum("n").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = k.withColumn("mid", before + (F.col("n") + 1) / 2)
+    ranks = running(k, score, ["n"]).withColumn("mid", F.col("before_n") + (F.col("n") + 1) / 2)
     s = ranks.agg(F.sum(F.col("mid") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
     return s.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("roc_auc"), F.col("p").alias("positives"), F.col("q").alias("negatives"))
 
@@ -58,33 +84,39 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """The step sum of precision over recall, by distinct score."""
     k = df.groupBy(score).agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("p"))
-    w = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    c = k.select("p", (F.sum("p").over(w) / F.sum("n").over(w)).alias("precision"))
-    return c.agg((F.sum(F.col("precision") * F.col("p")) / F.sum("p")).alias("average_precision"))
+    c = running(k, score, ["n", "p"], descending=True)
+    precision = (F.col("before_p") + F.col("p")) / (F.col("before_n") + F.col("n"))
+    return c.agg((F.sum(precision * F.col("p")) / F.sum("p")).alias("average_precision"))
 
 
-def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """df with is_test: exactly the rounded share of each class, by seeded hash.
+def in_class_ranks(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """df with _rank (from 1) and _size in its class, in the order of a seeded hash.
 
-    The cut is the hash's percentile in its class, taken from counts of 2**16 hash bins, so no class is
-    sorted in one task; the bin that the cut falls into is ranked alone."""
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    x = df.withColumn("_h", h).withColumn("_b", F.shiftrightunsigned("_h", 48))
+    Ranks are counts of 2**16 hash bins plus the rank within the bin, so no class is sorted in one task."""
+    x = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("_b", F.shiftrightunsigned("_h", 48))
     bins = x.groupBy(label, "_b").agg(F.count("*").alias("n"))
     w = W.partitionBy(label).orderBy("_b")
-    bins = bins.withColumn("before", F.sum("n").over(w) - F.col("n")).withColumn("want", F.round(F.sum("n").over(W.partitionBy(label)) * share).cast("long"))
-    b = bins.select(F.col(label).alias("_l"), F.col("_b").alias("_bb"), "before", "want")
+    b = bins.select(F.col(label).alias("_l"), F.col("_b").alias("_bb"), (F.sum("n").over(w) - F.col("n")).alias("_before"), F.sum("n").over(W.partitionBy(label)).alias("_size"))
     y = x.join(b, x[label].eqNullSafe(b["_l"]) & (x["_b"] == b["_bb"]))
-    rank = F.row_number().over(W.partitionBy(label, "_b").orderBy("_h", key))
-    return y.withColumn("is_test", F.col("before") + rank <= F.col("want")).select(*df.columns, "is_test")
+    return y.select(*df.columns, (F.col("_before") + F.row_number().over(W.partitionBy(label, "_b").orderBy("_h", key))).alias("_rank"), "_size")
+
+
+def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
+    """df with is_test: exactly the rounded share of each class, by seeded hash."""
+    y = in_class_ranks(df, label, key, seed)
+    return y.withColumn("is_test", F.col("_rank") <= F.round(F.col("_size") * share).cast("long")).drop("_rank", "_size")
+
+
+def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """df with fold 0..k-1: each class is dealt in turn, so folds hold equal numbers of it, but for one."""
+    return in_class_ranks(df, label, key, seed).withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank", "_size")
 
 
 def average_ranks(df: DataFrame, cols: list[str], key: str) -> DataFrame:
     """(key, r_<col>...): ranks, ties at their mean, from counts by distinct value."""
     out = df
     for c in cols:
-        k = df.groupBy(c).agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(W.orderBy(c).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        r = k.select(F.col(c).alias(f"_{c}"), (before + (F.col("n") + 1) / 2).alias(f"r_{c}"))
+        k = running(df.groupBy(c).agg(F.count("*").alias("n")), c, ["n"])
+        r = k.select(F.col(c).alias(f"_{c}"), (F.col("before_n") + (F.col("n") + 1) / 2).alias(f"r_{c}"))
         out = out.join(r, F.col(c) == F.col(f"_{c}"))
     return out.select(key, *[f"r_{c}" for c in cols])

@@ -12,6 +12,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from probity.functions.clean import kept
 from probity.operators import metrics as M
 
 KEYS = ("id", "user_id", "target_is_bot")
@@ -66,8 +67,8 @@ def evaluate(df: DataFrame, label: str = LABEL, p: str = SCORE) -> dict[str, flo
 
 
 def folds(df: DataFrame, k: int, key: str = "id", seed: int = 42) -> DataFrame:
-    """df with fold 0..k-1 by seeded hash, each class apart."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(LABEL), F.col(key)), F.lit(k)).cast("int"))
+    """df with fold 0..k-1, each class spread evenly; computed once for the k fits."""
+    return kept(M.stratified_folds(df, LABEL, key, k, seed))
 
 
 def cross_validate(df: DataFrame, make, features: list[str], k: int = 5, scale: bool = True, key: str = "id") -> dict[str, float]:

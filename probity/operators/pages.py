@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from probity.functions import parse as P
 
 # Fixed patterns of the page formats.
-POST_START = r'(?i)(?=<div[^>]+class="[^"]*\bPostHeader__contentWrapper\b[^"]*"[^>]*>)'
+POST_START = r'(?i)<div[^>]+class="[^"]*\bPostHeader__contentWrapper\b[^"]*"[^>]*>'
 POST_ID = r'data-post-id="(-?\d+)_(\d+)"'
 POST_DATE = r'(?is)<a[^>]+href="(/wall-[-\d_]+)"[^>]*class="[^"]*PostHeaderTime[^"]*"[^>]*>(.*?)</a>'
 BODY = r'(?is)<div[^>]+class="[^"]*\bwi_body\b[^"]*"[^>]*>.*'
@@ -26,7 +26,7 @@ VIEWS = r'(?i)Socials__viewsCount"[^>]*>([^<]+)<'
 EXEC_JSON = r'(?i)PostContextMenuReactMVK__root"[^>]+data-exec="(\{.+?\})"'
 CLOSED = r'(?i)"isCommentsClosed"\s*:\s*(true|false)'
 PINNED = r"(?i)visually-hidden[^>]*>[^<]*post pinned"
-COMMENT_START = r'(?i)(?=<a[^>]+name="reply\d+"[^>]*class="ReplyItem__anchor"[^>]*>)'
+COMMENT_BLOCK = r'(?i)id="wall_reply-(-?\d+)_(\d+)"'
 COMMENT_ID = r'(?i)<a[^>]+name="reply(\d+)"[^>]*class="ReplyItem__anchor"[^>]*>'
 AUTHOR = r'(?is)<a[^>]+class="[^"]*\bReplyItem__name\b[^"]*"[^>]*href="(/[^"]+)"[^>]*>(.*?)</a>'
 AUTHOR_LINK = r'(?is)<div class="ReplyItem__header".*?<a[^>]+href="(/[^"]+)"[^>]*>(.*?)</a>'
@@ -45,11 +45,17 @@ def pick(c: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
-def segments(pages: DataFrame, html: str, start: str, key: str) -> DataFrame:
-    """(key..., place, seg): the parts of a page from each marker to the next."""
-    parts = F.split(F.col(html), start)
-    # what comes before the first marker is no segment
-    return pages.select(key, "collected_at", F.posexplode(parts).alias("place", "seg")).where(F.col("seg").rlike(start.replace("(?=", "^(?=")))
+def segments(pages: DataFrame, html: str, starts: list[str], key: str) -> DataFrame:
+    """(key..., place, seg): the parts of a page from each marker to the next, by the first of the patterns
+    that the page holds. What comes before the first marker is no segment."""
+
+    def cut(start: str) -> Column:
+        return F.filter(F.split(F.col(html), f"(?={start})"), lambda x: x.rlike(f"^(?:{start})"))
+
+    parts = F.array().cast("array<string>")
+    for p in reversed(starts):
+        parts = F.when(F.col(html).rlike(p), cut(p)).otherwise(parts)
+    return pages.select(key, "collected_at", F.posexplode(parts).alias("place", "seg"))
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -66,7 +72,7 @@ def full_text(body: Column) -> Column:
 
 def parse_posts(pages: DataFrame, html: str = "html", key: str = "page_id", base: str = "") -> DataFrame:
     """pages(key, html, collected_at) to posts; the first of equal (owner_id, post_id) on a page."""
-    s = segments(pages, html, POST_START, key)
+    s = segments(pages, html, [POST_START], key)
     seg = F.col("seg")
     x = s.withColumns({"owner_id": pick(seg, POST_ID).cast("long"), "post_id": pick(seg, POST_ID, 2).cast("long"), "body": F.coalesce(pick(seg, BODY, 0), F.lit(""))}).where("post_id is not null")
     x = first_wins(x, [key, "owner_id", "post_id"], ["place"])
@@ -89,10 +95,10 @@ def reply_index(html: Column) -> Column:
 
 def parse_comments(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     """pages(key, html, post_id, collected_at) to comments; the first of equal ids on a page."""
-    s = segments(pages, html, COMMENT_START, key)
+    s = segments(pages, html, [COMMENT_BLOCK, COMMENT_ID], key)
     index = pages.select(key, "post_id", reply_index(F.col(html)).alias("index"))
     seg = F.col("seg")
-    x = s.withColumn("comment_id", F.coalesce(pick(seg, COMMENT_ID), pick(seg, COMMENT_DATE)).cast("long")).where("comment_id > 0")
+    x = s.withColumn("comment_id", F.coalesce(F.nullif(F.coalesce(pick(seg, COMMENT_BLOCK, 2), pick(seg, COMMENT_ID)).cast("long"), F.lit(0)), pick(seg, COMMENT_DATE).cast("long"))).where("comment_id > 0")
     x = first_wins(x, [key, "comment_id"], ["place"]).join(index, key)
     href = F.coalesce(pick(seg, AUTHOR), pick(seg, AUTHOR_LINK))
     name = F.coalesce(pick(seg, AUTHOR, 2), pick(seg, AUTHOR_LINK, 2))

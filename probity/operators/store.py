@@ -18,13 +18,17 @@ def _known(n: Column, o: Column) -> Column:
     return F.coalesce(n, o)
 
 
+def _count(n: Column, o: Column) -> Column:
+    return F.coalesce(n, o, F.lit(0))
+
+
 def _time(n: Column, o: Column) -> Column:
-    return F.when(F.coalesce(n, F.lit(0)) != 0, n).otherwise(F.coalesce(o, n))
+    return F.when(F.coalesce(n, F.lit(0)) != 0, n).otherwise(o)
 
 
-POST_RULES = {"url": _filled, "date_text": _filled, "timestamp": _time, "text": _known, **dict.fromkeys(["likes", "reposts", "comments", "views", "pinned", "is_comments_closed"], _known)}
+POST_RULES = {"url": _filled, "date_text": _filled, "timestamp": _time, "text": _known, **dict.fromkeys(["likes", "reposts", "comments", "views"], _count), "pinned": _known, "is_comments_closed": _known, "collected_at": _time}
 #: Author, reply, date, text and flags of a comment are overwritten even by null.
-COMMENT_RULES = {"post_row_id": lambda n, o: F.coalesce(o, n), "timestamp": _known, "likes": _known, "collected_at": _time}
+COMMENT_RULES = {"post_row_id": lambda n, o: F.coalesce(o, n), "timestamp": _known, "likes": _count, "collected_at": _time}
 
 
 def _batch(new: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -96,11 +96,17 @@ def script_share(t: Column) -> Column:
     return F.when(t.isNull() | (strip(t) == ""), F.lit(None).cast("double")).otherwise(ratio(c, c + a))
 
 
-def char_entropy(df: DataFrame, key: str, t: str) -> DataFrame:
-    """(key, entropy): Shannon entropy (log2) of the lower-cased characters; fewer than two: 0.
+def entropy(t: Column) -> Column:
+    """Shannon entropy (log2) of the lower-cased characters; fewer than two, or null: 0. Runs of equal
+    characters of the sorted text are its counts, so a row needs no other."""
+    chars = F.split(F.lower(F.when(F.length(t) >= 2, t)), "")
+    runs = F.regexp_extract_all(F.array_join(F.array_sort(chars), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    # few of the lengths differ, so they are grouped by value only in the sum
+    sums = F.aggregate(runs, F.lit(0.0), lambda a, x: a + F.length(x) * F.log2(F.length(x)))
+    n = F.size(chars)
+    return F.when(n > 1, F.greatest(F.lit(0.0), F.log2(n) - sums / n)).otherwise(F.lit(0.0))
+
 
-    Characters are summed by key before they are shuffled. Keys must be unique; null texts have entropy 0."""
-    chars = df.select(key, F.explode_outer(F.split(F.lower(F.when(F.length(t) >= 2, F.col(t))), "")).alias("c"))
-    k = chars.groupBy(key, "c").agg(F.count("c").alias("_n_c")).where("_n_c > 0 or c is null")
-    h = k.groupBy(key).agg(F.sum("_n_c").alias("n"), F.sum(F.when(F.col("_n_c") > 0, F.col("_n_c") * F.log2("_n_c")).otherwise(0.0)).alias("s"))
-    return h.select(key, F.when(F.col("n") > 1, F.greatest(F.lit(0.0), F.log2("n") - F.col("s") / F.col("n"))).otherwise(0.0).alias("entropy"))
+def char_entropy(df: DataFrame, key: str, t: str) -> DataFrame:
+    """(key, entropy) of each row; see entropy."""
+    return df.select(key, entropy(F.col(t)).alias("entropy"))

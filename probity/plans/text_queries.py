@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from probity import const
 from probity.functions import text as T
 from probity.operators import text_features as X
+from probity.operators.profile_features import moving_diversity
 
 QUERIES, SQL = {}, {}
 #: Function words and keywords of the test data's languages, so that the checks have hits.
@@ -187,8 +188,9 @@ def hapax_function_words(spark, d):
 
 
 @query(
-    f"SELECT doc_id, round(CASE WHEN len(ws) >= 50 THEN list_avg(list_transform(range(1, len(ws) - 48), lambda i: len(list_distinct(list_slice(ws, i, i + 49))) / 50.0)) WHEN len(ws) > 0 THEN len(list_distinct(ws)) / CAST(len(ws) AS DOUBLE) ELSE 0.0 END, 6) AS mattr FROM (SELECT doc_id, {WORDS} AS ws FROM documents)"
+    f"SELECT doc_id, round(CASE WHEN len(ws) >= 50 THEN list_sum(list_transform(range(1, len(ws) - 48), lambda i: len(list_distinct(list_slice(ws, i, i + 49))))) / 50.0e0 / (len(ws) - 49) WHEN len(ws) > 0 THEN len(list_distinct(ws)) / CAST(len(ws) AS DOUBLE) ELSE 0.0 END, 6) AS mattr FROM (SELECT doc_id, {WORDS} AS ws FROM documents)"
 )
 def mattr_50(spark, d):
-    x = docs(spark, d).select("doc_id", T.words(F.col("text")).alias("ws"))
-    return x.select("doc_id", r6(X.mattr(F.col("ws"))).alias("mattr"))
+    x = docs(spark, d)
+    m = moving_diversity(x, "doc_id", "doc_id", "text").withColumnRenamed("doc_id", "k")
+    return x.select("doc_id").join(m, F.col("doc_id") == F.col("k"), "left").select("doc_id", r6(F.coalesce("mattr", F.lit(0.0))).alias("mattr"))

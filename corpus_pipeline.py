@@ -5,10 +5,12 @@ as the next stage's docs. All but the last return the columns of documents.
 """
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from probity.llm import common, decontam, langid, minhash, mixing, substrings
 
@@ -33,36 +35,44 @@ def _tidy(stage: Stage, first: bool) -> Stage:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those that the models reject go."""
+    """Documents whose language is recognised; those that the models reject go: null texts, texts without
+    letters, and those whose cross-entropy is above the calibrated threshold. Repeated rows stay."""
     return langid.identify(docs, langid.train(docs)).where(~F.col("rejected")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near-duplicates."""
+    """One document, that of the least id, of each group of near-duplicates. Texts without words stay, and so do
+    all rows of a repeated id that stays."""
     out = minhash.near_duplicates(docs.select("doc_id", "text"))
     gone = common.stage(out.where(~F.col("kept")).select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@F.pandas_udf(StringType())
+def _whole_characters(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in parts:
+        yield texts.map(lambda x: bytes(x).decode("utf-8", "ignore"), na_action="ignore")
+
+
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that documents of smaller ids hold; a document of nothing else goes.
 
-    A cut inside a character takes the rest of the character, too."""
+    A cut inside a character takes the rest of the character, too. Null and empty texts and repeated rows stay."""
     out = substrings.remove_repeats(docs)
-    whole = F.when(F.col("n_removed") == 0, F.col("text").cast("string")).otherwise(F.replace(F.make_valid_utf8(F.col("text").cast("string")), F.lit("�"), F.lit("")))
+    whole = F.when(F.col("n_removed") == 0, F.col("text").cast("string")).otherwise(_whole_characters(F.col("text")))
     out = out.where("n_removed = 0 or n_removed < n_bytes").withColumn("text", whole)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_benchmark_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item. Null and empty texts stay."""
     out = decontam.decontaminate(docs.select("doc_id", "text"), common.table(spark, sf_dir, "benchmark"))
     gone = common.stage(out.where("contaminated").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document."""
+    """How many words the mix takes of each document; 0 of null and empty texts."""
     return mixing.mix(docs).select("doc_id", "lang", "source", "n_chars", "size", "source_size", "target", "taken")
 
 

@@ -1,4 +1,5 @@
 """Operators against brute force or held-out labels on the small test data."""
+import heapq
 import random
 from collections import Counter, defaultdict
 
@@ -136,6 +137,34 @@ def test_equal_hashes_of_different_bytes(monkeypatch, bits):
             assert (pack.data[begin : begin + e.size[k]] == pack.data[e.start[k] : e.start[k] + e.size[k]]).all()
 
 
+def plain_seats(rows, seats):
+    """rows (at, weight, most) to seats by the highest quotients, one after another."""
+    out = {at: 0 for at, _, _ in rows}
+    heap = [(-w, at, w, most) for at, w, most in rows if w > 0 and most > 0]
+    heapq.heapify(heap)
+    for _ in range(seats):
+        if not heap:
+            break
+        _, at, w, most = heapq.heappop(heap)
+        out[at] += 1
+        if out[at] < most:
+            heapq.heappush(heap, (-w / (2 * out[at] + 1), at, w, most))
+    return out
+
+
+def test_apportion_equals_highest_quotients(spark):
+    rng = random.Random(5)
+    cases = [([1000.0] + [1.0] * 19, 400, [10**6] * 20), ([1000.0] + [1.0] * 19, 100, [20] + [10**6] * 19), ([5.0, 2.0, 1.0], 8, [3, 100, 100]), ([1.0] * 7, 3, [9] * 7), ([2.0, 0.0, 3.0], 5, [1, 4, 1]), ([4.0], 0, [5])]
+    for _ in range(40):
+        n = rng.randrange(1, 30)
+        cases.append(([rng.choice([rng.random(), rng.random() ** 6 * 1e6, rng.randrange(1, 4)]) for _ in range(n)], rng.randrange(0, 500), [rng.choice([rng.randrange(0, 12), 10**6]) for _ in range(n)]))
+    rows = [(g, k, float(w), seats, m) for g, (ws, seats, most) in enumerate(cases) for k, (w, m) in enumerate(zip(ws, most))]
+    out = mixing.apportion(spark.createDataFrame(rows, "g int, at int, w double, seats long, most long"), ["g"], "w", "seats", "got", "most").collect()
+    for g, (ws, seats, most) in enumerate(cases):
+        want = plain_seats([(k, w, m) for k, (w, m) in enumerate(zip(ws, most))], seats)
+        assert {r["at"]: r["got"] for r in out if r["g"] == g} == want, g
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (1 + i % 50), f"s{i % 5}" if i % 11 else None) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -44,6 +44,9 @@ def scratch_dir(spark: SparkSession) -> str:
 
 #: Lets Spark drop a query's shuffle files as soon as it has ended.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of the batches that Python tasks get, at most: what such a task holds is a few times that.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 
 
 def stage(df: DataFrame, *partition: str) -> DataFrame:
@@ -51,12 +54,14 @@ def stage(df: DataFrame, *partition: str) -> DataFrame:
     The shuffle files behind it go once it is written."""
     spark = df.sparkSession
     path = scratch_dir(spark)
-    was = spark.conf.get(CLEAN, None)
+    was = {k: spark.conf.get(k, None) for k in (CLEAN, BATCH)}
     spark.conf.set(CLEAN, "true")
+    spark.conf.set(BATCH, str(BATCH_BYTES))
     try:
         df.write.option("compression", "zstd").partitionBy(*partition).parquet(path)
     finally:
-        spark.conf.set(CLEAN, was) if was is not None else spark.conf.unset(CLEAN)
+        for k, v in was.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

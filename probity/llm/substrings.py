@@ -43,7 +43,7 @@ RANGE_BYTES, RANGES = 2 << 20, 64
 #: Packs whose contexts of one anchor meet at once.
 HOT = 128
 #: Contexts that a range compares at once, about.
-TOGETHER = 1 << 14
+TOGETHER = 1 << 13
 #: Lowest bits of a shared anchor: how often its packs are halved into parts.
 PARTS = np.uint64(31)
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -202,9 +202,13 @@ def distinct_spans(key: np.ndarray, data: np.ndarray, lo: np.ndarray, hi: np.nda
 
 
 def rows_of(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """The bytes data[lo:hi], WIDE columns each, 0 behind the end."""
-    at = lo[:, None] + np.arange(WIDE)
-    return np.where(at < hi[:, None], data[np.minimum(at, len(data) - 1)], np.uint8(0))
+    """The bytes data[lo:hi], WIDE columns each, 0 behind the end. By column: an index of all cells would take
+    eight times the bytes."""
+    out = np.zeros((len(lo), WIDE), np.uint8)
+    for k in range(WIDE):
+        at = lo + k
+        out[:, k] = np.where(at < hi, data[np.minimum(at, len(data) - 1)], np.uint8(0))
+    return out
 
 
 def lcp(h: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -221,17 +225,23 @@ def lcp(h: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarra
 
 
 def prefix_hashes(rows: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(rows), rows.shape[1] + 1), U)
-    value = byte_values()
+    """Hashes of the first 0, 1, 2, ... bytes of each row. 32 bits do, since the bytes are compared, too."""
+    out = np.zeros((len(rows), rows.shape[1] + 1), np.uint32)
+    value, h = byte_values(), np.zeros(len(rows), U)
     for k in range(rows.shape[1]):
-        out[:, k + 1] = out[:, k] * U(BASE) + value[rows[:, k]]
+        h = h * U(BASE) + value[rows[:, k]]
+        out[:, k + 1] = h >> U(32)
     return out
 
 
 def verified(rows: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The common prefixes m of strings x and y, cut where bytes differ in spite of equal hashes."""
-    differ = (rows[x] != rows[y]) & (np.arange(rows.shape[1]) < m[:, None])
-    return np.where(differ.any(1), differ.argmax(1), m)
+    out = m.copy()
+    for s in range(0, len(x), TOGETHER):
+        part = slice(s, s + TOGETHER)
+        differ = (rows[x[part]] != rows[y[part]]) & (np.arange(rows.shape[1]) < m[part, None])
+        out[part] = np.where(differ.any(1), differ.argmax(1), m[part])
+    return out
 
 
 def suffix_sort(group: np.ndarray, rows: np.ndarray, h: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -316,10 +326,14 @@ def row_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 def windows_of(group: np.ndarray, text: np.ndarray, size: np.ndarray, lead: np.ndarray, low: np.ndarray):
     """(row, lo, hi, id): columns [lo, hi) of the row's context that smaller ids hold, from the windows that
     contexts of a group share. Windows of one id that follow each other are one string."""
-    take = np.arange(len(text))[:, None]
+    each = np.arange(len(text))
     right_n, left_n = size - lead, lead
-    right = text[take, np.minimum(lead[:, None] + np.arange(LENGTH), WIDE - 1)]
-    left = text[take, np.maximum(lead[:, None] - 1 - np.arange(LEAD), 0)]
+    right, left = np.empty((len(text), LENGTH), np.uint8), np.empty((len(text), LEAD), np.uint8)
+    for k in range(LENGTH):
+        right[:, k] = text[each, np.minimum(lead + k, WIDE - 1)]
+    for k in range(LEAD):
+        left[:, k] = text[each, np.maximum(lead - 1 - k, 0)]
+    del text
     hr, hl = prefix_hashes(right), prefix_hashes(left)
     order = suffix_sort(group, right, hr, right_n)
     rows, starts, ids = [], [], []
@@ -336,7 +350,9 @@ def windows_of(group: np.ndarray, text: np.ndarray, size: np.ndarray, lead: np.n
         if not len(at):
             continue
         x, y = x[at], y[at]
-        equal[at] = (right[x, : LENGTH - o] == right[y, : LENGTH - o]).all(1) & (left[x, :o] == left[y, :o]).all(1)
+        for s in range(0, len(at), TOGETHER):
+            p, q = x[s : s + TOGETHER], y[s : s + TOGETHER]
+            equal[at[s : s + TOGETHER]] = (right[p, : LENGTH - o] == right[q, : LENGTH - o]).all(1) & (left[p, :o] == left[q, :o]).all(1)
         run = np.concatenate([[0], np.cumsum(~equal)])
         best = np.minimum.reduceat(low[w], np.flatnonzero(np.concatenate([[True], ~equal])))[run]
         use = np.flatnonzero(best < low[w])

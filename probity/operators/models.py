@@ -106,6 +106,7 @@ def calibrated(df: DataFrame, make, features: list[str], k: int = 5, scale: bool
         mean = sum((F.col(c) for c in names[1:]), F.col(names[0])) / len(names)
         return rows.withColumn(SCORE, mean).drop(*names)
 
+    apply.pairs = pairs
     return apply
 
 

@@ -2,8 +2,10 @@
 import datetime
 
 import pytest
+from pyspark.ml import PipelineModel
 
-from probity.plans import features
+from probity.operators import models
+from probity.plans import build, features
 from probity.sources import schema
 
 AS_OF = 1706745600  # 2024-02-01
@@ -60,3 +62,25 @@ def test_moving_diversity_equals_the_array_form(spark):
     want = {r[0]: r[1] for r in df.select("user", mattr(words(F.col("text")))).collect()}
     got = {r[0]: r[1] for r in moving_diversity(df, "user", "id", "text").collect()}
     assert got == pytest.approx(want)
+
+
+def test_build_writes_tables_and_errors(tables, tmp_path):
+    broken = dict(tables, profile_subscriptions_sample=tables["profile_subscriptions_sample"].drop("group_id"))
+    errors = build.build(broken, str(tmp_path), AS_OF).collect()
+    assert [r["part"] for r in errors] == ["network"] and "group_id" in errors[0]["error"]
+    spark = tables["profiles"].sparkSession
+    done = spark.read.option("header", True).csv(f"{tmp_path}/complete_features")
+    assert done.count() == 3 and len(done.columns) == 141
+    assert spark.read.option("header", True).csv(f"{tmp_path}/_errors").count() == 1
+
+
+def test_score_writes_predictions(spark, tmp_path):
+    from pyspark.ml.classification import LogisticRegression
+
+    rows = [(i, 100 + i, -1 if i % 5 == 0 else int(i % 7 < 3), float(i % 7), float(i % 3)) for i in range(400)]
+    table = spark.createDataFrame(rows, "id long, user_id long, target_is_bot int, a_rate double, b_count double")
+    got = build.score(table, str(tmp_path), folds=2, make=lambda: LogisticRegression(labelCol=models.LABEL, featuresCol="features", weightCol=models.WEIGHT))
+    assert got["roc_auc"] > 0.95
+    p = spark.read.option("header", True).csv(f"{tmp_path}/predictions_calibrated")
+    assert p.columns == ["id", "user_id", "bot_probability", "predicted_bot"] and p.count() == 80
+    assert PipelineModel.load(f"{tmp_path}/model/1/classifier").stages

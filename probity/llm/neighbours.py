@@ -1,58 +1,69 @@
 """Approximate nearest neighbours: a neighbour graph by NN-descent, greedy search in it.
 
-Rows of equal vectors are one node. The graph starts from blocks of nodes whose random-projection codes
+Rows of equal vectors are one node. The graph starts from small blocks of nodes whose random-projection codes
 agree, then improves by rounds of local joins: each node's neighbours and reverse neighbours are compared
 with each other, and those nearer than a node's farthest neighbour are proposed to it, until a round
 changes less than CHANGED of all neighbours. A query starts at its own node's neighbours and, round by
-round, expands the nearest nodes that it hasn't expanded, until a round leaves its TOP as they were. Only the
-order of candidates is approximate: scores are inner products of the original vectors in double precision.
+round, expands the nearest nodes that it hasn't expanded, until a round leaves its TOP as they were.
+
+A node's neighbours are those of the largest inner product with it, which its own length doesn't change: the
+product of their directions (float16) times the other one's length (double). So a vector of any length
+leaves the precision of all others as it is. Only the order of candidates is approximate: scores are inner
+products of the original vectors in double precision.
 """
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probity.llm.common import drop_stage, stage
 
-#: Neighbours and sampled reverse neighbours of a node; first blocks' trees and size; rounds of local joins at least.
-K, REVERSE, TREES, BLOCK, ROUNDS = 32, 16, 8, 4096, 2
+#: Neighbours and sampled reverse neighbours of a node; first blocks' trees and size.
+K, REVERSE, TREES, BLOCK = 32, 16, 2, 256
 #: Local joins end with the round that changes a smaller share of all neighbours.
-CHANGED = 0.01
+CHANGED = 0.02
 #: What a center proposes to a member: its nearest, and as many of the others, another draw each round.
 PROPOSED = 8
 #: Search: nodes kept for each query, nodes expanded in a round, rounds at least.
-POOL, EXPAND, HOPS = 128, 32, 4
+POOL, EXPAND, HOPS = 192, 48, 2
 TOP = 20
 SEED = 5
 
 
-def nodes_of(vectors: DataFrame, key: str, vec: str) -> DataFrame:
-    """(node, ids, v): a row for each distinct usable vector, its TOP + 1 least ids, its float64 bytes."""
+def usable(vectors: DataFrame, key: str, vec: str) -> DataFrame:
+    """(id, v): the float64 bytes of each key's usable vector; the least ones where a key has several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held: dict[bytes, list[int]] = {}
+            ids, vs = [], []
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if i is None or not x or any(y is None for y in x):
                     continue
                 a = np.array(x, dtype=np.float64) + 0.0
                 if np.isfinite(a).all() and a.any():
-                    held.setdefault(a.tobytes(), []).append(i)
-            rows = [(sorted(set(ids))[: TOP + 1], k) for k, ids in held.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.binary())], names=["ids", "v"])
+                    ids.append(i)
+                    vs.append(a.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vs, pa.binary())], names=["id", "v"])
+
+    return vectors.select(vectors[key].cast("long").alias("id"), vectors[vec].alias("vec")).mapInArrow(run, "id long, v binary").groupBy("id").agg(F.min("v").alias("v"))
+
+
+def nodes_of(rows: DataFrame) -> DataFrame:
+    """rows(id, v) to (node, ids, v): a row for each distinct vector, and its TOP + 1 least ids.
 
-    part = vectors.select(vectors[key].cast("long").alias("id"), vectors[vec].alias("vec")).mapInArrow(run, "ids array<long>, v binary")
-    out = part.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, TOP + 1).alias("ids"))
-    return out.select(F.col("ids")[0].alias("node"), "ids", "v")
+    Ids of one vector are thinned out by parts first, so no task collects all of a large group."""
+    least = lambda c: F.slice(F.array_sort(c), 1, TOP + 1)
+    part = rows.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(256)).alias("part")).agg(F.collect_list("id").alias("ids"))
+    part = part.select("v", least("ids").alias("ids"))
+    return part.groupBy("v").agg(least(F.flatten(F.collect_list("ids"))).alias("ids")).select(F.col("ids")[0].alias("node"), "ids", "v")
 
 
 def _lists(ids: list, sims: list) -> list[pa.Array]:
-    return [pa.array(ids, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float32()))]
+    return [pa.array(ids, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float64()))]
 
 
 def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,19 +82,17 @@ def _merge(parts: DataFrame) -> DataFrame:
         for b in batches:
             nodes, ids, sims = [], [], []
             for node, many, values in zip(*(c.to_pylist() for c in b.columns)):
-                i, s = _best(np.concatenate([np.array(x, np.int64) for x in many]), np.concatenate([np.array(x, np.float32) for x in values]), K)
+                i, s = _best(np.concatenate([np.array(x, np.int64) for x in many]), np.concatenate([np.array(x, np.float64) for x in values]), K)
                 nodes.append(node)
                 ids.append(i)
                 sims.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *_lists(ids, sims)], names=["node", "ids", "sims"])
 
-    return parts.groupBy("node").agg(F.collect_list("ids").alias("ids"), F.collect_list("sims").alias("sims")).mapInArrow(run, "node long, ids array<long>, sims array<float>")
+    return parts.groupBy("node").agg(F.collect_list("ids").alias("ids"), F.collect_list("sims").alias("sims")).mapInArrow(run, "node long, ids array<long>, sims array<double>")
 
 
-def _free(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps whose result is written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def directions(cells: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(cells), np.float16).reshape(len(cells), -1).astype(np.float32)
 
 
 def first_graph(points: DataFrame, n: int, dim: int) -> DataFrame:
@@ -95,33 +104,28 @@ def first_graph(points: DataFrame, n: int, dim: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float16).reshape(b.num_rows, -1).astype(np.float32)
-            side = (x @ planes > 0).reshape(len(x), TREES, -1)[:, :, :bits].astype(np.int64)
-            code = (side << np.arange(bits)).sum(2) if bits else np.zeros((len(x), TREES), np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(code[:, t]) for t in range(TREES))], names=["node", "h", *(f"c{t}" for t in range(TREES))])
+            side = (directions(b.column(1).to_pylist()) @ planes > 0).reshape(b.num_rows, TREES, -1)[:, :, :bits].astype(np.int64)
+            code = (side << np.arange(bits)).sum(2) if bits else np.zeros((b.num_rows, TREES), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(code[:, t]) for t in range(TREES))], names=["node", "h", "m", *(f"c{t}" for t in range(TREES))])
 
-    coded = points.select("node", "h").mapInArrow(codes, "node long, h binary, " + ", ".join(f"c{t} long" for t in range(TREES)))
-    rows = stage(coded.select("node", "h", F.posexplode(F.array(*[F.col(f"c{t}") for t in range(TREES)])).alias("tree", "code")))
+    coded = points.select("node", "h", "m").mapInArrow(codes, "node long, h binary, m double, " + ", ".join(f"c{t} long" for t in range(TREES)))
+    rows = stage(coded.select("node", "h", "m", F.posexplode(F.array(*[F.col(f"c{t}") for t in range(TREES)])).alias("tree", "code")))
     sizes = rows.groupBy("tree", "code").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / BLOCK)).select(F.col("tree").alias("t"), F.col("code").alias("c"), "parts")
     placed = rows.join(sizes, (F.col("tree") == F.col("t")) & (F.col("code") == F.col("c"))).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
-    blocks = placed.groupBy("tree", "code", "part").agg(F.collect_list("node").alias("nodes"), F.collect_list("h").alias("hs"))
+    blocks = placed.groupBy("tree", "code", "part").agg(F.collect_list(F.struct("node", "h", "m")).alias("b")).select("b.node", "b.h", "b.m")
 
     def inside(batches):
         for b in batches:
-            for nodes, hs in zip(b.column(0), b.column(1)):
-                ids = nodes.values.to_numpy()
-                x = np.frombuffer(b"".join(hs.values.to_pylist()), np.float16).reshape(len(ids), -1).astype(np.float32)
-                out_i, out_s = [], []
-                for at in range(0, len(ids), 512):
-                    s = x[at : at + 512] @ x.T
-                    s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
-                    k = min(K, len(ids) - 1)
-                    top = np.argpartition(-s, k - 1, axis=1)[:, :k] if k else np.zeros((len(s), 0), np.int64)
-                    out_i += list(ids[top])
-                    out_s += list(np.take_along_axis(s, top, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), *_lists(out_i, out_s)], names=["node", "ids", "sims"])
-
-    graph = stage(_merge(blocks.select("nodes", "hs").mapInArrow(inside, "node long, ids array<long>, sims array<float>")))
+            for nodes, hs, ms in zip(*b.columns):
+                ids, m = nodes.values.to_numpy(), ms.values.to_numpy()
+                x = directions(hs.values.to_pylist())
+                s = (x @ x.T) * m
+                np.fill_diagonal(s, -np.inf)
+                k = min(K, len(ids) - 1)
+                top = np.argpartition(-s, k - 1, axis=1)[:, :k] if k else np.zeros((len(s), 0), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *_lists(list(ids[top]), list(np.take_along_axis(s, top, 1)))], names=["node", "ids", "sims"])
+
+    graph = stage(_merge(blocks.mapInArrow(inside, "node long, ids array<long>, sims array<double>")))
     drop_stage(rows)
     return graph
 
@@ -129,34 +133,41 @@ def first_graph(points: DataFrame, n: int, dim: int) -> DataFrame:
 def improved(graph: DataFrame, points: DataFrame, turn: int) -> DataFrame:
     """One round of NN-descent: neighbours of each node, either way, are joined with each other."""
     edges = graph.select("node", F.explode("ids").alias("to"))
-    # reverse neighbours: those of the least hash, another draw each round
-    back = edges.groupBy("to").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node"))), 1, REVERSE).alias("in")).select(F.col("to").alias("b"), F.col("in.node").alias("in"))
+    # reverse neighbours: a sample, another one each round; how many a node has only sets the sample's share
+    many = edges.groupBy("to").agg(F.count("*").alias("many")).withColumnRenamed("to", "m_to")
+    r = F.xxhash64("node", F.lit(turn))
+    some = edges.join(many, F.col("to") == F.col("m_to")).where(F.pmod(r, F.col("many")) < 2 * REVERSE)
+    back = some.groupBy("to").agg(F.slice(F.array_sort(F.collect_list(F.struct(r.alias("r"), "node"))), 1, REVERSE).alias("in")).select(F.col("to").alias("b"), F.col("in.node").alias("in"))
     around = graph.join(back, F.col("node") == F.col("b"), "left").select(F.col("node").alias("center"), F.explode(F.array_distinct(F.concat("ids", F.coalesce("in", F.array().cast("array<long>")), F.array("node")))).alias("member"))
-    state = points.join(graph, "node").select("node", "h", F.coalesce(F.element_at("sims", -1), F.lit(-2.0)).cast("float").alias("worst"), F.size("ids").alias("held"))
-    joined = around.join(state, F.col("member") == F.col("node")).groupBy("center").agg(F.collect_list(F.struct("member", "h", F.when(F.col("held") < K, F.lit(-2.0)).otherwise(F.col("worst")).cast("float").alias("worst"))).alias("m")).select("m.member", "m.h", "m.worst")
+    worst = F.when(F.size("ids") < K, F.lit(float("-inf"))).otherwise(F.element_at("sims", -1)).alias("worst")
+    state = points.join(graph, "node").select("node", "h", "m", worst)
+    joined = around.join(state, F.col("member") == F.col("node")).groupBy("center").agg(F.collect_list(F.struct("member", "h", "m", "worst")).alias("x")).select("x.member", "x.h", "x.m", "x.worst")
 
     def local(batches):
         rng = np.random.default_rng(turn)
         for b in batches:
-            nodes, ids, sims = [], [], []
-            for member, h, worst in zip(*b.columns):
-                m = member.values.to_numpy()
-                x = np.frombuffer(b"".join(h.values.to_pylist()), np.float16).reshape(len(m), -1).astype(np.float32)
-                s = x @ x.T
+            held: dict[int, list] = {}
+            for member, h, m, worst in zip(*b.columns):
+                ids, m = member.values.to_numpy(), m.values.to_numpy()
+                x = directions(h.values.to_pylist())
+                s = (x @ x.T) * m
                 np.fill_diagonal(s, -np.inf)
                 good = s > worst.values.to_numpy()[:, None]
-                for i in np.flatnonzero(good.any(1)):
-                    j = np.flatnonzero(good[i])
-                    if len(j) > 2 * PROPOSED:
-                        # the nearest may be known to the member already; the others get their turn
-                        by = np.argpartition(-s[i, j], PROPOSED - 1)
-                        j = j[np.append(by[:PROPOSED], rng.choice(by[PROPOSED:], PROPOSED, replace=False))]
-                    nodes.append(m[i])
-                    ids.append(m[j])
-                    sims.append(s[i, j])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *_lists(ids, sims)], names=["node", "ids", "sims"])
-
-    new = joined.mapInArrow(local, "node long, ids array<long>, sims array<float>")
+                best = np.where(good, s, -np.inf)
+                # the nearest may be known to the member already; a draw of the others gets its turn, too
+                draw = np.where(good, rng.random(s.shape, dtype=np.float32), np.float32(-1))
+                p = min(PROPOSED, len(ids) - 1)
+                pick = np.hstack([np.argpartition(-best, p - 1, axis=1)[:, :p], np.argpartition(-draw, p - 1, axis=1)[:, :p]]) if p > 0 else np.zeros((len(ids), 0), np.int64)
+                there = np.take_along_axis(good, pick, 1)
+                found, values = ids[pick], np.take_along_axis(s, pick, 1)
+                for i in np.flatnonzero(there.any(1)):
+                    k = there[i]
+                    held.setdefault(int(ids[i]), []).append((found[i][k], values[i][k]))
+            # a batch's best of each node, so that a node that many others have gets few rows
+            kept = [_best(*(np.concatenate(c) for c in zip(*parts)), K) for parts in held.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), *_lists([i for i, _ in kept], [v for _, v in kept])], names=["node", "ids", "sims"])
+
+    new = joined.mapInArrow(local, "node long, ids array<long>, sims array<double>")
     return stage(_merge(graph.unionByName(new)))
 
 
@@ -172,34 +183,33 @@ def search(graph: DataFrame, points: DataFrame, queries: DataFrame) -> DataFrame
 
     After HOPS rounds, a query ends with the round that leaves its TOP nearest as they were; the others go on
     with a wider pool."""
-    state = stage(queries.join(graph, F.col("q") == F.col("node")).select("q", "qh", F.concat(F.array("q"), "ids").alias("ids"), F.concat(F.array(F.lit(2.0).cast("float")), "sims").alias("sims"), F.array("q").alias("done"), F.lit(False).alias("ended")))
+    state = stage(queries.join(graph, F.col("q") == F.col("node")).select("q", "qh", F.concat(F.array("q"), "ids").alias("ids"), F.concat(F.array(F.lit(float("inf"))), "sims").alias("sims"), F.array("q").alias("done"), F.lit(False).alias("ended")))
     hop = 0
     while hop < HOPS or not state.where("not ended").isEmpty():
         open_ = F.slice(F.array_except("ids", "done"), 1, EXPAND)
         front = state.where("not ended").select("q", F.explode(open_).alias("f"))
         near = front.join(graph, F.col("f") == F.col("node")).groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("reached"))
         fresh = state.join(near.withColumnRenamed("q", "nq"), F.col("q") == F.col("nq")).select("q", F.explode(F.array_except("reached", "ids")).alias("w"))
-        found = fresh.join(points.select(F.col("node").alias("p"), "h"), F.col("w") == F.col("p")).groupBy("q").agg(F.collect_list("w").alias("w"), F.collect_list("h").alias("h")).withColumnRenamed("q", "wq")
-        rows = state.withColumn("done", F.when(F.col("ended"), F.col("done")).otherwise(F.array_union("done", open_))).join(found, F.col("q") == F.col("wq"), "left").select("q", "qh", "ids", "sims", "done", "w", "h")
+        found = fresh.join(points.select(F.col("node").alias("p"), "h", "m"), F.col("w") == F.col("p")).groupBy("q").agg(F.collect_list(F.struct("w", "h", "m")).alias("x")).select(F.col("q").alias("wq"), "x.w", "x.h", "x.m")
+        rows = state.withColumn("done", F.when(F.col("ended"), F.col("done")).otherwise(F.array_union("done", open_))).join(found, F.col("q") == F.col("wq"), "left").select("q", "qh", "ids", "sims", "done", "w", "h", "m")
 
         def step(batches, hop=hop):
             pool = POOL + EXPAND * max(0, hop + 1 - HOPS)
             for b in batches:
                 ids, sims, ended = [], [], []
-                for qh, i, s, w, h in zip(b.column(1), b.column(2), b.column(3), b.column(5), b.column(6)):
+                for qh, i, s, w, h, m in zip(b.column(1), b.column(2), b.column(3), b.column(5), b.column(6), b.column(7)):
                     i, s = i.values.to_numpy(), s.values.to_numpy()
                     top = set(i[: TOP + 1].tolist())
                     if w.is_valid and len(w):
-                        m = w.values.to_numpy()
-                        x = np.frombuffer(b"".join(h.values.to_pylist()), np.float16).reshape(len(m), -1).astype(np.float32)
-                        v = np.frombuffer(qh.as_buffer(), np.float16).astype(np.float32)
-                        i, s = _best(np.concatenate([i, m]), np.concatenate([s, x @ v]), pool)
+                        new = w.values.to_numpy()
+                        sim = (directions(h.values.to_pylist()) @ directions([qh.as_py()])[0]) * m.values.to_numpy()
+                        i, s = _best(np.concatenate([i, new]), np.concatenate([s, sim]), pool)
                     ids.append(i)
                     sims.append(s)
                     ended.append(hop + 1 >= HOPS and top == set(i[: TOP + 1].tolist()))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *_lists(ids, sims), b.column(4), pa.array(ended, pa.bool_())], names=["q", "qh", "ids", "sims", "done", "ended"])
 
-        new = stage(rows.mapInArrow(step, "q long, qh binary, ids array<long>, sims array<float>, done array<long>, ended boolean"))
+        new = stage(rows.mapInArrow(step, "q long, qh binary, ids array<long>, sims array<double>, done array<long>, ended boolean"))
         drop_stage(state)
         state = new
         hop += 1
@@ -212,51 +222,44 @@ def nearest(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", eve
     Nearness is the inner product. Candidates are all rows but the query's own, equal vectors included;
     equal scores go to the smaller key. Vectors that are null, empty, zero or hold null or non-finite
     components take no part, neither do those of another dimension than the commonest, nor null keys.
-    A repeated key is one row. An empty table gives no rows; other columns are ignored.
+    A repeated key is one row, that of the least vector (by its bytes). An empty table gives no rows; other
+    columns are ignored.
     """
     spark = vectors.sparkSession
-    nodes = stage(nodes_of(vectors, key, vec))
-    per = nodes.groupBy(F.length("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    rows = stage(usable(vectors, key, vec))
+    per = rows.groupBy(F.length("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not per:
         return spark.createDataFrame([], schema)
-    size, n = per[0]
-    nodes = nodes.where(F.length("v") == size)
-
-    def norm(batches):
-        for b in batches:
-            x = [float(np.linalg.norm(np.frombuffer(v, np.float64))) for v in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([max(x, default=0.0)])], names=["m"])
+    size = per[0][0]
+    rows = rows.where(F.length("v") == size)
+    nodes = stage(nodes_of(rows))
 
-    longest = nodes.select("v").mapInArrow(norm, "m double").agg(F.max("m")).first()[0]
-
-    def lift(batches):
-        # one more component makes all vectors equally long, so that the nearest by angle has the largest product
+    def split(batches):
         for b in batches:
-            h, q = [], []
+            h, m = [], []
             for v in b.column(1).to_pylist():
-                x = np.frombuffer(v, np.float64) / longest
-                rest = np.sqrt(max(0.0, 1 - x @ x))
-                h.append(np.append(x, rest).astype(np.float16).tobytes())
-                q.append(np.append(x, 0).astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.binary()), pa.array(q, pa.binary())], names=["node", "h", "qh"])
-
-    points = stage(nodes.select("node", "v").mapInArrow(lift, "node long, h binary, qh binary"))
-    graph = first_graph(points, n, size // 8 + 1)
-    _free(spark)
+                x = np.frombuffer(v, np.float64)
+                top = np.abs(x).max()
+                length = np.linalg.norm(x / top)
+                h.append((x / top / length).astype(np.float16).tobytes())
+                m.append(top * length)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.binary()), pa.array(m, pa.float64())], names=["node", "h", "m"])
+
+    points = stage(nodes.select("node", "v").mapInArrow(split, "node long, h binary, m double"))
+    graph = first_graph(points, nodes.count(), size // 8)
     turn, share = 0, 1.0
-    while turn < ROUNDS or share >= CHANGED:
-        better = improved(graph, points.select("node", "h"), turn)
+    while share >= CHANGED:
+        better = improved(graph, points, turn)
         share = changed(graph, better)
         drop_stage(graph)
         graph = better
         turn += 1
-        _free(spark)
     # every usable row of the query set, by its node
-    asked = nodes_of_queries(vectors, nodes, key, vec, every, size)
-    starts = stage(asked.select("q").distinct().join(points.select("node", "qh"), F.col("q") == F.col("node")).select("q", "qh"))
-    found = search(graph, points.select("node", "h"), starts)
-    _free(spark)
+    asked = rows.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
+    asked = stage(asked.join(nodes.select(F.col("node").alias("q"), F.col("v").alias("nv")), F.col("qv") == F.col("nv")).select("query_id", "q"))
+    starts = stage(asked.select("q").distinct().join(points.select("node", F.col("h").alias("qh")), F.col("q") == F.col("node")).select("q", "qh"))
+    found = search(graph, points, starts)
     exact = nodes.select("node", "ids", "v")
     pairs = found.select("q", F.explode("ids").alias("c")).join(exact, F.col("c") == F.col("node")).groupBy("q").agg(F.collect_list("ids").alias("ids"), F.collect_list("v").alias("vs"))
     with_query = pairs.join(exact.select(F.col("node").alias("qn"), F.col("v").alias("qv")), F.col("q") == F.col("qn")).select("q", "qv", "ids", "vs")
@@ -278,22 +281,3 @@ def nearest(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", eve
     ranked = stage(with_query.mapInArrow(rank, "n long, ids array<long>, scores array<double>"))
     lists = asked.join(ranked, F.col("q") == F.col("n")).select("query_id", F.filter(F.arrays_zip("ids", "scores"), lambda x: x["ids"] != F.col("query_id")).alias("l"))
     return lists.select("query_id", F.posexplode(F.slice("l", 1, TOP)).alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
-
-
-def nodes_of_queries(vectors: DataFrame, nodes: DataFrame, key: str, vec: str, every: int, size: int) -> DataFrame:
-    """(query_id, q): the query rows and their nodes."""
-
-    def run(batches):
-        for b in batches:
-            ids, vs = [], []
-            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if i is None or not x or any(y is None for y in x):
-                    continue
-                a = np.array(x, dtype=np.float64) + 0.0
-                if np.isfinite(a).all() and a.any() and a.nbytes == size:
-                    ids.append(i)
-                    vs.append(a.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vs, pa.binary())], names=["query_id", "qv"])
-
-    rows = vectors.where(F.pmod(vectors[key], F.lit(every)) == 0).select(vectors[key].cast("long").alias("id"), vectors[vec].alias("vec")).mapInArrow(run, "query_id long, qv binary")
-    return stage(rows.join(nodes.select(F.col("node").alias("q"), F.col("v").alias("nv")), F.col("qv") == F.col("nv")).select("query_id", "q").distinct())

@@ -188,9 +188,9 @@ def hapax_function_words(spark, d):
 
 
 @query(
-    f"SELECT doc_id, round(CASE WHEN len(ws) >= 50 THEN list_sum(list_transform(range(1, len(ws) - 48), lambda i: len(list_distinct(list_slice(ws, i, i + 49))))) / 50.0e0 / (len(ws) - 49) WHEN len(ws) > 0 THEN len(list_distinct(ws)) / CAST(len(ws) AS DOUBLE) ELSE 0.0 END, 6) AS mattr FROM (SELECT doc_id, {WORDS} AS ws FROM documents)"
+    f"SELECT doc_id, round(CASE WHEN len(ws) >= 50 THEN list_sum(list_transform(range(1, len(ws) - 48), lambda i: len(list_distinct(list_slice(ws, i, i + 49))))) / 50.0e0 / (len(ws) - 49) WHEN len(ws) > 0 THEN len(list_distinct(ws)) / CAST(len(ws) AS DOUBLE) ELSE 0.0 END + 1e-9, 6) AS mattr FROM (SELECT doc_id, {WORDS} AS ws FROM documents)"
 )
 def mattr_50(spark, d):
     x = docs(spark, d)
     m = moving_diversity(x, "doc_id", "doc_id", "text").withColumnRenamed("doc_id", "k")
-    return x.select("doc_id").join(m, F.col("doc_id") == F.col("k"), "left").select("doc_id", r6(F.coalesce("mattr", F.lit(0.0))).alias("mattr"))
+    return x.select("doc_id").join(m, F.col("doc_id") == F.col("k"), "left").select("doc_id", r6(F.coalesce("mattr", F.lit(0.0)) + 1e-9).alias("mattr"))  # exact halves round up in both engines

@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probity.llm import decontam, html_text, langid, minhash, mixing, neighbours, quality, substrings, tokens, toxicity
+from probity.llm import decontam, html_text, langid, minhash, mixing, neighbours, quality, search, substrings, tokens, toxicity, urls, whitening
 from probity.llm.common import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -87,5 +87,67 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs, public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_minhash, op4_langid, op5_neighbours, op6_decontamination, op7_mixing, op8_html, op9_suffixes, op10_tokens)}
-ORACLE_SQL: dict[str, str] = {"op6_decontamination": OP6_SQL}
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.build(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = search.search(index, table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("item_key").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+), s AS (
+  SELECT count(*) FILTER (len(ws) > 0) AS nn, sum(len(ws)) AS ll FROM t
+), p AS (
+  SELECT r, doc_id, len(ws) AS n, unnest(ws) AS term FROM t
+), c AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL
+), f AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM c, s GROUP BY term, nn
+), i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), m AS (
+  SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM i JOIN c USING (term) JOIN f USING (term), s GROUP BY item_id, r, doc_id
+), k AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS INTEGER) AS "rank", doc_id, score FROM m WHERE score > 0
+)
+SELECT item_id, "rank", doc_id, score FROM k WHERE "rank" <= 10
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.select("vec_id", "component", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+#: host, path, verdict
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    out = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return out.select("page_id", "host", "path", "rule", "verdict", F.array_join("strict", ",").alias("strict"), F.array_join("soft", ",").alias("soft"))
+
+
+def _terms_sql(words: tuple[str, ...]) -> str:
+    return "array_to_string([w for w in [" + ", ".join(f"'{w}'" for w in sorted(words)) + "] if regexp_matches(lower(host || path), '(^|[^0-9a-z])' || w || '($|[^0-9a-z])')], ',')"
+
+
+OP13_SQL = f"""
+WITH p AS (
+  SELECT page_id, row_number() OVER () AS k, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages
+), r(rh, rp, rv) AS (VALUES {", ".join(map(str, URL_RULES))}
+), f AS (
+  SELECT k, arg_max(rh || rp, len(rh || rp)) AS rule, arg_max(rv, len(rh || rp)) AS rv FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY k
+), h AS (
+  SELECT page_id, k, host, path, {_terms_sql(urls.STRICT)} AS strict, {_terms_sql(urls.SOFT)} AS soft FROM p
+)
+SELECT page_id, host, path, rule, strict, soft, coalesce(rv, CASE WHEN strict <> '' OR len(string_split(soft, ',')) >= {urls.SEVERAL} THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN f ON f.k = h.k
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_minhash, op4_langid, op5_neighbours, op6_decontamination, op7_mixing, op8_html, op9_suffixes, op10_tokens, op11_search, op12_whitening, op13_urls)}
+ORACLE_SQL: dict[str, str] = {"op6_decontamination": OP6_SQL, "op11_search": OP11_SQL, "op13_urls": OP13_SQL}

@@ -2,9 +2,14 @@
 from __future__ import annotations
 
 import html
+import json
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -49,15 +54,39 @@ def tags_to_spaces(t: Column) -> Column:
     return F.regexp_replace(t, TAG, " ")
 
 
-def compact_number(t: Column) -> Column:
-    """'1.2K' -> 1200, '1.5' -> 1; blanks (U+0020) and commas are dropped. What is no number with an optional
-    suffix k or m counts by its digits; none: 0."""
-    s = F.translate(trim(F.coalesce(t, F.lit(""))), " ,", "")
+@lru_cache(maxsize=1)
+def _digits() -> tuple[str, str]:
+    """All decimal digits of Unicode beside ASCII's, and what they mean."""
+    found = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+    return "".join(found), "".join(str(unicodedata.digit(c)) for c in found)
+
+
+def ascii_digits(t: Column) -> Column:
+    """Decimal digits of any script become 0-9."""
+    return F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(t, *_digits())).otherwise(t)
+
+
+def compact_decimal(t: Column) -> Column:
+    """'1.2K' -> 1200, '1.5' -> 1 as decimal(38,0); blanks (U+0020) and commas are dropped. What is no number
+    with an optional suffix k or m counts by its digits; none: 0. Digits of any script count. Numbers of that
+    form go through a double, so beyond 2^53 they are the nearest one; null from 2^124 on, and where the digits
+    of other texts are more than 38."""
+    s = ascii_digits(F.translate(trim(F.coalesce(t, F.lit(""))), " ,", ""))
     form = r"^(\d+(?:\.\d+)?)([kKmM]?)$"
     suffix = F.lower(F.regexp_extract(s, form, 2))
-    scaled = (F.regexp_extract(s, form, 1).try_cast("double") * F.when(suffix == "k", 1000).when(suffix == "m", 1000000).otherwise(1)).cast("long")
-    digits = F.regexp_replace(s, r"[^0-9]", "").try_cast("long")
-    return F.coalesce(F.when(s.rlike(form), scaled).otherwise(digits), F.lit(0).cast("long"))
+    scaled = F.regexp_extract(s, form, 1).try_cast("double") * F.when(suffix == "k", 1000).when(suffix == "m", 1000000).otherwise(1)
+    # a double's whole part in two halves, both exact
+    high = F.floor(F.when(scaled < 2.0**124, scaled) / 2.0**62)
+    low = scaled - high * F.lit(2.0**62)
+    whole = (high.cast("decimal(19,0)") * F.lit(1 << 62).cast("decimal(19,0)")).cast("decimal(38,0)") + F.floor(low).cast("decimal(19,0)")
+    digits = F.regexp_replace(s, r"[^0-9]", "")
+    other = F.when(digits == "", F.lit(0).cast("decimal(38,0)")).otherwise(digits.try_cast("decimal(38,0)"))
+    return F.when(s.rlike(form), whole.cast("decimal(38,0)")).otherwise(other)
+
+
+def compact_number(t: Column) -> Column:
+    """compact_decimal as a 64-bit integer; null where it is larger."""
+    return compact_decimal(t).try_cast("long")
 
 
 def features_in_text(t: Column) -> Column:
@@ -69,16 +98,58 @@ def attachments(t: Column) -> Column:
     return F.struct(F.regexp_extract_all(t, F.lit(IMAGE), F.lit(1)).alias("images"), F.regexp_extract_all(t, F.lit(VIDEO), F.lit(1)).alias("videos"), F.regexp_extract_all(t, F.lit(OUTLINK), F.lit(1)).alias("outlinks"))
 
 
+@F.arrow_udf(StringType())
+def _joined_data(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """JSON as its reader takes it: NaN and repeated keys are allowed, the last of a key counts."""
+
+    def one(t: str | None) -> str | None:
+        if t is None:
+            return None
+        try:
+            found = "".join(s for s in json.loads(t).get("data", []) if isinstance(s, str))
+        except (ValueError, TypeError, RecursionError):
+            return t
+        return found.encode("utf-8", "replace").decode()
+
+    for texts in parts:
+        yield pa.array([one(t) for t in texts.to_pylist()], pa.string())
+
+
 def unwrap_ajax(t: Column) -> Column:
-    """The joined string items of a JSON object's `data` (other items are left out; none without `data`);
-    what is no JSON object as it is, trimmed."""
+    """The joined strings of a JSON object's `data`: the string items of an array, the keys of an object, a
+    string itself, nothing without `data`. What is no JSON object, or has a null, number or truth value as
+    `data`, comes back as it is, trimmed."""
     s = trim(F.coalesce(t, F.lit("")))
-    v = F.try_parse_json(s)
-    data = F.try_variant_get(v, "$.data", "variant")
-    items = F.filter(F.try_variant_get(data, "$", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING")
-    joined = F.array_join(F.transform(items, lambda x: F.try_variant_get(x, "$", "string")), "")
-    one = F.when(F.schema_of_variant(data) == "STRING", F.try_variant_get(data, "$", "string"))
-    return F.when(s.startswith("{") & v.isNotNull(), F.coalesce(joined, one, F.lit(""))).otherwise(s)
+    return F.when(s.startswith("{"), _joined_data(F.when(s.startswith("{"), s))).otherwise(s)
+
+
+def json_array_after(t: Column, key: str) -> Column:
+    """The JSON array that follows the first match of the pattern `key`, up to the bracket that closes it; null
+    without one. Brackets inside strings don't count, nor do escaped quotes end a string.
+
+    Each escape becomes two plain characters, so a string is what stands between two quotes; strings, brackets
+    and the rest in between are the tokens over which the depth is counted, until it is 0."""
+    tail = F.nullif(F.regexp_extract(t, f"(?s)(?:{key})(\\[.*)", 1), F.lit(""))
+    plain = F.regexp_replace(tail, r"(?s)\\.", "\x01\x01")
+    tokens = F.regexp_extract_all(plain, F.lit(r'"[^"]*(?:"|\z)|[\[\]]|[^"\[\]]+'), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(a: Column, x: Column) -> Column:
+        depth = a["depth"] + F.when(x == "[", 1).when(x == "]", -1).otherwise(0)
+        at = a["at"] + F.length(x)
+        return F.when(a["end"] > 0, a).otherwise(F.struct(depth.alias("depth"), at.alias("at"), F.when((depth == 0) & (x == "]"), at).otherwise(0).alias("end")))
+
+    end = F.aggregate(tokens, start, step, lambda a: a["end"])
+    return F.when(end > 0, F.substring(tail, F.lit(1), end))
+
+
+def last_of_each(pairs: Column, key: str, value: str) -> Column:
+    """A map of an array of structs: the last struct of a key counts; null keys are left out."""
+    known = F.transform(pairs, lambda p, i: F.struct(p[key].alias("k"), i.alias("i"), p[value].alias("v")))
+    by_key = F.array_sort(F.filter(known, lambda p: p["k"].isNotNull()))
+    both = F.arrays_zip(by_key.alias("a"), F.slice(by_key, F.lit(2), F.size(by_key)).alias("b"))
+    last = F.filter(both, lambda p: F.coalesce(p["a"]["k"] != p["b"]["k"], F.lit(True)))
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["a"]["k"], p["a"]["v"])))
 
 
 # The spelled numbers.

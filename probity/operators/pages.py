@@ -6,10 +6,10 @@ nothing give no rows; segments without an id are left out.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from probity.functions import parse as P
+from probity.operators.activity import keep_row
 
 # Fixed patterns of the page formats.
 POST_START = r'(?i)<div[^>]+class="[^"]*\bPostHeader__contentWrapper\b[^"]*"[^>]*>'
@@ -37,7 +37,7 @@ COMMENT_LIKES = r"(?is)ReplyItem__like[^>]*>(?:\s*<[^>]+>)*\s*(\d+)?\s*</a>"
 REPLY_TO = r"(?i)Replies\.replyTo\([^,]*,\s*-?\d+\s*,\s*(\d+)\s*,\s*(-?\d+)\s*\)"
 IMAGE_STATUS = r'(?i)ImageStatus\.open\(\{[^}]*"user_id"\s*:\s*(\d+)'
 THREADS = r'(?i)<a[^>]+href="(/wall-?\d+_\d+\?offset=(\d+)&(?:amp;)?reply=(\d+)[^"]*)"[^>]*class="RepliesThreadNext__link"'
-PREFETCH = '"apiPrefetchCache":'
+PREFETCH = r'(?i)"apiPrefetchCache"\s*:\s*'
 
 
 def pick(c: Column, pattern: str, group: int = 1) -> Column:
@@ -58,10 +58,6 @@ def segments(pages: DataFrame, html: str, starts: list[str], key: str) -> DataFr
     return pages.select(key, "collected_at", F.posexplode(parts).alias("place", "seg"))
 
 
-def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
-
-
 def full_text(body: Column) -> Column:
     """A post's text block, its hidden rest behind, without the link to it."""
     inner = F.coalesce(pick(body, TEXT_BLOCK), F.lit(""))
@@ -75,7 +71,7 @@ def parse_posts(pages: DataFrame, html: str = "html", key: str = "page_id", base
     s = segments(pages, html, [POST_START], key)
     seg = F.col("seg")
     x = s.withColumns({"owner_id": pick(seg, POST_ID).cast("long"), "post_id": pick(seg, POST_ID, 2).cast("long"), "body": F.coalesce(pick(seg, BODY, 0), F.lit(""))}).where("post_id is not null")
-    x = first_wins(x, [key, "owner_id", "post_id"], ["place"])
+    x = keep_row(x, [key, "owner_id", "post_id"], ["place"])
     closed = F.lower(pick(P.unescape(pick(seg, EXEC_JSON)), CLOSED))
     date = P.strip_tags(pick(seg, POST_DATE, 2))
     x = x.withColumns({"text": full_text(F.col("body")), "date_text": date})
@@ -88,9 +84,7 @@ def parse_posts(pages: DataFrame, html: str = "html", key: str = "page_id", base
 def reply_index(html: Column) -> Column:
     """Comment id to author id from a page's reply links; the last one of an id counts."""
     ids, users = (F.regexp_extract_all(html, F.lit(REPLY_TO), F.lit(g)) for g in (1, 2))
-    pairs = F.arrays_zip(ids.alias("c"), users.alias("u"))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["c"] == p["c"]))
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["c"], p["u"])))
+    return P.last_of_each(F.arrays_zip(ids.alias("c"), users.alias("u")), "c", "u")
 
 
 def parse_comments(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
@@ -99,7 +93,7 @@ def parse_comments(pages: DataFrame, html: str = "html", key: str = "page_id") -
     index = pages.select(key, "post_id", reply_index(F.col(html)).alias("index"))
     seg = F.col("seg")
     x = s.withColumn("comment_id", F.coalesce(F.nullif(F.coalesce(pick(seg, COMMENT_BLOCK, 2), pick(seg, COMMENT_ID)).cast("long"), F.lit(0)), pick(seg, COMMENT_DATE).cast("long"))).where("comment_id > 0")
-    x = first_wins(x, [key, "comment_id"], ["place"]).join(index, key)
+    x = keep_row(x, [key, "comment_id"], ["place"]).join(index, key)
     href = F.coalesce(pick(seg, AUTHOR), pick(seg, AUTHOR_LINK))
     name = F.coalesce(pick(seg, AUTHOR, 2), pick(seg, AUTHOR_LINK, 2))
     uid = F.coalesce(pick(seg, REPLY_TO, 2), pick(href, r"^/id(\d+)$"), pick(seg, IMAGE_STATUS), F.try_element_at("index", F.col("comment_id").cast("string")))
@@ -117,14 +111,10 @@ def thread_links(html: Column) -> Column:
 
 
 def prefetched(html: Column) -> Column:
-    """The map of method to response (JSON text) in a profile page; the last of a method counts. The JSON
-    reader stops at the array's own end, so nothing has to match brackets."""
-    at = F.locate(PREFETCH, html)
-    tail = F.when(at > 0, F.substring(html, at + len(PREFETCH), F.length(html)))
-    items = F.from_json(F.substring_index(tail, "</script>", 1), "array<struct<method string, response string>>")
-    known = F.filter(items, lambda x: x["method"].isNotNull())
-    last = F.filter(known, lambda p, i: ~F.exists(F.slice(known, i + 2, F.size(known)), lambda q: q["method"] == p["method"]))
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["method"], p["response"])))
+    """The map of method to response (JSON text) in a profile page; the last of a method counts. Null without
+    the array of responses, or where it isn't JSON."""
+    items = F.from_json(P.json_array_after(html, PREFETCH), "array<struct<method string, response string>>")
+    return P.last_of_each(F.filter(items, lambda x: x["method"] != ""), "method", "response")
 
 
 USER = (

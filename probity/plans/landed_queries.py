@@ -83,9 +83,55 @@ def unwrap_ajax(spark, d):
     return x.select(F.col("n").alias("id"), P.unwrap_ajax(text).alias("html"))
 
 
+# more ways to write a number n: long ones, other digits, signs, exact texts
+WIDE = {0: ("concat('9', lpad(CAST(n AS STRING), 25, '0'), ' x')", "'9' || lpad(CAST(n AS STRING), 25, '0')"), 1: ("concat(n, '00000000000000000000 likes, 2')", "CAST(n AS STRING) || '000000000000000000002'"), 2: ("translate(CAST(n AS STRING), '0123456789', '٠١٢٣٤٥٦٧٨٩')", "CAST(n AS STRING)"), 3: ("concat(translate(CAST(n % 50 AS STRING), '0123456789', '०१२३४५६७८९'), '.5M')", "CAST((n % 50) * 1000000 + 500000 AS STRING)"), 4: ("concat('-', n, 'K')", "CAST(n AS STRING)"),
+        5: ("concat('4', n % 3, '00000000000000000000000m')", "CASE n % 3 " + " ".join(f"WHEN {k} THEN '{int(float(f'4{k}' + '0' * 23) * 1e6)}'" for k in range(3)) + " END"), 6: ("concat(repeat('9', 39), 'x')", "NULL"), 7: ("concat(repeat('9', 39), 'k')", "NULL"), 8: ("concat('\u2009', n, ',000.75\u00a0')", "CAST(n * 1000 AS STRING)")}
+
+
+@query("SELECT n AS id, CASE n % 9 " + " ".join(f"WHEN {k} THEN {v[1]}" for k, v in WIDE.items()) + " END AS parsed, n % 9 IN (0, 1, 5, 6, 7) AS too_wide FROM (SELECT o_orderkey AS n FROM orders)")
+def compact_number_forms(spark, d):
+    x = t(spark, d, "orders").select(F.col("o_orderkey").alias("n"))
+    text = F.expr("CASE n % 9 " + " ".join(f"WHEN {k} THEN {v[0]}" for k, v in WIDE.items()) + " END")
+    return x.select(F.col("n").alias("id"), P.compact_decimal(text).cast("string").alias("parsed"), P.compact_number(text).isNull().alias("too_wide"))
+
+
+AJAX = {0: ("""concat('{"data":{"k', n, '":1,"b":[2],"k', n, '":3}}')""", "'k' || n || 'b'"), 1: ("""concat('{"data":null,"n":', n, '}')""", """'{"data":null,"n":' || n || '}'"""), 2: ("""concat(' {"data":', n, '}')""", """'{"data":' || n || '}'"""), 3: ("""concat('{"data":["old"],"x":NaN,"data":["new', n, '"]}')""", "'new' || n"), 4: ("""concat('{"data":"s', n, '"}')""", "'s' || n"),
+        5: ("""concat('{"data":["a\\\\"', n, '\\\\u0436]"]} x')""", """'{"data":["a\\"' || n || '\\u0436]"]} x'"""), 6: ("""concat('{"data":["a\\\\"', n, '\\\\u0436]"]}')""", "'a\"' || n || 'ж]'"), 7: ("""concat('["', n, '"]')""", """'["' || n || '"]'"""), 8: ("""concat('{"other":', n, '}')""", "''"), 9: ("CAST(NULL AS STRING)", "''")}
+
+
+@query("SELECT n AS id, CASE n % 10 " + " ".join(f"WHEN {k} THEN {v[1]}" for k, v in AJAX.items()) + " END AS html FROM (SELECT o_orderkey AS n FROM orders)")
+def unwrap_ajax_forms(spark, d):
+    text = F.expr("CASE n % 10 " + " ".join(f"WHEN {k} THEN {v[0]}" for k, v in AJAX.items()) + " END")
+    return t(spark, d, "orders").select(F.col("o_orderkey").alias("n")).select(F.col("n").alias("id"), P.unwrap_ajax(text).alias("html"))
+
+
+# a profile's JSON with brackets, quotes, escapes and a closing tag inside its strings; the key in several forms
+INSIDE = '[{"method":"users.get","response":[{"id":@,"status":"old"}]},{"method":"","response":1},{"method":"users.get","response":[{"id":@,"status":"a ]] \\"[@]\\" </script> \\\\","about":"\\u0436[","langs":[[],["["]]}]}]'
+STATUS = "'a ]] \"[' || n || ']\" </script> \\'"
+KEYS = {0: '"apiPrefetchCache":', 1: '"apiPrefetchCache" : ', 2: '"APIprefetchcache"\n:\t', 3: '"apiPrefetchCache":', 4: '"apiPrefetchCache":', 5: '"otherCache":'}
+
+
+def spread_json(form: str) -> str:
+    """INSIDE with n for @, as an expression; from 3 on, cut: inside its last string, before its end."""
+    whole = "replace('" + INSIDE.replace("\\", "\\\\" if form == "spark" else "\\") + "', '@', CAST(n AS STRING))"
+    return f"CASE n % 6 WHEN 3 THEN substring({whole}, 1, length({whole}) - 8) WHEN 4 THEN substring({whole}, 1, length({whole}) - 1) ELSE {whole} END"
+
+
+@query(f"SELECT n AS page_id, CASE WHEN n % 6 < 3 THEN {spread_json('sql')} END AS found, CASE WHEN n % 6 < 3 THEN n END AS user_id, CASE WHEN n % 6 < 3 THEN {STATUS} END AS status, CASE WHEN n % 6 < 3 THEN 'ж[' END AS about FROM (SELECT c_custkey AS n FROM customer)")
+def prefetched_arrays(spark, d):
+    """What stands behind the array closes no bracket of it: a later script repeats the key."""
+    key = "CASE n % 6 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in KEYS.items()) + " END"
+    tail = "CASE WHEN n % 6 < 3 THEN ',\"x\":[\"]\"]}</script><script>{\"apiPrefetchCache\":[]}' ELSE '' END"
+    x = t(spark, d, "customer").select(F.col("c_custkey").alias("n"))
+    x = x.select(F.col("n").alias("page_id"), F.expr(f"concat('<script>{{\"a\":[1,', n, '],', {key}, {spread_json('spark')}, {tail})").alias("html"))
+    bundle = G.profile_bundles(x).select(F.col("page_id").alias("_id"), "profile")
+    out = x.join(bundle, F.col("page_id") == F.col("_id"), "left")
+    return out.select("page_id", P.json_array_after(F.col("html"), G.PREFETCH).alias("found"), "profile.user_id", "profile.status", "profile.about")
+
+
 # a page for each five documents; every other page marks its comments by anchors
 ROWS = "doc_id AS id, doc_id // 5 AS page_id, 100 + doc_id % 50 AS uid, doc_id * 5 % 40 AS likes, CASE WHEN doc_id % 3 = 0 THEN doc_id - 1 END AS thread, 1 + doc_id % 28 AS day, source"
-COMMENT_TEXT = "'Said ' || source || ' #Tag' || id || ' to @user.' || uid || chr(10) || 'see https://e.org/' || id || ' & more'"
+COMMENT_TEXT = "'Said ' || source || ' #Tag' || id || ' to @user.' || uid || ' ' || chr(10) || 'see https://e.org/' || id || ' & more'"
 
 
 @query(
@@ -105,12 +151,12 @@ def landed_comments(spark, d):
     html = F.concat(F.lit("<p>head</p>"), F.array_join(F.transform("s", lambda x: x["seg"]), ""), F.replace(F.element_at("s", -1)["seg"], F.lit("Said"), F.lit("Again")))
     out = G.parse_comments(page.select("page_id", html.alias("html"), F.lit(9).cast("long").alias("post_id"), F.lit(NOW).cast("long").alias("collected_at")))
     joined = lambda c: F.array_join(c, " ")
-    return out.select("page_id", "comment_id", "from_id", "author_name", "author_href", F.replace("text", F.lit(" \n"), F.lit("\n")).alias("text"), "timestamp", "likes", "reply_to_comment_id", joined("attachments.images").alias("images"), joined("text_features.hashtags").alias("hashtags"), joined("text_features.mentions").alias("mentions"), joined("text_features.urls").alias("urls"))
+    return out.select("page_id", "comment_id", "from_id", "author_name", "author_href", "text", "timestamp", "likes", "reply_to_comment_id", joined("attachments.images").alias("images"), joined("text_features.hashtags").alias("hashtags"), joined("text_features.mentions").alias("mentions"), joined("text_features.urls").alias("urls"))
 
 
 @query(
     "SELECT o_custkey AS page_id, CAST(-5 AS BIGINT) AS owner_id, o_orderkey AS post_id, '/wall-5_' || o_orderkey AS url, CAST(epoch(make_date(2021, 3, CAST(1 + o_orderkey % 28 AS INT))) AS BIGINT) - 10800 AS timestamp, "
-    "'Order ' || o_orderpriority || ' #o' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN chr(10) || chr(10) || 'hidden ' || o_orderkey ELSE '' END AS text, o_orderkey % 70 * 1000 AS likes, o_orderkey % 9 AS comments, o_orderkey % 5 AS reposts, o_orderkey % 1000 AS views, "
+    "'Order ' || o_orderpriority || ' #o' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN 'hidden ' || o_orderkey || chr(10) || chr(10) || 'hidden ' || o_orderkey ELSE '' END AS text, o_orderkey % 70 * 1000 AS likes, o_orderkey % 9 AS comments, o_orderkey % 5 AS reposts, o_orderkey % 1000 AS views, "
     "o_orderkey % 7 = 0 AS pinned, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 4 = 0 END AS is_comments_closed, CASE WHEN o_orderkey % 5 = 0 THEN '/video-5_' || o_orderkey ELSE '' END AS videos, CASE WHEN o_orderkey % 6 = 0 THEN 'https://out.org/' || o_orderkey ELSE '' END AS outlinks FROM orders"
 )
 def landed_posts(spark, d):
@@ -123,8 +169,7 @@ def landed_posts(spark, d):
     page = x.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["seg"]), "").alias("html"))
     out = G.parse_posts(page.withColumn("collected_at", F.lit(NOW).cast("long")))
     # a hidden rest shows in its place and behind the text
-    text = F.regexp_replace("text", r"hidden \d+(?=\n)", "")
-    return out.select("page_id", "owner_id", "post_id", "url", "timestamp", text.alias("text"), "likes", "comments", "reposts", "views", "pinned", "is_comments_closed", F.array_join("attachments.videos", " ").alias("videos"), F.array_join("attachments.outlinks", " ").alias("outlinks"))
+    return out.select("page_id", "owner_id", "post_id", "url", "timestamp", "text", "likes", "comments", "reposts", "views", "pinned", "is_comments_closed", F.array_join("attachments.videos", " ").alias("videos"), F.array_join("attachments.outlinks", " ").alias("outlinks"))
 
 
 @query(

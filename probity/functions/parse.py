@@ -5,7 +5,7 @@ import html
 import json
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -54,6 +54,11 @@ def tags_to_spaces(t: Column) -> Column:
     return F.regexp_replace(t, TAG, " ")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that stands once in the plan, however often body uses it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 @lru_cache(maxsize=1)
 def _digits() -> tuple[str, str]:
     """All decimal digits of Unicode beside ASCII's, and what they mean."""
@@ -63,7 +68,7 @@ def _digits() -> tuple[str, str]:
 
 def ascii_digits(t: Column) -> Column:
     """Decimal digits of any script become 0-9."""
-    return F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(t, *_digits())).otherwise(t)
+    return let(t, lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), F.translate(x, *_digits())).otherwise(x))
 
 
 def compact_decimal(t: Column) -> Column:
@@ -71,17 +76,22 @@ def compact_decimal(t: Column) -> Column:
     with an optional suffix k or m counts by its digits; none: 0. Digits of any script count. Numbers of that
     form go through a double, so beyond 2^53 they are the nearest one; null from 2^124 on, and where the digits
     of other texts are more than 38."""
-    s = ascii_digits(F.translate(trim(F.coalesce(t, F.lit(""))), " ,", ""))
     form = r"^(\d+(?:\.\d+)?)([kKmM]?)$"
-    suffix = F.lower(F.regexp_extract(s, form, 2))
-    scaled = F.regexp_extract(s, form, 1).try_cast("double") * F.when(suffix == "k", 1000).when(suffix == "m", 1000000).otherwise(1)
-    # a double's whole part in two halves, both exact
-    high = F.floor(F.when(scaled < 2.0**124, scaled) / 2.0**62)
-    low = scaled - high * F.lit(2.0**62)
-    whole = (high.cast("decimal(19,0)") * F.lit(1 << 62).cast("decimal(19,0)")).cast("decimal(38,0)") + F.floor(low).cast("decimal(19,0)")
-    digits = F.regexp_replace(s, r"[^0-9]", "")
-    other = F.when(digits == "", F.lit(0).cast("decimal(38,0)")).otherwise(digits.try_cast("decimal(38,0)"))
-    return F.when(s.rlike(form), whole.cast("decimal(38,0)")).otherwise(other)
+
+    def value(s: Column) -> Column:
+        suffix = F.lower(F.regexp_extract(s, form, 2))
+        scaled = F.regexp_extract(s, form, 1).try_cast("double") * F.when(suffix == "k", 1000).when(suffix == "m", 1000000).otherwise(1)
+        digits = F.regexp_replace(s, r"[^0-9]", "")
+        other = F.when(digits == "", F.lit(0).cast("decimal(38,0)")).otherwise(digits.try_cast("decimal(38,0)"))
+        return F.when(s.rlike(form), let(scaled, whole)).otherwise(other)
+
+    def whole(x: Column) -> Column:
+        # a double's whole part in two halves, both exact
+        high = F.floor(F.when(x < 2.0**124, x) / 2.0**62)
+        low = F.floor(x - high * F.lit(2.0**62))
+        return (high.cast("decimal(19,0)") * F.lit(1 << 62).cast("decimal(19,0)") + low.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+    return let(ascii_digits(F.translate(trim(F.coalesce(t, F.lit(""))), " ,", "")), value)
 
 
 def compact_number(t: Column) -> Column:

@@ -66,6 +66,14 @@ def full_text(body: Column) -> Column:
     return P.strip_tags(F.concat(F.regexp_replace(inner, MORE_LINK, ""), rest))
 
 
+def problems(dates: dict[str, tuple[Column, Column]], counts: dict[str, tuple[Column, Column]]) -> Column:
+    """array<struct(field, reason, value)>: what a segment says but its row can't hold. dates, counts: by field,
+    the text and what was made of it."""
+    found = [F.when((F.coalesce(text, F.lit("")) != "") & (F.coalesce(value, F.lit(0)) == 0), F.struct(F.lit(n).alias("field"), F.lit("no date").alias("reason"), text.alias("value"))) for n, (text, value) in dates.items()]
+    found += [F.when(text.isNotNull() & value.isNull(), F.struct(F.lit(n).alias("field"), F.lit("number too large").alias("reason"), text.alias("value"))) for n, (text, value) in counts.items()]
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
 def parse_posts(pages: DataFrame, html: str = "html", key: str = "page_id", base: str = "") -> DataFrame:
     """pages(key, html, collected_at) to posts; the first of equal (owner_id, post_id) on a page."""
     s = segments(pages, html, [POST_START], key)
@@ -74,10 +82,13 @@ def parse_posts(pages: DataFrame, html: str = "html", key: str = "page_id", base
     x = keep_row(x, [key, "owner_id", "post_id"], ["place"])
     closed = F.lower(pick(P.unescape(pick(seg, EXEC_JSON)), CLOSED))
     date = P.strip_tags(pick(seg, POST_DATE, 2))
-    x = x.withColumns({"text": full_text(F.col("body")), "date_text": date})
+    counts = {"likes": LIKES, "reposts": SHARES, "comments": REPLIES, "views": VIEWS}
+    x = x.withColumns({"text": full_text(F.col("body")), "date_text": date, **{n: P.compact_number(pick(seg, p)) for n, p in counts.items()}})
+    x = x.withColumn("timestamp", P.relative_date(F.col("date_text"), F.col("collected_at")))
+    odd = problems({"timestamp": (F.col("date_text"), F.col("timestamp"))}, {n: (pick(seg, p), F.col(n)) for n, p in counts.items()})
     return x.select(
-        key, "owner_id", "post_id", F.concat(F.lit(base), pick(seg, POST_DATE)).alias("url"), "date_text", P.relative_date(F.col("date_text"), F.col("collected_at")).alias("timestamp"), "text", *[P.compact_number(pick(seg, p)).alias(n) for n, p in (("likes", LIKES), ("reposts", SHARES), ("comments", REPLIES), ("views", VIEWS))],
-        seg.rlike(PINNED).alias("pinned"), F.when(closed.isNotNull(), closed == "true").alias("is_comments_closed"), P.attachments(F.col("body")).alias("attachments"), P.features_in_text(F.col("text")).alias("text_features"), "collected_at",
+        key, "owner_id", "post_id", F.concat(F.lit(base), pick(seg, POST_DATE)).alias("url"), "date_text", "timestamp", "text", *counts,
+        seg.rlike(PINNED).alias("pinned"), F.when(closed.isNotNull(), closed == "true").alias("is_comments_closed"), P.attachments(F.col("body")).alias("attachments"), P.features_in_text(F.col("text")).alias("text_features"), "collected_at", "place", odd.alias("problems"),
     )
 
 
@@ -98,10 +109,12 @@ def parse_comments(pages: DataFrame, html: str = "html", key: str = "page_id") -
     name = F.coalesce(pick(seg, AUTHOR, 2), pick(seg, AUTHOR_LINK, 2))
     uid = F.coalesce(pick(seg, REPLY_TO, 2), pick(href, r"^/id(\d+)$"), pick(seg, IMAGE_STATUS), F.try_element_at("index", F.col("comment_id").cast("string")))
     body = F.coalesce(pick(seg, COMMENT_BODY), pick(seg, COMMENT_BODY_ANY), F.lit(""))
-    x = x.withColumns({"text": P.strip_tags(body), "body": body, "date_text": P.strip_tags(pick(seg, COMMENT_DATE, 3)), "author_href": href})
+    x = x.withColumns({"text": P.strip_tags(body), "body": body, "date_text": P.strip_tags(pick(seg, COMMENT_DATE, 3)), "author_href": href, "likes": P.compact_number(pick(seg, COMMENT_LIKES))})
+    x = x.withColumn("timestamp", P.relative_date(F.col("date_text"), F.col("collected_at")))
+    odd = problems({"timestamp": (F.col("date_text"), F.col("timestamp"))}, {"likes": (pick(seg, COMMENT_LIKES), F.col("likes"))})
     return x.select(
-        key, "post_id", "comment_id", uid.cast("long").alias("from_id"), F.nullif(P.strip_tags(name), F.lit("")).alias("author_name"), "author_href", "text", "date_text", P.relative_date(F.col("date_text"), F.col("collected_at")).alias("timestamp"), P.compact_number(pick(seg, COMMENT_LIKES)).alias("likes"),
-        pick(seg, COMMENT_DATE, 2).cast("long").alias("reply_to_comment_id"), P.attachments(F.col("body")).alias("attachments"), P.features_in_text(F.col("text")).alias("text_features"), "collected_at",
+        key, "post_id", "comment_id", uid.cast("long").alias("from_id"), F.nullif(P.strip_tags(name), F.lit("")).alias("author_name"), "author_href", "text", "date_text", "timestamp", "likes",
+        pick(seg, COMMENT_DATE, 2).cast("long").alias("reply_to_comment_id"), P.attachments(F.col("body")).alias("attachments"), P.features_in_text(F.col("text")).alias("text_features"), "collected_at", "place", odd.alias("problems"),
     )
 
 
@@ -118,14 +131,16 @@ def prefetched(html: Column) -> Column:
 
 
 USER = (
-    "array<struct<id long, first_name string, last_name string, nickname string, sex int, bdate string, city struct<id long, title string>, country struct<id long, title string>, home_town string, verified string, is_sber_verified string, is_tinkoff_verified string, is_esia_verified string, is_nft string, "
-    "status string, about string, interests string, books string, tv string, quotes string, games string, movies string, music string, site string, mobile_phone string, home_phone string, contacts struct<mobile_phone string, home_phone string>, photo_rec string, photo_medium_rec string, photo_200 string, photo_400 string, "
-    "online string, last_seen struct<time long, platform long>, online_info struct<last_seen long>, followers_count long, counters map<string, string>, personal struct<alcohol long, inspired_by string, life_main long, people_main long, religion string, religion_id long, smoking long, langs array<string>>, "
+    "array<struct<id long, screen_name string, domain string, first_name string, last_name string, nickname string, sex int, bdate string, bdate_visibility int, city struct<id long, title string>, country struct<id long, title string>, home_town string, verified string, is_sber_verified string, is_tinkoff_verified string, is_esia_verified string, is_nft string, is_followers_mode_on string, no_index string, wall_default string, cover struct<images array<struct<url string>>>, "
+    "status string, activity string, about string, interests string, books string, tv string, quotes string, games string, movies string, music string, site string, mobile_phone string, home_phone string, contacts struct<mobile_phone string, home_phone string>, photo_rec string, photo_medium_rec string, photo_200 string, photo_400 string, photo_max string, photo_base string, photo_avg_color string, photo_id string, "
+    "online string, last_seen struct<time long, platform long>, online_info struct<last_seen long, app_id long>, followers_count long, counters map<string, string>, personal struct<alcohol long, inspired_by string, life_main long, people_main long, religion string, religion_id long, smoking long, langs array<string>>, "
     "universities array<struct<id long, name string, faculty long, faculty_name string, chair long, chair_name string, graduation int>>, schools array<struct<id long, name string, year_from int, year_to int, year_graduated int, class string, speciality string>>, career array<struct<company string, position string, city_id long, city_name string, `from` int, until int>>>>"
 )
 PERSON = "struct<count long, items array<struct<id long, domain string, first_name string, last_name string, sex int, online string, photo_50 string, photo_100 string, photo_200 string>>>"
 GROUPS = "struct<count long, items array<struct<id long, name string, screen_name string, type string, description string, status string, photo_100 string, photo_200 string>>>"
-FREE_TEXT = ["status", "about", "interests", "books", "tv", "quotes", "games", "movies", "music", "site"]
+PHOTOS = "struct<count long, items array<struct<id long, album_id long, owner_id long, date long, square_crop string, orig_photo struct<url string>, sizes string>>>"
+VIDEOS = "struct<count long, items array<struct<id long, owner_id long, date long, title string, description string, duration long, views long, comments long, likes struct<count long>, reposts struct<count long>, player string, image array<struct<url string>>, direct_url string, share_url string>>>"
+FREE_TEXT = ["status", "activity", "about", "interests", "books", "tv", "quotes", "games", "movies", "music", "site"]
 
 
 def profile_bundles(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
@@ -134,19 +149,29 @@ def profile_bundles(pages: DataFrame, html: str = "html", key: str = "page_id")
     Missing free texts are empty; list counts override the user's own counters."""
     x = pages.select(key, prefetched(F.col(html)).alias("m"))
     get = lambda method, kind: F.from_json(F.try_element_at("m", F.lit(method)), kind)
-    x = x.select(key, F.get(get("users.get", USER), F.lit(0)).alias("u"), get("friends.get", PERSON).alias("fr"), get("users.getFollowers", PERSON).alias("fo"), get("users.getSubscriptions", GROUPS).alias("su"), get("photos.get", "struct<count long>").alias("ph"), get("video.get", "struct<count long>").alias("vi")).where("u.id is not null")
+    x = x.select(key, F.get(get("users.get", USER), F.lit(0)).alias("u"), get("friends.get", PERSON).alias("fr"), get("users.getFollowers", PERSON).alias("fo"), get("users.getSubscriptions", GROUPS).alias("su"), get("photos.get", PHOTOS).alias("ph"), get("video.get", VIDEOS).alias("vi")).where("u.id is not null")
     own = lambda c: F.try_element_at("u.counters", F.lit(c)).try_cast("long")
     over = {"friends": "fr.count", "followers": "fo.count", "subscriptions": "su.count", "photos": "ph.count", "videos": "vi.count"}
     names = ["albums", "audios", "followers", "friends", "groups", "online_friends", "pages", "photos", "subscriptions", "videos", "video_playlists", "mutual_friends", "clips_followers", "clips_views", "clips_likes"]
     truth = lambda c: (F.coalesce(F.col(f"u.{c}"), F.lit("")).isin("1", "true")).alias(c)
     phone = lambda c: F.coalesce(F.nullif(F.col(f"u.contacts.{c}"), F.lit("")), F.col(f"u.{c}"), F.lit("")).alias(c)
     profile = F.struct(
-        F.col("u.id").alias("user_id"), *[F.col(f"u.{c}").alias(c) for c in ("first_name", "last_name", "nickname", "sex", "bdate", "home_town")], F.col("u.city.id").alias("city_id"), F.col("u.city.title").alias("city_title"), F.col("u.country.id").alias("country_id"), F.col("u.country.title").alias("country_title"),
-        *[truth(c) for c in ("verified", "is_sber_verified", "is_tinkoff_verified", "is_esia_verified", "is_nft", "online")], *[F.coalesce(F.col(f"u.{c}"), F.lit("")).alias(c) for c in FREE_TEXT], phone("mobile_phone"), phone("home_phone"),
-        F.col("u.photo_rec").alias("photo_50"), F.col("u.photo_medium_rec").alias("photo_100"), F.col("u.photo_200").alias("photo_200"), F.col("u.photo_400").alias("photo_400"), F.coalesce("u.last_seen.time", "u.online_info.last_seen").alias("last_seen_ts"), F.col("u.last_seen.platform").alias("last_seen_platform"), F.coalesce("fo.count", "u.followers_count").alias("followers_count"),
+        F.col("u.id").alias("user_id"), *[F.col(f"u.{c}").alias(c) for c in ("screen_name", "domain", "first_name", "last_name", "nickname", "sex", "bdate", "bdate_visibility", "home_town", "no_index", "wall_default", "photo_max", "photo_base", "photo_avg_color", "photo_id")], F.col("u.city.id").alias("city_id"), F.col("u.city.title").alias("city_title"), F.col("u.country.id").alias("country_id"), F.col("u.country.title").alias("country_title"),
+        *[truth(c) for c in ("verified", "is_sber_verified", "is_tinkoff_verified", "is_esia_verified", "is_nft", "is_followers_mode_on", "online")], *[F.coalesce(F.col(f"u.{c}"), F.lit("")).alias(c) for c in FREE_TEXT], phone("mobile_phone"), phone("home_phone"),
+        F.col("u.photo_rec").alias("photo_50"), F.col("u.photo_medium_rec").alias("photo_100"), F.col("u.photo_200").alias("photo_200"), F.col("u.photo_400").alias("photo_400"), F.get("u.cover.images", F.lit(0))["url"].alias("cover_photo_url"), F.coalesce(F.nullif("u.last_seen.time", F.lit(0)), "u.online_info.last_seen").alias("last_seen_ts"), F.col("u.online_info.app_id").alias("online_app_id"), F.col("u.last_seen.platform").alias("last_seen_platform"), F.coalesce("fo.count", "u.followers_count").alias("followers_count"),
     )
     counters = F.struct(*[F.coalesce(F.col(over[c]), own(c)).alias(c) if c in over else own(c).alias(c) for c in names])
-    return x.select(key, profile.alias("profile"), counters.alias("counters"), F.col("u.personal").alias("personal"), F.col("u.personal.langs").alias("languages"), F.col("u.universities").alias("universities"), F.col("u.schools").alias("schools"), F.col("u.career").alias("careers"), F.col("fr.items").alias("friends_sample"), F.col("fo.items").alias("followers_sample"), F.col("su.items").alias("subscriptions_sample"))
+    return x.select(key, profile.alias("profile"), counters.alias("counters"), F.col("u.personal").alias("personal"), F.col("u.personal.langs").alias("languages"), F.col("u.universities").alias("universities"), F.col("u.schools").alias("schools"), F.col("u.career").alias("careers"), F.col("fr.items").alias("friends_sample"), F.col("fo.items").alias("followers_sample"), F.col("su.items").alias("subscriptions_sample"), F.col("ph.items").alias("photos"), F.col("vi.items").alias("videos_sample"))
+
+
+def profile_problems(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
+    """(key, field, reason, value) of pages that give no profile: without the array of responses, with one that
+    isn't JSON, or without a user in it."""
+    found = P.json_array_after(F.col(html), PREFETCH)
+    m = prefetched(F.col(html))
+    user = F.get(F.from_json(F.try_element_at(m, F.lit("users.get")), USER), F.lit(0))["id"]
+    reason = F.when(~F.coalesce(F.col(html), F.lit("")).rlike(PREFETCH), "no responses").when(found.isNull(), "array without end").when(m.isNull(), "broken JSON").when(user.isNull(), "no user")
+    return pages.select(key, F.lit("html").alias("field"), reason.alias("reason"), F.substring(F.coalesce(found, F.col(html)), 1, 200).alias("value")).where("reason is not null")
 
 
 def children(bundles: DataFrame, array: str) -> DataFrame:

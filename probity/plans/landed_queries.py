@@ -139,6 +139,12 @@ COMMENT_TEXT = "'Said ' || source || ' #Tag' || id || ' to @user.' || uid || ' '
     f"'https://i.org/' || id || '.png' AS images, 'Tag' || id AS hashtags, 'user.' || uid AS mentions, 'https://e.org/' || id AS urls FROM (SELECT {ROWS} FROM documents WHERE source IS NOT NULL AND doc_id > 0)".replace("'Ann ' || uid AS author_name", "CASE WHEN id % 4 <> 1 THEN 'Ann ' || uid END AS author_name")
 )
 def landed_comments(spark, d):
+    out = G.parse_comments(comment_pages(spark, d))
+    joined = lambda c: F.array_join(c, " ")
+    return out.select("page_id", "comment_id", "from_id", "author_name", "author_href", "text", "timestamp", "likes", "reply_to_comment_id", joined("attachments.images").alias("images"), joined("text_features.hashtags").alias("hashtags"), joined("text_features.mentions").alias("mentions"), joined("text_features.urls").alias("urls"))
+
+
+def comment_pages(spark, d):
     x = t(spark, d, "documents").where("source is not null").selectExpr(*ROWS.replace("//", "DIV").split(", "))
     marker = "CASE WHEN page_id % 2 = 0 THEN concat('<div id=\"wall_reply-5_', id, '\">') ELSE concat('<a name=\"reply', id, '\" class=\"ReplyItem__anchor\"></a>') END"
     author = "CASE WHEN id % 4 = 1 THEN concat('<a onclick=\"Replies.replyTo(x, -5, ', id, ', ', uid, ')\">reply</a>') WHEN id % 4 = 2 THEN concat('<a class=\"q ReplyItem__name\" href=\"/ann', uid, '\">Ann ', uid, '</a><i data=ImageStatus.open({\"user_id\": ', uid, '})></i>') ELSE concat('<div class=\"ReplyItem__header\"><a href=\"/id', uid, '\">Ann <b>', uid, '</b></a></div>') END"
@@ -149,9 +155,7 @@ def landed_comments(spark, d):
     # the last comment comes once more, changed: the first one counts
     page = seg.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("id", "seg"))).alias("s"))
     html = F.concat(F.lit("<p>head</p>"), F.array_join(F.transform("s", lambda x: x["seg"]), ""), F.replace(F.element_at("s", -1)["seg"], F.lit("Said"), F.lit("Again")))
-    out = G.parse_comments(page.select("page_id", html.alias("html"), F.lit(9).cast("long").alias("post_id"), F.lit(NOW).cast("long").alias("collected_at")))
-    joined = lambda c: F.array_join(c, " ")
-    return out.select("page_id", "comment_id", "from_id", "author_name", "author_href", "text", "timestamp", "likes", "reply_to_comment_id", joined("attachments.images").alias("images"), joined("text_features.hashtags").alias("hashtags"), joined("text_features.mentions").alias("mentions"), joined("text_features.urls").alias("urls"))
+    return page.select("page_id", html.alias("html"), F.lit(9).cast("long").alias("post_id"), F.lit(NOW).cast("long").alias("collected_at"))
 
 
 @query(
@@ -160,6 +164,12 @@ def landed_comments(spark, d):
     "o_orderkey % 7 = 0 AS pinned, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 4 = 0 END AS is_comments_closed, CASE WHEN o_orderkey % 5 = 0 THEN '/video-5_' || o_orderkey ELSE '' END AS videos, CASE WHEN o_orderkey % 6 = 0 THEN 'https://out.org/' || o_orderkey ELSE '' END AS outlinks FROM orders"
 )
 def landed_posts(spark, d):
+    """A hidden rest shows in its place and behind the text."""
+    out = G.parse_posts(post_pages(spark, d))
+    return out.select("page_id", "owner_id", "post_id", "url", "timestamp", "text", "likes", "comments", "reposts", "views", "pinned", "is_comments_closed", F.array_join("attachments.videos", " ").alias("videos"), F.array_join("attachments.outlinks", " ").alias("outlinks"))
+
+
+def post_pages(spark, d):
     seg = F.expr("""concat('<div class="a PostHeader__contentWrapper"><i data-post-id="-5_', o_orderkey, '"></i><a href="/wall-5_', o_orderkey, '" class="PostHeaderTime__link">', 1 + o_orderkey % 28, ' mar 2021</a>',
       CASE WHEN o_orderkey % 7 = 0 THEN '<span class="visually-hidden">post pinned</span>' ELSE '' END, CASE WHEN o_orderkey % 2 = 0 THEN concat('<i class="PostContextMenuReactMVK__root" data-exec="{&quot;isCommentsClosed&quot;: ', o_orderkey % 4 = 0, '}"></i>') ELSE '' END,
       '<div class="wi_body"><div class="pi_text">Order ', o_orderpriority, ' #o', o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN concat('<a class="PostTextMore" href="#">more</a><span style="display:none">hidden ', o_orderkey, '</span>') ELSE '' END, '</div>',
@@ -167,9 +177,7 @@ def landed_posts(spark, d):
       '<b class="PostBottomButtonReaction__label">', o_orderkey % 70, 'K</b><i data-replies-count="', o_orderkey % 9, '"></i><a href="/like?act=publish&x"><b class="PostBottomButton__label">', o_orderkey % 5, '</b></a><u class="Socials__viewsCount">', o_orderkey % 1000, '</u></div>')""")
     x = t(spark, d, "orders").select(F.col("o_custkey").alias("page_id"), F.struct("o_orderkey", seg.alias("seg")).alias("s"))
     page = x.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["seg"]), "").alias("html"))
-    out = G.parse_posts(page.withColumn("collected_at", F.lit(NOW).cast("long")))
-    # a hidden rest shows in its place and behind the text
-    return out.select("page_id", "owner_id", "post_id", "url", "timestamp", "text", "likes", "comments", "reposts", "views", "pinned", "is_comments_closed", F.array_join("attachments.videos", " ").alias("videos"), F.array_join("attachments.outlinks", " ").alias("outlinks"))
+    return page.withColumn("collected_at", F.lit(NOW).cast("long"))
 
 
 @query(
@@ -177,6 +185,13 @@ def landed_posts(spark, d):
     "FROM profiles LEFT JOIN profile_counters c ON c.profile_id = profiles.id"
 )
 def landed_profiles(spark, d):
+    out = G.profile_bundles(profile_pages(spark, d))
+    return out.select(
+        "profile.user_id", "profile.first_name", "profile.status", "profile.about", "profile.verified", "profile.is_esia_verified", "profile.site", "profile.mobile_phone", "profile.city_title", "profile.last_seen_ts", "counters.friends", "counters.followers", "counters.groups", F.coalesce(F.size("schools"), F.lit(0)).alias("schools"),
+    )
+
+
+def profile_pages(spark, d):
     s = stored(spark, d)
     x = s["profiles"].join(s["profile_counters"].withColumnRenamed("id", "_c"), F.col("id") == F.col("profile_id"), "left")
     user = F.struct(
@@ -186,10 +201,7 @@ def landed_profiles(spark, d):
     user = user.withField("schools", F.slice(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.struct(i.alias("id"), F.concat(F.lit("S"), i).alias("name"))), 1, (F.col("user_id") % 3).cast("int")))
     more = F.when(F.col("user_id") % 2 == 0, F.lit(',{"method":"users.getFollowers","response":{"count":77,"items":[]}}')).otherwise("")
     html = F.concat(F.lit('<script>a({"apiPrefetchCache":[{"method":"users.get","response":['), F.to_json(user), F.lit("]}"), more, F.lit('],"b":[1]})</script>'))
-    out = G.profile_bundles(x.select(F.col("user_id").alias("page_id"), html.alias("html")))
-    return out.select(
-        "profile.user_id", "profile.first_name", "profile.status", "profile.about", "profile.verified", "profile.is_esia_verified", "profile.site", "profile.mobile_phone", "profile.city_title", "profile.last_seen_ts", "counters.friends", "counters.followers", "counters.groups", F.coalesce(F.size("schools"), F.lit(0)).alias("schools"),
-    )
+    return x.select(F.col("user_id").alias("page_id"), html.alias("html"))
 
 
 SQL["landed_profiles"] = with_stored("profiles profile_counters", " " + SQL["landed_profiles"])

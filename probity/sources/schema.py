@@ -16,8 +16,8 @@ DDL = {
     "comment_hashtags": "id BIGINT, comment_id_fk BIGINT, tag STRING",
     "comment_mentions": "id BIGINT, comment_id_fk BIGINT, handle STRING",
     "comment_urls": "id BIGINT, comment_id_fk BIGINT, url STRING",
-    "profiles": "id BIGINT, user_id BIGINT, first_name STRING, last_name STRING, nickname STRING, sex INT, bdate STRING, city_id BIGINT, city_title STRING, country_id BIGINT, country_title STRING, home_town STRING, verified BOOLEAN, is_sber_verified BOOLEAN, is_tinkoff_verified BOOLEAN, is_esia_verified BOOLEAN, is_nft BOOLEAN, "
-    "status STRING, about STRING, interests STRING, books STRING, tv STRING, quotes STRING, games STRING, movies STRING, music STRING, site STRING, mobile_phone STRING, home_phone STRING, photo_50 STRING, photo_100 STRING, photo_200 STRING, photo_400 STRING, online BOOLEAN, last_seen_ts BIGINT, last_seen_platform BIGINT, followers_count BIGINT, collected_at BIGINT, registered_at DATE, is_bot INT",
+    "profiles": "id BIGINT, user_id BIGINT, screen_name STRING, domain STRING, first_name STRING, last_name STRING, nickname STRING, sex INT, bdate STRING, bdate_visibility INT, city_id BIGINT, city_title STRING, country_id BIGINT, country_title STRING, home_town STRING, verified BOOLEAN, is_sber_verified BOOLEAN, is_tinkoff_verified BOOLEAN, is_esia_verified BOOLEAN, is_nft BOOLEAN, is_followers_mode_on BOOLEAN, no_index STRING, wall_default STRING, "
+    "status STRING, activity STRING, about STRING, interests STRING, books STRING, tv STRING, quotes STRING, games STRING, movies STRING, music STRING, site STRING, mobile_phone STRING, home_phone STRING, photo_50 STRING, photo_100 STRING, photo_200 STRING, photo_400 STRING, photo_max STRING, photo_base STRING, photo_avg_color STRING, photo_id STRING, cover_photo_url STRING, online BOOLEAN, last_seen_ts BIGINT, last_seen_platform BIGINT, online_app_id BIGINT, followers_count BIGINT, collected_at BIGINT, updated_at BIGINT, registered_at DATE, is_bot INT",
     "profile_counters": "id BIGINT, profile_id BIGINT, albums BIGINT, audios BIGINT, followers BIGINT, friends BIGINT, groups BIGINT, online_friends BIGINT, pages BIGINT, photos BIGINT, subscriptions BIGINT, videos BIGINT, video_playlists BIGINT, mutual_friends BIGINT, clips_followers BIGINT, clips_views BIGINT, clips_likes BIGINT",
     "profile_personal": "id BIGINT, profile_id BIGINT, alcohol BIGINT, inspired_by STRING, life_main BIGINT, people_main BIGINT, religion STRING, religion_id BIGINT, smoking BIGINT",
     "profile_languages": "id BIGINT, profile_id BIGINT, lang STRING",
@@ -28,7 +28,7 @@ DDL = {
     "profile_followers_sample": "id BIGINT, profile_id BIGINT, follower_user_id BIGINT, first_name STRING, last_name STRING, sex INT, photo_50 STRING, photo_100 STRING, photo_200 STRING, online BOOLEAN",
     "profile_subscriptions_sample": "id BIGINT, profile_id BIGINT, group_id BIGINT, name STRING, screen_name STRING, type STRING, description STRING, status STRING, photo_100 STRING, photo_200 STRING",
     "profile_photos": "id BIGINT, profile_id BIGINT, photo_id BIGINT, album_id BIGINT, owner_id BIGINT, date BIGINT, square_crop STRING, url_base STRING, sizes_json STRING",
-    "profile_videos_sample": "id BIGINT, profile_id BIGINT, owner_id BIGINT, video_id BIGINT, date BIGINT, title STRING, description STRING, duration BIGINT, views BIGINT, comments BIGINT, likes BIGINT, reposts BIGINT, player STRING, image STRING, first_frame STRING, direct_url STRING",
+    "profile_videos_sample": "id BIGINT, profile_id BIGINT, owner_id BIGINT, video_id BIGINT, date BIGINT, title STRING, description STRING, duration BIGINT, views BIGINT, comments BIGINT, likes BIGINT, reposts BIGINT, player_url STRING, image_url STRING, direct_url STRING, share_url STRING",
 }
 #: Natural keys.
 KEYS = {

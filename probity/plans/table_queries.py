@@ -82,18 +82,22 @@ def follower_jaccard(spark, d):
     return G.mean_pair_jaccard(customer_parts(spark, d), "p", "c").select("p", r6("avg_follower_similarity").alias("avg_follower_similarity"))
 
 
-@query(
-    f"WITH e AS (SELECT DISTINCT c % 100 AS src, p % 100 AS dst FROM {CP}), k AS (SELECT src, count(*) AS n FROM e GROUP BY 1), l AS (SELECT x.src AS v, count(*) AS links FROM e x JOIN e y ON x.dst = y.src AND x.dst <> y.dst JOIN e z ON z.src = x.src AND z.dst = y.dst GROUP BY 1) "
+CLUSTERING = (
+    f"WITH e AS (SELECT DISTINCT {{}} FROM {CP}), k AS (SELECT src, count(*) AS n FROM e GROUP BY 1), l AS (SELECT x.src AS v, count(*) AS links FROM e x JOIN e y ON x.dst = y.src AND x.dst <> y.dst JOIN e z ON z.src = x.src AND z.dst = y.dst GROUP BY 1) "
     "SELECT src, n AS neighbour_count, round(CASE WHEN n >= 2 THEN coalesce(links, 0) / CAST(n * (n - 1) AS DOUBLE) ELSE 0.0 END, 6) AS local_clustering, CASE WHEN (CASE WHEN n >= 2 THEN coalesce(links, 0) / CAST(n * (n - 1) AS DOUBLE) ELSE 0.0 END) < 0.1 THEN 1 ELSE 0 END AS suspicious_low_clustering FROM k LEFT JOIN l ON src = v"
 )
+
+
+@query(CLUSTERING.format("p AS src, c AS dst"))
 def local_clustering(spark, d):
-    e = customer_parts(spark, d).select((F.col("c") % 100).alias("src"), (F.col("p") % 100).alias("dst"))
+    """From parts to customers; a part and a customer of the same number are one node."""
+    e = customer_parts(spark, d).select(F.col("p").alias("src"), F.col("c").alias("dst"))
     return G.local_clustering(e).withColumn("local_clustering", r6("local_clustering"))
 
 
-@query()
+@query(CLUSTERING.format("c AS src, p AS dst"))
 def local_clustering_graph(spark, d):
-    """All edges with their own ids (a customer and a part of the same number are one node); its SQL would take too long."""
+    """From customers to parts, likewise."""
     e = customer_parts(spark, d).select(F.col("c").alias("src"), F.col("p").alias("dst"))
     return G.local_clustering(e).withColumn("local_clustering", r6("local_clustering"))
 

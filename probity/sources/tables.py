@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -27,8 +26,6 @@ from probity.operators.activity import upsert
 
 BUCKETS = 16
 BUCKET = "bucket"
-#: Child tables that a transaction writes at a time.
-WRITERS = 4
 
 
 class Conflict(Exception):
@@ -220,8 +217,8 @@ class Transaction:
             self._write(name, rows, touched)
 
         if touched:
-            with ThreadPoolExecutor(WRITERS) as pool:  # small writes of tables that have nothing to do with each other
-                list(pool.map(one, children))
+            for name in children:
+                one(name)
 
     def _numbered(self, name: str, rows: DataFrame, number: str, order: list[str]) -> DataFrame:
         """rows with a number where they have none: in each bucket the next free ones."""

@@ -1,7 +1,9 @@
 """Measures of binary classifiers over (label, score) tables, each one aggregate or one window."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -53,23 +55,36 @@ def confusion(df: DataFrame, label: str, score: str, threshold: float = 0.5) ->
 RANGES = 256
 
 
-def running(df: DataFrame, value: str, sums: list[str], descending: bool = False) -> DataFrame:
-    """df(value unique, ...) with before_<c> for each of sums: its sum over all rows of smaller (greater, if
-    descending) values.
+def range_of(value: Column, cuts: list) -> Column:
+    """How many of the ascending cuts are at most value, by halves."""
+
+    def half(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value < F.lit(cuts[mid]), half(lo, mid)).otherwise(half(mid + 1, hi))
+
+    return half(0, len(cuts))
+
+
+def running(df: DataFrame, value: str, sums: list[str], descending: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """df(by..., value unique in its group, ...) with before_<c> for each of sums: its sum over all rows of the
+    group of smaller (greater, if descending) values.
 
-    Approximate quantiles cut the values into ranges; sums of the ranges, a few hundred rows, are added up
-    and meet the rows of their range, which each have a window of their own. No task sorts all values. Null
-    values come first (last, if descending)."""
+    Approximate quantiles of all values cut them into ranges of about as many rows; sums of a group's ranges, a few
+    hundred rows, are added up and meet the rows of their range, which each have a window of their own. So no task
+    sorts all values, nor all of a hot group's. Null values come first (last, if descending); null groups are one."""
     cuts = df.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(value))) if cuts else F.lit(0)
-    x = df.withColumn("_range", F.when(F.col(value).isNull(), -1).otherwise(at))
-    per = x.groupBy("_range").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    x = df.withColumn("_range", F.when(F.col(value).isNull(), -1).otherwise(range_of(F.col(value), sorted(set(cuts)))))
+    per = x.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
     turn = (lambda c: F.desc_nulls_last(c)) if descending else (lambda c: F.asc_nulls_first(c))
-    ahead = W.orderBy(turn("_range")).rowsBetween(W.unboundedPreceding, -1)  # RANGES + 1 rows at most
-    per = per.select(F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_{c}").over(ahead), F.lit(0)).alias(f"_to_{c}") for c in sums])
-    w = W.partitionBy("_range").orderBy(turn(value)).rowsBetween(W.unboundedPreceding, -1)
-    x = x.join(F.broadcast(per), F.col("_range") == F.col("_r"))
+    ahead = W.partitionBy(*by).orderBy(turn("_range")).rowsBetween(W.unboundedPreceding, -1)  # RANGES + 1 rows of a group at most
+    per = per.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_{c}").over(ahead), F.lit(0)).alias(f"_to_{c}") for c in sums])
+    w = W.partitionBy(*by, "_range").orderBy(turn(value)).rowsBetween(W.unboundedPreceding, -1)
+    same = F.col("_range") == F.col("_r")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    x = x.join(per if by else F.broadcast(per), same)
     return x.select(*df.columns, *[(F.col(f"_to_{c}") + F.coalesce(F.sum(c).over(w), F.lit(0))).alias(f"before_{c}") for c in sums])
 
 

@@ -15,17 +15,22 @@ def tenths(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by..., n, p50, p90): the median, and the exclusive ninth of ten quantiles (n+1 places; the greatest of
     fewer than ten values; 0 of none)."""
     x = F.col(value).cast("double")
-    per = df.groupBy(*by).agg(F.count(x).alias("n"), F.coalesce(F.median(x), F.lit(0.0)).alias("p50"), F.max(x).alias("_max"))
-    # values of rank 9 (n + 1) / 10 and the next one, from ranks of distinct values
-    k = df.where(x.isNotNull()).groupBy(*by, x.alias("_v")).agg(F.count("*").alias("_k"))
-    w = W.partitionBy(*by).orderBy("_v")
-    k = k.withColumn("_to", F.sum("_k").over(w)).withColumn("_n", F.sum("_k").over(W.partitionBy(*by)))
-    lo = F.greatest(F.lit(1), F.least(F.floor(9 * (F.col("_n") + 1) / 10), F.col("_n") - 1))
-    at = lambda r: F.min(F.when(F.col("_to") >= r, F.col("_v")))
-    pick = k.groupBy(*by).agg(at(lo).alias("_a"), at(lo + 1).alias("_b"), F.max((9 * (F.col("_n") + 1) / 10) - lo).alias("_f"))
-    out = per.join(pick, by, "left") if by else per.crossJoin(pick)  # one row each
+    k = df.groupBy(*by, x.alias("_v")).agg(F.count("*").alias("_k"))
+    seen = running(k.where("_v is not null"), "_v", ["_k"], by=by)
+    # the value of rank r is the first one up to which r values are seen
+    n = k.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_k"))), F.lit(0)).alias("n"), F.max("_v").alias("_max"))
+    named = n.select(*[F.col(c).alias(f"_g_{c}") for c in by], "n")
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    seen = seen.join(named if by else F.broadcast(named), same)
+    lo = F.greatest(F.lit(1), F.least(F.floor(9 * (F.col("n") + 1) / 10), F.col("n") - 1))
+    at = lambda r: F.min(F.when(F.col("before__k") + F.col("_k") >= r, F.col("_v")))
+    pick = seen.groupBy(*by).agg(at(lo).alias("_a"), at(lo + 1).alias("_b"), F.max((9 * (F.col("n") + 1) / 10) - lo).alias("_f"), ((at(F.floor((F.col("n") + 1) / 2)) + at(F.ceil((F.col("n") + 1) / 2))) / 2).alias("p50"))
+    pick = pick.select(*[F.col(c).alias(f"_g_{c}") for c in by], "_a", "_b", "_f", "p50")
+    out = n.join(pick, same, "left")
     p90 = F.when(F.col("n") >= 10, F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).otherwise(F.coalesce("_max", F.lit(0.0)))
-    return out.select(*by, "n", "p50", p90.alias("p90"))
+    return out.select(*by, "n", F.coalesce("p50", F.lit(0.0)).alias("p50"), p90.alias("p90"))
 
 
 def ranked(df: DataFrame, order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
@@ -73,8 +78,8 @@ def compare_models(df: DataFrame, model: str, label: str, score: str) -> DataFra
     y, s = F.col(label) == 1, F.col(score)
     c = df.groupBy(model).agg(F.count_if(y & (s >= 0.5)).alias("tp"), F.count_if(~y & (s >= 0.5)).alias("fp"), F.count_if(y & (s < 0.5)).alias("fn"), F.avg((y == (s >= 0.5)).cast("double")).alias("accuracy"))
     k = df.groupBy(model, score).agg(F.count("*").alias("n"), F.count_if(y).alias("p"))
-    up, down = W.partitionBy(model).orderBy(score), W.partitionBy(model).orderBy(F.desc(score))
-    k = k.withColumns({"mid": F.sum("n").over(up) - F.col("n") + (F.col("n") + 1) / 2, "prec": F.sum("p").over(down) / F.sum("n").over(down)})
+    k = running(k, score, ["n"], by=[model]).withColumn("mid", F.col("before_n") + (F.col("n") + 1) / 2).drop("before_n")
+    k = running(k, score, ["n", "p"], descending=True, by=[model]).withColumn("prec", (F.col("before_p") + F.col("p")) / (F.col("before_n") + F.col("n")))
     a = k.groupBy(model).agg(F.sum(F.col("mid") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"), (F.sum(F.col("prec") * F.col("p")) / F.sum("p")).alias("average_precision"))
     zero = lambda n, d: F.when(d > 0, n / d).otherwise(0.0)
     x = c.join(a, model).withColumns({"precision": zero(F.col("tp"), F.col("tp") + F.col("fp")), "recall": zero(F.col("tp"), F.col("tp") + F.col("fn")), "roc_auc": (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))})

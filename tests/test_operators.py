@@ -1,15 +1,18 @@
 """Page parsing, keyed writes, the SQLite source, models and streaming on small fixtures."""
 import json
+import random
 import sqlite3
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from probity import catalog
 from probity.functions import clean
-from probity.operators import metrics, models, pages, store
+from probity.operators import metrics, models, pages, reports, store
 from probity.sources import schema
-from probity.sources.sqlite import SqliteSource
+from probity.sources.sqlite import SqliteReader, SqliteSource, where
 from probity.streaming import counters
 
 NOW = 1705320000
@@ -32,6 +35,41 @@ def test_pages(spark):
     assert c[8]["timestamp"] == NOW - 7200 and c[8]["reply_to_comment_id"] == 3 and c[8]["author_name"] == "Ann B"
 
 
+def test_sqlite_filters(spark, tmp_path):
+    path = str(tmp_path / "f.sqlite")
+    rows = [(i, None if i % 7 == 0 else i % 5, f"t{i % 3}", i % 2) for i in range(300)]
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE comments (id INTEGER PRIMARY KEY, likes INTEGER, text TEXT, is_deleted BOOLEAN)")
+        c.executemany("INSERT INTO comments VALUES (?, ?, ?, ?)", rows)
+    asked = where(("likes", ">", 2), ("text", "in", ["t1", "t2"]), ("is_deleted", "=", False), ("likes", "is not null"))
+    schema_ = "id long, likes long, text string, is_deleted boolean"
+    reader = SqliteReader(StructType.fromDDL(schema_), {"path": path, "table": "comments", "where": asked})
+    read = [r for p in reader.partitions() for r in reader.read(p)]
+    want = [(i, k, x, bool(y)) for i, k, x, y in rows if k is not None and k > 2 and x in ("t1", "t2") and not y]
+    assert sorted(read) == want and len(want) < 40
+    spark.dataSource.register(SqliteSource)
+    load = lambda w: spark.read.format("sqlite_table").schema(schema_).option("path", path).option("table", "comments").option("where", w).load()
+    df = load(asked)
+    assert sorted(tuple(r) for r in df.collect()) == want and df.where("likes = 4").count() == sum(r[1] == 4 for r in want) and df.count() == len(want)
+    assert load(where(("likes", "is null"))).count() == sum(r[1] is None for r in rows) and load(where()).count() == 300
+    for bad in (("a;b", "=", 1), ("a", "like", "x"), ("a", "=", None), ("a", "in", []), ("a", "is null", 1), ("a", "=")):
+        with pytest.raises(ValueError):
+            where(bad)
+
+
+def test_quantiles_of_groups(spark):
+    rng = random.Random(2)
+    rows = [("hot", rng.choice([rng.random(), 0.5])) for _ in range(3000)] + [("few", float(i)) for i in range(7)] + [(None, float(i * i)) for i in range(25)] + [("none", None)] * 3
+    got = {r["g"]: (r["n"], r["p50"], r["p90"]) for r in reports.tenths(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    for g in ("hot", "few", None, "none"):
+        x = [v for k, v in rows if k == g and v is not None]
+        p90 = statistics.quantiles(x, n=10)[8] if len(x) >= 10 else max(x or [0.0])
+        assert got[g] == (len(x), pytest.approx(statistics.median(x) if x else 0.0), pytest.approx(p90))
+    (one,) = reports.tenths(spark.createDataFrame(rows, "g string, v double"), [], "v").collect()
+    every = [v for _, v in rows if v is not None]
+    assert (one["n"], one["p50"], one["p90"]) == (len(every), pytest.approx(statistics.median(every)), pytest.approx(statistics.quantiles(every, n=10)[8]))
+
+
 def test_local_clustering_graph_keeps_ids(spark, tmp_path):
     # hub 1000 meets all; ids beyond 100 stay apart, and so do sparse neighbourhoods
     edges = {(1000, k) for k in range(1, 301)} | {(k, k + 100) for k in range(1, 201)} | {(k, 1000) for k in range(1, 301, 7)} | {(5, 5), (5, 205), (105, 205)}

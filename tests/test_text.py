@@ -36,6 +36,13 @@ def test_entropy(spark, value, want):
         (lambda t: F.size(T.sentences(t)), "Одно. Два!! ... Три", 3),
         (P.compact_number, "2.01K", 2009),
         (P.compact_number, None, 0),
+        (P.compact_number, "99999999999999999999", None),
+        (lambda t: P.compact_decimal(t).cast("string"), "99999999999999999999", "100000000000000000000"),
+        (lambda t: P.compact_decimal(t).cast("string"), "99999999999999999999 x", "99999999999999999999"),
+        (lambda t: P.compact_decimal(t).cast("string"), "9" * 39 + "k", None),
+        (P.compact_number, "١٢", 12),
+        (P.compact_number, "१.५K", 1500),
+        (P.compact_number, "-3", 3),
         (lambda t: P.day_first_date(t).cast("string"), "3.4.71", "1971-04-03"),
         (lambda t: P.day_first_date(t).cast("string"), "3/4/2011", "2011-04-03"),
         (lambda t: P.day_first_date(t).cast("string"), "31.02.2011", None),
@@ -46,6 +53,17 @@ def test_entropy(spark, value, want):
         (lambda t: P.registration_date(t).cast("string"), "Регистрация: <i>01.02.2019</i>", "2019-02-01"),
         (P.unwrap_ajax, '{"data": ["<a>", "b"]}', "<a>b"),
         (P.unwrap_ajax, "<p>x", "<p>x"),
+        (P.unwrap_ajax, '{"data":{"a":1,"b":2}}', "ab"),
+        (P.unwrap_ajax, '{"data":null}', '{"data":null}'),
+        (P.unwrap_ajax, '{"data":5}', '{"data":5}'),
+        (P.unwrap_ajax, '{"data":["a"],"data":["b"]}', "b"),
+        (P.unwrap_ajax, '{"x":NaN,"data":["q","\\ud800"]}', "q?"),
+        (P.unwrap_ajax, '{"a":' * 5000, '{"a":' * 5000),
+        (lambda t: P.json_array_after(t, "k:"), 'k: [1] k:["a]\\"[",[2],"\\\\"] x]', '["a]\\"[",[2],"\\\\"]'),
+        (lambda t: P.json_array_after(t, "k:"), 'k:["open]', None),
+        (lambda t: P.json_array_after(t, "k:"), "k:[[]", None),
+        (lambda t: P.json_array_after(t, "k:"), "nothing", None),
+        (lambda t: F.length(P.json_array_after(t, "k:")), "k:[" + '"\\u0436\\"]",' * 20000 + "0]]", 20000 * 12 + 3),
         (lambda t: P.features_in_text(t)["hashtags"], "#ab x#cd #e @user.1 https://x.y)", ["ab"]),
     ],
 )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from probity import const
 from probity.functions import text as T
 from probity.operators import text_features as X
+from probity.operators.deal import dealt
 from probity.operators.profile_features import moving_diversity
 
 QUERIES, SQL = {}, {}
@@ -25,7 +26,7 @@ def query(sql: str | None = None):
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return dealt(spark.read.parquet(f"{d}/documents.parquet"), "doc_id")
 
 
 def r6(c):

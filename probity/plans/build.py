@@ -7,11 +7,13 @@ TABLES: a SQLite file, or a folder that holds the stored tables as Parquet (CSV
 advanced, text, network and complete_features below OUT as CSV with a header, and _errors: a row for each
 table that failed, which doesn't stop the others. `score` reads complete_features, fits a calibrated model on
 the labelled accounts, chooses the threshold of the best F1, and writes predictions_calibrated (CSV), metrics
-(CSV) and the fitted models (folder `model`).
+(CSV) and the fitted models (folder `model`). With --model best it compares all models first (`comparison`), searches
+the parameters of the best three (`holdout`), and goes on with the best of these on rows that no fit has seen.
 """
 from __future__ import annotations
 
 import argparse
+import json
 import time
 from collections.abc import Callable
 
@@ -58,13 +60,20 @@ def build(t: dict[str, DataFrame], out: str, as_of: int, compat: bool = False) -
     return found
 
 
-def score(table: DataFrame, out: str, model: str = "gradient_boosting", folds: int = 5, make: Callable | None = None) -> dict[str, float]:
+def score(table: DataFrame, out: str, model: str = "gradient_boosting", folds: int = 5, make: Callable | None = None, makes: dict[str, Callable] | None = None, grids: dict | None = None) -> dict[str, float]:
     """Fits, chooses the threshold and writes predictions, metrics and models below out."""
     table = table.select(*[F.col(c) if c in L.KEYS else F.col(c).cast("double").alias(c) for c in table.columns]).na.fill(0)
     known = C.kept(M.stratified_split(L.labelled(table), L.LABEL, "id"))
     names = L.feature_names(known)
     train, test = known.where("not is_test"), known.where("is_test")
-    apply = L.calibrated(train, make or L.classifiers()[model], names, folds)
+    makes, chosen = makes or L.classifiers(), {}
+    if make is None and model == "best":
+        rows, held = L.compare(train, test, names, makes, grids, folds)
+        for name, found in (("comparison", rows), ("holdout", held)):
+            flat = [{"rank": i + 1, **{k: json.dumps(v) if isinstance(v, dict) else v for k, v in r.items()}} for i, r in enumerate(found)]
+            write_csv(table.sparkSession.createDataFrame(flat).coalesce(1), f"{out}/{name}")  # a row for each model
+        model, chosen = held[0]["model"], held[0]["parameters"]
+    apply = L.calibrated(train, make or (lambda: makes[model](**chosen)), names, folds)
     rated = C.kept(apply(test))
     best = M.best_threshold(M.threshold_grid(rated, L.LABEL, L.SCORE)).first()
     measures = {**L.evaluate(rated), "threshold": best["threshold"], "threshold_f1": best["f1"]}

@@ -84,3 +84,34 @@ def test_score_writes_predictions(spark, tmp_path):
     p = spark.read.option("header", True).csv(f"{tmp_path}/predictions_calibrated")
     assert p.columns == ["id", "user_id", "bot_probability", "predicted_bot"] and p.count() == 80
     assert PipelineModel.load(f"{tmp_path}/model/1/classifier").stages
+
+
+def test_score_chooses_the_best_model(spark, tmp_path):
+    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+
+    common = {"labelCol": models.LABEL, "featuresCol": "features", "weightCol": models.WEIGHT}
+    # bots are those of a middle a: a line can't tell them, a tree can
+    rows = [(i, 100 + i, -1 if i % 6 == 0 else int(2 <= i * 7 % 8 <= 5), float(i * 7 % 8), float(i % 5)) for i in range(420)]
+    table = spark.createDataFrame(rows, "id long, user_id long, target_is_bot int, a_rate double, b_count double")
+    makes = {"line": lambda **p: LogisticRegression(**common, **p), "tree": lambda **p: DecisionTreeClassifier(**common, **p)}
+    got = build.score(table, str(tmp_path), "best", 2, makes=makes, grids={"tree": ({"maxDepth": [1, 4]}, 3)})
+    read = lambda n: spark.read.option("header", True).option("inferSchema", True).csv(f"{tmp_path}/{n}")
+    ranks = {r["model"]: r["rank"] for r in read("comparison").collect()}
+    assert ranks == {"tree": 1, "line": 2} and read("holdout").count() == 2
+    assert got["roc_auc"] > 0.99
+    p = read("predictions_calibrated")
+    truth = {i: int(2 <= i * 7 % 8 <= 5) for i, *_ in rows}
+    assert p.count() == 70 and all(r["predicted_bot"] == truth[r["id"]] for r in p.collect())
+
+
+def test_search_drops_draws_and_keeps_the_result(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    rows = [(i, i, int(2 <= i * 7 % 8 <= 5), float(i * 7 % 8), float(i % 5)) for i in range(240)]
+    table = models.labelled(spark.createDataFrame(rows, "id long, user_id long, target_is_bot int, a_rate double, b_count double"))
+    make = lambda **p: DecisionTreeClassifier(labelCol=models.LABEL, featuresCol="features", **p)
+    told: list = []
+    best, auc = models.random_search(table, make, {"maxDepth": [0, 1, 4]}, ["a_rate", "b_count"], draws=6, k=2, told=told)
+    assert best == {"maxDepth": 4} and auc > 0.99
+    assert {d for d, _ in told} == set(range(6)) and len(told) < 12  # all draws began, not all went on
+    assert models.cross_validate(table, lambda: make(maxDepth=4), ["a_rate", "b_count"], 2)["roc_auc"] == pytest.approx(auc)

@@ -18,6 +18,16 @@ def ddl(name: str) -> StructType:
     return StructType.fromDDL(schema.DDL[name])
 
 
+# what the child tables of a kind call their parent's row
+PARENT = {"post": "post_id", "comment": "comment_id_fk", "profile": "profile_id"}
+
+
+def declare(tx: Transaction) -> None:
+    """All stored tables, so that one that nothing was stored in is empty, not unknown."""
+    for name in schema.DDL:
+        tx.declare(name, ddl(name), schema.KEYS[name] if name in ("posts", "comments", "profiles") else [PARENT[name.partition("_")[0]]])
+
+
 def in_order(new: DataFrame, keys: list[str], order: str, rules: dict) -> DataFrame:
     """One row of each key: the last value of each column that its rule accepts; rows without a key go."""
     for k in keys:

@@ -42,6 +42,8 @@ def land(tx: Transaction, pages: DataFrame, batch: int = 0, base: str = "") -> N
     # a page may have been collected several times: each is a page of its own
     pages = tx._kept(pages.withColumn("_page", F.monotonically_increasing_id()))
     runs, errors = [], []
+    there = {r["kind"]: r["count"] for r in pages.groupBy("kind").count().collect()}  # kinds that no table has are few
+    B.declare(tx)
 
     def kind(name: str) -> DataFrame:
         return pages.where(F.col("kind") == name)
@@ -49,31 +51,35 @@ def land(tx: Transaction, pages: DataFrame, batch: int = 0, base: str = "") -> N
     def named(rows: DataFrame, *also: str) -> DataFrame:
         return rows.drop("collected_at").join(pages.select("_page", "page_id", "collected_at", *also), "_page")
 
-    posts = named(G.parse_posts(kind("posts").select("_page", "html", "collected_at"), key="_page", base=base))
-    posts = tx._kept(_ordered(posts, "place"))
-    stored = B.put_posts(tx, posts.drop("problems", "place"))
-    errors.append(_told(posts))
-    runs.append((batch, "posts", kind("posts").count(), posts.count(), stored.count()))
-
-    comments = named(G.parse_comments(kind("comments").select("_page", "post_id", "html", "collected_at"), key="_page"), "owner_id")
-    comments = comments.withColumns({"is_deleted": F.lit(None).cast("boolean"), "is_edited": F.lit(None).cast("boolean")})
-    comments = tx._kept(_ordered(comments, "place"))
-    stored = B.put_comments(tx, comments.drop("problems", "place", "author_href"))
-    errors.append(_told(comments))
-    runs.append((batch, "comments", kind("comments").count(), comments.count(), stored.count()))
-
-    profiles = kind("profile").select("_page", "page_id", "html")
-    bundles = tx._kept(_ordered(named(G.profile_bundles(profiles, key="_page"))))
-    stored = B.put_profiles(tx, bundles)
-    errors.append(G.profile_problems(profiles).select(*ERRORS))
-    runs.append((batch, "profiles", profiles.count(), bundles.count(), stored.count()))
-
-    labels = kind("label").select("page_id", "user_id", "collected_at", "html", P.bot_label(F.col("html")).alias("is_bot"), P.registration_date(F.col("html")).alias("registered_at"))
-    labels = tx._kept(_ordered(labels).drop("html"))
-    stored = B.put_labels(tx, labels)
-    no_label = labels.where("is_bot is null and registered_at is null").select("page_id", F.lit("html").alias("field"), F.lit("no label").alias("reason"), F.lit(None).cast("string").alias("value"))
-    errors.append(no_label)
-    runs.append((batch, "labels", labels.count(), labels.where("is_bot is not null or registered_at is not null").count(), stored.count()))
+    def posts() -> tuple[int, int]:
+        rows = named(G.parse_posts(kind("posts").select("_page", "html", "collected_at"), key="_page", base=base))
+        rows = tx._kept(_ordered(rows, "place"))
+        errors.append(_told(rows))
+        return rows.count(), B.put_posts(tx, rows.drop("problems", "place")).count()
+
+    def comments() -> tuple[int, int]:
+        rows = named(G.parse_comments(kind("comments").select("_page", "post_id", "html", "collected_at"), key="_page"), "owner_id")
+        rows = rows.withColumns({"is_deleted": F.lit(None).cast("boolean"), "is_edited": F.lit(None).cast("boolean")})
+        rows = tx._kept(_ordered(rows, "place"))
+        errors.append(_told(rows))
+        return rows.count(), B.put_comments(tx, rows.drop("problems", "place", "author_href")).count()
+
+    def profiles() -> tuple[int, int]:
+        own = kind("profile").select("_page", "page_id", "html")
+        bundles = tx._kept(_ordered(named(G.profile_bundles(own, key="_page"))))
+        errors.append(G.profile_problems(own).select(*ERRORS))
+        return bundles.count(), B.put_profiles(tx, bundles).count()
+
+    def labels() -> tuple[int, int]:
+        rows = kind("label").select("page_id", "user_id", "collected_at", P.bot_label(F.col("html")).alias("is_bot"), P.registration_date(F.col("html")).alias("registered_at"))
+        rows = tx._kept(_ordered(rows))
+        none = "is_bot is null and registered_at is null"
+        errors.append(rows.where(none).select("page_id", F.lit("html").alias("field"), F.lit("no label").alias("reason"), F.lit(None).cast("string").alias("value")))
+        return rows.where(f"not ({none})").count(), B.put_labels(tx, rows).count()
+
+    for step, name, save in (("posts", "posts", posts), ("comments", "comments", comments), ("profiles", "profile", profiles), ("labels", "label", labels)):
+        found, stored = save() if name in there else (0, 0)
+        runs.append((batch, step, there.get(name, 0), found, stored))
 
     other = pages.where("kind is null or kind not in ('posts', 'comments', 'profile', 'label')")
     errors.append(other.select("page_id", F.lit("kind").alias("field"), F.lit("unknown kind").alias("reason"), F.col("kind").alias("value")))

@@ -136,7 +136,7 @@ class Transaction:
         # keys of other widths than the stored ones would fall elsewhere
         return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(self.new["tables"][name]["buckets"])).cast("int")
 
-    def _declare(self, name: str, schema: StructType, by: list[str]) -> None:
+    def declare(self, name: str, schema: StructType, by: list[str]) -> None:
         if name not in self.new["tables"]:
             self.new["tables"][name] = {"schema": schema.jsonValue(), "buckets": self.tables.buckets, "by": by, "parts": {}}
 
@@ -158,14 +158,14 @@ class Transaction:
 
     def find(self, name: str, wanted: DataFrame, keys: list[str], schema: StructType) -> DataFrame:
         """The stored rows of wanted's keys, which must be those that the table is dealt by."""
-        self._declare(name, schema, keys)
+        self.declare(name, schema, keys)
         wanted = self._kept(wanted.select(*keys).distinct().withColumn(BUCKET, self._bucket(name, keys)))
         touched = [r[0] for r in wanted.select(BUCKET).distinct().collect()]
         return self.tables.buckets_of(self.new, name, touched).join(wanted, [BUCKET, *keys], "left_semi").drop(BUCKET)
 
     def append(self, name: str, new: DataFrame, key: str) -> None:
         """Add rows behind those that are there; a bucket of such a table is a list of folders."""
-        self._declare(name, new.schema, [key])
+        self.declare(name, new.schema, [key])
         new = new.withColumn(BUCKET, self._bucket(name, [key]))
         folder = f"{self.id}-{uuid.uuid4().hex[:8]}"
         path = f"{self.tables.base}/data/{name}/{folder}"
@@ -181,7 +181,7 @@ class Transaction:
 
         `number` is a column of row numbers that new rows get: in each bucket the next free ones, so that they
         never meet another bucket's."""
-        self._declare(name, schema, keys)
+        self.declare(name, schema, keys)
         new = self._kept(new.withColumn(BUCKET, self._bucket(name, keys)))
         touched = sorted(r[0] for r in new.select(BUCKET).distinct().collect())  # at most the buckets of a table
         if not touched:
@@ -199,7 +199,7 @@ class Transaction:
         """In each of the tables `children` the rows whose `parent` is one of parents' go, and the given rows take
         their place. All tables are dealt by the parent, so its buckets are found once."""
         for name, (_, schema) in children.items():
-            self._declare(name, schema, [parent])
+            self.declare(name, schema, [parent])
         bucket = self._bucket(next(iter(children)), [parent])
         parents = self._kept(parents.select(parent).distinct().withColumn(BUCKET, bucket))
         touched = sorted(r[0] for r in parents.select(BUCKET).distinct().collect())

@@ -2,8 +2,9 @@
 
 Rows of equal vectors are one node. The graph starts from small blocks of nodes whose random-projection codes
 agree, then improves by rounds of local joins: each node's neighbours and reverse neighbours are compared
-with each other, and those nearer than a node's farthest neighbour are proposed to it, until a round
-changes less than CHANGED of all neighbours. A query starts at its own node's neighbours and, round by
+with each other, two that both were there in the round before excepted, and those nearer than a node's
+farthest neighbour are proposed to it, until a round changes less than CHANGED of all neighbours. So a node
+around which nothing has changed takes no part in a round. A query starts at its own node's neighbours and, round by
 round, expands the nearest nodes that it hasn't expanded, until a round leaves its TOP as they were.
 
 A node's neighbours are those of the largest inner product with it, which its own length doesn't change: the
@@ -25,9 +26,11 @@ from probity.llm.common import drop_stage, stage
 #: Neighbours and sampled reverse neighbours of a node; first blocks' trees and size.
 K, REVERSE, TREES, BLOCK = 32, 16, 2, 256
 #: Local joins end with the round that changes a smaller share of all neighbours.
-CHANGED = 0.02
+CHANGED = 0.005
 #: What a center proposes to a member: its nearest, and as many of the others, another draw each round.
 PROPOSED = 8
+#: Proposals that a task gathers before it hands on the best of each member.
+HELD = 200_000
 #: Search: nodes kept for each query, nodes expanded in a round, rounds at least.
 POOL, EXPAND, HOPS = 192, 48, 2
 TOP = 20
@@ -125,34 +128,50 @@ def first_graph(points: DataFrame, n: int, dim: int) -> DataFrame:
                 top = np.argpartition(-s, k - 1, axis=1)[:, :k] if k else np.zeros((len(s), 0), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), *_lists(list(ids[top]), list(np.take_along_axis(s, top, 1)))], names=["node", "ids", "sims"])
 
-    graph = stage(_merge(blocks.mapInArrow(inside, "node long, ids array<long>, sims array<double>")))
+    graph = _merge(blocks.mapInArrow(inside, "node long, ids array<long>, sims array<double>"))
+    graph = stage(graph.withColumn("fresh", F.transform("ids", lambda _: F.lit(True))))
     drop_stage(rows)
     return graph
 
 
 def improved(graph: DataFrame, points: DataFrame, turn: int) -> DataFrame:
     """One round of NN-descent: neighbours of each node, either way, are joined with each other."""
-    edges = graph.select("node", F.explode("ids").alias("to"))
-    # reverse neighbours: a sample, another one each round; how many a node has only sets the sample's share
-    many = edges.groupBy("to").agg(F.count("*").alias("many")).withColumnRenamed("to", "m_to")
+    edges = graph.select("node", F.explode(F.arrays_zip("ids", "fresh")).alias("e")).select("node", F.col("e.ids").alias("to"), F.col("e.fresh").alias("is_fresh"))
+    # reverse neighbours: a sample of the new and one of the old, others each round; how many a node has only
+    # sets the sample's share
+    many = edges.groupBy(F.col("to").alias("m_to"), F.col("is_fresh").alias("m_fresh")).agg(F.count("*").alias("many"))
     r = F.xxhash64("node", F.lit(turn))
-    some = edges.join(many, F.col("to") == F.col("m_to")).where(F.pmod(r, F.col("many")) < 2 * REVERSE)
-    back = some.groupBy("to").agg(F.slice(F.array_sort(F.collect_list(F.struct(r.alias("r"), "node"))), 1, REVERSE).alias("in")).select(F.col("to").alias("b"), F.col("in.node").alias("in"))
-    around = graph.join(back, F.col("node") == F.col("b"), "left").select(F.col("node").alias("center"), F.explode(F.array_distinct(F.concat("ids", F.coalesce("in", F.array().cast("array<long>")), F.array("node")))).alias("member"))
+    some = edges.join(many, (F.col("to") == F.col("m_to")) & (F.col("is_fresh") == F.col("m_fresh"))).where(F.pmod(r, F.col("many")) < 2 * REVERSE)
+    sample = lambda which: F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("is_fresh") == which, F.struct(r.alias("r"), "node")))), 1, REVERSE), lambda x: F.struct(x["node"].alias("member"), F.lit(which).alias("is_fresh")))
+    back = some.groupBy(F.col("to").alias("b")).agg(F.concat(sample(True), sample(False)).alias("in"))
+    own = F.transform(F.arrays_zip("ids", "fresh"), lambda x: F.struct(x["ids"].alias("member"), x["fresh"].alias("is_fresh")))
+    itself = F.array(F.struct(F.col("node").alias("member"), F.lit(False).alias("is_fresh")))
+    around = graph.join(back, F.col("node") == F.col("b"), "left").select(F.col("node").alias("center"), F.concat(own, F.coalesce("in", F.slice(itself, 1, 0)), itself).alias("all"))
+    around = around.where(F.exists("all", lambda x: x["is_fresh"])).select("center", F.inline("all"))
     worst = F.when(F.size("ids") < K, F.lit(float("-inf"))).otherwise(F.element_at("sims", -1)).alias("worst")
     state = points.join(graph, "node").select("node", "h", "m", worst)
-    joined = around.join(state, F.col("member") == F.col("node")).groupBy("center").agg(F.collect_list(F.struct("member", "h", "m", "worst")).alias("x")).select("x.member", "x.h", "x.m", "x.worst")
+    joined = around.join(state, F.col("member") == F.col("node")).groupBy("center").agg(F.collect_list(F.struct("member", "h", "m", "worst", "is_fresh")).alias("x")).select("x.member", "x.h", "x.m", "x.worst", "x.is_fresh")
+
+    def told(held: dict[int, list]) -> pa.RecordBatch:
+        # the best of each node, so that a node that many others have gets few rows
+        kept = [_best(*(np.concatenate(c) for c in zip(*parts)), K) for parts in held.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), *_lists([i for i, _ in kept], [v for _, v in kept])], names=["node", "ids", "sims"])
 
     def local(batches):
         rng = np.random.default_rng(turn)
+        held: dict[int, list] = {}
+        count = 0
         for b in batches:
-            held: dict[int, list] = {}
-            for member, h, m, worst in zip(*b.columns):
-                ids, m = member.values.to_numpy(), m.values.to_numpy()
-                x = directions(h.values.to_pylist())
+            for member, h, m, worst, new in zip(*b.columns):
+                ids, new = member.values.to_numpy(), new.values.to_numpy(zero_copy_only=False)
+                # a member that is there both ways counts once, as new if it is so either way
+                by = np.lexsort((~new, ids))
+                by = by[np.diff(ids[by], prepend=ids[by[0]] - 1) != 0]
+                ids, new, m = ids[by], new[by], m.values.to_numpy()[by]
+                x = directions(h.values.take(pa.array(by)).to_pylist())
                 s = (x @ x.T) * m
                 np.fill_diagonal(s, -np.inf)
-                good = s > worst.values.to_numpy()[:, None]
+                good = (s > worst.values.to_numpy()[by][:, None]) & (new[:, None] | new)
                 best = np.where(good, s, -np.inf)
                 # the nearest may be known to the member already; a draw of the others gets its turn, too
                 draw = np.where(good, rng.random(s.shape, dtype=np.float32), np.float32(-1))
@@ -163,19 +182,23 @@ def improved(graph: DataFrame, points: DataFrame, turn: int) -> DataFrame:
                 for i in np.flatnonzero(there.any(1)):
                     k = there[i]
                     held.setdefault(int(ids[i]), []).append((found[i][k], values[i][k]))
-            # a batch's best of each node, so that a node that many others have gets few rows
-            kept = [_best(*(np.concatenate(c) for c in zip(*parts)), K) for parts in held.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), *_lists([i for i, _ in kept], [v for _, v in kept])], names=["node", "ids", "sims"])
+                    count += 1
+            if count >= HELD:
+                yield told(held)
+                held, count = {}, 0
+        if held:
+            yield told(held)
 
     new = joined.mapInArrow(local, "node long, ids array<long>, sims array<double>")
-    return stage(_merge(graph.unionByName(new)))
+    better = _merge(graph.select("node", "ids", "sims").unionByName(new))
+    was = graph.select(F.col("node").alias("was"), F.col("ids").alias("had"))
+    marked = F.transform("ids", lambda i: ~F.array_contains("had", i))
+    return stage(better.join(was, F.col("node") == F.col("was")).select("node", "ids", "sims", marked.alias("fresh")))
 
 
-def changed(old: DataFrame, new: DataFrame) -> float:
-    """The share of new's neighbours that old doesn't have."""
-    was = old.select(F.col("node").alias("was"), F.col("ids").alias("had"))
-    share = new.join(was, F.col("node") == F.col("was")).agg(F.sum(F.size(F.array_except("ids", "had"))) / F.sum(F.size("ids"))).first()[0]
-    return share or 0.0
+def changed(graph: DataFrame) -> float:
+    """The share of the graph's neighbours that the round before didn't have."""
+    return graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x))) / F.sum(F.size("ids"))).first()[0] or 0.0
 
 
 def search(graph: DataFrame, points: DataFrame, queries: DataFrame) -> DataFrame:
@@ -251,7 +274,7 @@ def nearest(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", eve
     turn, share = 0, 1.0
     while share >= CHANGED:
         better = improved(graph, points, turn)
-        share = changed(graph, better)
+        share = changed(better)
         drop_stage(graph)
         graph = better
         turn += 1

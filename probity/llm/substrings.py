@@ -13,7 +13,9 @@ Every byte that a LENGTH-byte string covers which also starts in a document with
    for all starts of a window. Equal windows are neighbours in these orders, however many there are.
 3. Packs learn the shared strings and their least documents, and remove what they cover.
 
-A task holds one range at a time: rows come sorted by range. Contexts of an anchor that more than HOT packs
+A task holds one range at a time: rows come sorted by range, and ranges are dealt by a second hash, since the
+anchors, as minima, lie near 0. What a task finds is gathered over its ranges, HELD strings at a time, so a pack
+gets rows by what was found for it, not one from each range. Contexts of an anchor that more than HOT packs
 hold are merged in parts of about HOT packs before the range sees them, so no range holds a context twice for
 each pack. Equal hashes count only where the bytes agree.
 """
@@ -28,6 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
 from probity.llm.common import drop_stage, mix, slices, stage, utf8
@@ -39,7 +42,9 @@ PACK = 1 << 20
 #: Bytes of a pack that are hashed at a time.
 BLOCK = 1 << 16
 #: Text bytes that a range answers for, about; and ranges at least.
-RANGE_BYTES, RANGES = 2 << 20, 64
+RANGE_BYTES, RANGES = 8 << 20, 64
+#: Found strings that a task gathers before it hands them on to their packs.
+HELD = 1 << 20
 #: Packs whose contexts of one anchor meet at once.
 HOT = 128
 #: Contexts that a range compares at once, about.
@@ -415,10 +420,10 @@ def _packs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Pack]]:
 
 
 def _split(key: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(range, indices) by the top bits of the keys."""
+    """(range, indices) by the top bits of the anchors' hashes; a part's bits don't count."""
     if not len(key):
         return
-    at = (key >> U(64 - bits)).astype(np.int64)
+    at = (mix(key & ~PARTS) >> U(64 - bits)).astype(np.int64)
     by = np.argsort(at, kind="stable")
     cuts = np.flatnonzero(np.diff(at[by])) + 1
     for part in np.split(by, cuts):
@@ -526,12 +531,54 @@ def merged_id(range_: int, part: int) -> int:
     return -(range_ << 31 | part) - 1
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def compare(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of the strings that smaller ids hold, by pack, from rows sorted by range; about `most` strings
+    (HELD) are gathered over the ranges first."""
+    most, held, n = most or HELD, [], 0
+    for (kind, _, _), blobs in by_range(batches):
+        if kind == OWN:
+            rows = Rows()
+            for number, blob in blobs:
+                rows.add(OWN, 0, 0, number, blob)
+            yield rows.batch()
+            continue
+        c, numbers = Contexts.read(blobs), np.array([number for number, _ in blobs], np.int64)
+        anchor = c.anchors()
+        by = np.argsort(anchor, kind="stable")
+        a = anchor[by]
+        cut = np.append(np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])), len(a))
+        lo = 0
+        while lo < len(by):  # whole groups, about TOGETHER contexts at a time
+            hi = int(cut[min(np.searchsorted(cut, lo + TOGETHER), len(cut) - 1)])
+            part = by[lo:hi]
+            lo = hi
+            entry, x, y, doc = shared_strings(anchor[part], c.data, c.start[part], c.size[part], c.lead[part], c.least[part])
+            found = np.zeros(len(entry), _FOUND)
+            found["entry"], found["lo"], found["hi"], found["least"] = c.entry[part][entry], x, y, doc
+            held.append((numbers[c.of[part][entry]], found))
+            n += len(entry)
+            if n >= most:
+                yield told(held)
+                held, n = [], 0
+    if held:
+        yield told(held)
+
+
+def told(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """A row for each pack, from (packs, found strings)."""
+    number, found = (np.concatenate(c) for c in zip(*held))
+    rows = Rows()
+    for k in _by_pack(number):
+        rows.add(ASK, 0, 0, int(number[k[0]]), found[k].tobytes())
+    return rows.batch()
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", whole: bool = False) -> DataFrame:
     """docs with the text's remaining bytes, and n_bytes, n_removed, spans behind its columns.
 
     Texts are UTF-8 bytes (null: empty); matches never cross documents. Strings are judged on the input.
     The text column becomes binary, since a cut can fall inside a character; spans are the maximal removed
-    runs (start, end) in bytes. Rows that repeat a key hold no smaller key than each other, so only smaller
+    runs (start, end) in bytes. With `whole`, the text loses the rest of a character that was cut, too. Rows that repeat a key hold no smaller key than each other, so only smaller
     keys take bytes from them; a row with a null key keeps its text and takes nothing from others. Other
     columns stay; those named like a result are replaced.
     """
@@ -622,32 +669,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                     rows.add(OWN, own, 1, blobs[c.of[k[0]]][0], f.tobytes())
             yield rows.batch()
 
-    def compare(batches):
-        for (kind, _, _), blobs in by_range(batches):
-            if kind == OWN:
-                rows = Rows()
-                for number, blob in blobs:
-                    rows.add(OWN, 0, 0, number, blob)
-                yield rows.batch()
-                continue
-            c = Contexts.read(blobs)
-            anchor = c.anchors()
-            by = np.argsort(anchor, kind="stable")
-            a = anchor[by]
-            cut = np.append(np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])), len(a))
-            lo = 0
-            while lo < len(by):  # whole groups, about TOGETHER contexts at a time
-                hi = int(cut[min(np.searchsorted(cut, lo + TOGETHER), len(cut) - 1)])
-                part, rows = by[lo:hi], Rows()
-                lo = hi
-                entry, x, y, doc = shared_strings(anchor[part], c.data, c.start[part], c.size[part], c.lead[part], c.least[part])
-                found = np.zeros(len(entry), _FOUND)
-                found["entry"], found["lo"], found["hi"], found["least"] = c.entry[part][entry], x, y, doc
-                of = c.of[part][entry]
-                for k in _by_pack(of):
-                    rows.add(ASK, 0, 0, blobs[of[k[0]]][0], found[k].tobytes())
-                yield rows.batch()
-
     asked, scratch = source.mapInArrow(send_contexts(False), BLOB), []
     parts = None
     if not shared.where("halved > 0").isEmpty():
@@ -682,14 +703,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     drop_stage(shared, *scratch)
     schema = docs.select(*keep).schema.add(text, BinaryType()).add("n_bytes", LongType()).add("n_removed", LongType()).add("spans", ArrayType(StructType().add("start", LongType()).add("end", LongType())))
 
-    def cut(batches):
-        for b in batches:
-            told = b.column(b.schema.names.index("found"))
+    def cut(table: pa.Table) -> pa.Table:
+        out = []
+        for b in table.to_batches():
+            told_ = b.column(b.schema.names.index("found"))
             for i in range(b.num_rows):
                 ids, lens, data = _unpacked(b, i)
-                yield results(b, i, lens, data, removed(ids, lens, told[i], len(data)), schema, keep)
+                out.append(results(b, i, lens, data, removed(ids, lens, told_[i], len(data)), schema, keep, whole))
+        # grouped functions have to give timestamps in UTC, whatever the session's zone that they got them in
+        return pa.Table.from_batches(out).cast(to_arrow_schema(schema))
 
-    return packs.join(found, "pack", "left").select("ids", "lens", "rows", "data", "found").mapInArrow(cut, schema)
+    # a group for each pack: a batch of many packs would be many megabytes, whatever limit the caller sets
+    return packs.join(found, "pack", "left").select("pack", "ids", "lens", "rows", "data", "found").groupBy("pack").applyInArrow(cut, schema)
 
 
 def removed(ids: np.ndarray, lens: np.ndarray, told: pa.Scalar, n: int) -> np.ndarray:
@@ -725,7 +750,7 @@ def removed(ids: np.ndarray, lens: np.ndarray, told: pa.Scalar, n: int) -> np.nd
     return gone
 
 
-def results(b: pa.RecordBatch, i: int, lens: np.ndarray, data: np.ndarray, gone: np.ndarray, schema: StructType, keep: list[str]) -> pa.RecordBatch:
+def results(b: pa.RecordBatch, i: int, lens: np.ndarray, data: np.ndarray, gone: np.ndarray, schema: StructType, keep: list[str], whole: bool = False) -> pa.RecordBatch:
     off = np.concatenate([[0], np.cumsum(lens)])
     raw, texts, cut, spans = data.tobytes(), [], [], []
     for a, z in zip(off, off[1:]):
@@ -736,7 +761,8 @@ def results(b: pa.RecordBatch, i: int, lens: np.ndarray, data: np.ndarray, gone:
             spans.append([])
             continue
         edge = np.flatnonzero(np.diff(np.concatenate([[0], m.view(np.int8), [0]])))
-        texts.append(data[a:z][~m].tobytes())
+        left = data[a:z][~m].tobytes()
+        texts.append(left.decode("utf-8", "ignore").encode() if whole else left)
         cut.append(int(m.sum()))
         spans.append([{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)])
     rows = b.column(b.schema.names.index("rows"))[i].values

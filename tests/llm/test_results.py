@@ -95,6 +95,47 @@ def test_cuts_equal_brute_force(spark, corpus, monkeypatch, hot, pack):
         assert r["n_removed"] == sum(s["end"] - s["start"] for s in r["spans"]) == r["n_bytes"] - len(r["text"])
 
 
+def test_ranges_are_even():
+    """Anchors are minima of windows: by their own top bits, the first of 64 ranges would hold over a third."""
+    data = np.frombuffer(random.Random(1).randbytes(200_000), np.uint8)
+    h = substrings.Pack(np.array([1]), np.array([len(data)]), data).anchors()
+    sizes = [len(part) for _, part in substrings._split(h, 6)]
+    assert sum(sizes) == len(h) and len(sizes) == 64 and max(sizes) < 2 * len(h) / 64
+
+
+def test_a_pack_gets_one_row_of_many_ranges():
+    """Found strings of 40 ranges and 3 packs: a row for each pack, one string each at the least."""
+    rng, rows = random.Random(2), substrings.Rows()
+    for r in range(40):
+        text = np.frombuffer(bytes(rng.randrange(97, 123) for _ in range(80)), np.uint8)
+        for pack in range(3):
+            rows.add(substrings.ASK, r, 0, pack, substrings.write_contexts(np.array([pack]), np.array([r]), np.array([80]), np.array([30]), text))
+    asked = rows.batch()
+    told = [x for b in substrings.compare(iter([asked])) for x in b.to_pylist()]
+    assert sorted(x["pack"] for x in told) == [1, 2]
+    split = [x for b in substrings.compare(iter([asked]), 1) for x in b.to_pylist()]
+    assert len(split) == 80
+    for pack in (1, 2):
+        one, many = ([np.frombuffer(x["blob"], substrings._FOUND) for x in some if x["pack"] == pack] for some in (told, split))
+        assert np.array_equal(np.sort(np.concatenate(one)), np.sort(np.concatenate(many)))
+        assert set(one[0]["entry"]) == set(range(40)) and set(one[0]["least"]) == {0}
+
+
+def test_cuts_keep_columns_and_whole_characters(spark):
+    base = "é" * 40 + "x" * 30
+    rows = [(1, base, None, [1]), (2, "è" + base[1:], "a", None), (3, "yy", "b", [])]
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n array<int>").selectExpr("*", "timestamp_seconds(doc_id) t", "cast(doc_id as decimal(20, 3)) d").repartition(3)
+        out = {r["doc_id"]: r for r in substrings.remove_repeats(docs, whole=True).collect()}
+        assert {i: (r["lang"], r["n"], r["t"], r["d"]) for i, r in out.items()} == {r["doc_id"]: (r["lang"], r["n"], r["t"], r["d"]) for r in docs.collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # 109 bytes behind the other letter's first byte and 1 byte that both letters have in common
+    cuts = plain_cuts([r[:2] for r in rows])
+    assert {i: bytes(r["text"]) for i, r in out.items()} == {i: b.decode(errors="ignore").encode() for i, b in cuts.items()}
+
+
 @pytest.mark.parametrize("bits", [64, 8, 2, 0])
 def test_equal_hashes_of_different_bytes(monkeypatch, bits):
     """Contexts of one anchor against brute force, with hashes of so many bits that count."""

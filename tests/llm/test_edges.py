@@ -87,6 +87,26 @@ def test_tokens_equal_the_library(spark, docs, chunk, overlap):
     assert sorted(r["n_tokens"] for r in got) == want
 
 
+def test_one_chunk_needs_no_offsets(monkeypatch):
+    """Texts of one chunk are counted without offsets, in the order of the texts; longer ones are spliced."""
+    asked = []
+    chunks = tokens.Library.chunks
+
+    def seen(self, parts):
+        parts = list(parts)
+        asked.extend(z - a for _, a, z in parts)
+        return chunks(self, parts)
+
+    monkeypatch.setattr(tokens.Library, "chunks", seen)
+    lib = tokens.Library(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["short one", "words of a longer text " * 40, "", "é" * 30, "<|endoftext|> b"]
+    assert tokens.counts(lib, texts, 200, 50) == [len(lib.tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(asked) > 1 and sum(asked) < 2 * len(texts[1])
+    asked.clear()
+    assert tokens.counts(lib, texts, 4096, 128) == [len(lib.tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert asked == []
+
+
 def test_vectors(spark):
     rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0]), (62, [1.0, None, 2.0]), (63, [float("nan"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (64, [1.0]), (5, [5.0, 1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

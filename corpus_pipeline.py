@@ -5,12 +5,10 @@ as the next stage's docs. All but the last return the columns of documents.
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from probity.llm import common, decontam, langid, minhash, mixing, substrings
 
@@ -48,19 +46,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
-@F.pandas_udf(StringType())
-def _whole_characters(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in parts:
-        yield texts.map(lambda x: bytes(x).decode("utf-8", "ignore"), na_action="ignore")
-
-
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that documents of smaller ids hold; a document of nothing else goes.
 
     A cut inside a character takes the rest of the character, too. Null and empty texts and repeated rows stay."""
-    out = substrings.remove_repeats(docs)
-    whole = F.when(F.col("n_removed") == 0, F.col("text").cast("string")).otherwise(_whole_characters(F.col("text")))
-    out = out.where("n_removed = 0 or n_removed < n_bytes").withColumn("text", whole)
+    out = substrings.remove_repeats(docs, whole=True)
+    out = out.where("n_removed = 0 or n_removed < n_bytes").withColumn("text", F.col("text").cast("string"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

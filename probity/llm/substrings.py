@@ -44,7 +44,7 @@ BLOCK = 1 << 16
 #: Text bytes that a range answers for, about; and ranges at least.
 RANGE_BYTES, RANGES = 8 << 20, 64
 #: Found strings that a task gathers before it hands them on to their packs.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Packs whose contexts of one anchor meet at once.
 HOT = 128
 #: Contexts that a range compares at once, about.

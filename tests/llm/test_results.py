@@ -258,6 +258,13 @@ def test_toxicity_runs(spark):
     assert x.score.between(0, 1).all() and x[x.y == 1].score.mean() > x[x.y == 0].score.mean()
 
 
+def test_passages_take_one_python_process_a_task(spark):
+    """Whole characters come from the cut itself: a second Python process beside it cost memory."""
+    out = corpus_pipeline.drop_repeated_passages(spark, spark.read.parquet(f"{DATA}/documents.parquet"), DATA)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" in plan and "ArrowEvalPython" not in plan
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns = docs.columns

@@ -107,6 +107,39 @@ def test_one_chunk_needs_no_offsets(monkeypatch):
     assert asked == []
 
 
+def test_fewer_steps_find_the_same_tokens():
+    """A text that needs fewer steps gets the file's own tokens, offsets and words."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, tok = tokens.Library(path), Tokenizer.from_file(path)
+    printed = ["It's  WE'LL\n\t'tis ''S 'RE12 a-b", "<|endoftext|>x <|ENDOFTEXT|>", "", " \r\n"]
+    composed = ["Été\u3000日本 \u0130st ΣΑΣ 12½", "a\x1cb \x7f\x00 c", "\u0301e \u00a0\u2003x\u0085y", "é<|endoftext|>É"]
+    for texts, fits in ((printed, lib.printed), (composed, lib.composed), (["e\u0301 \u2000 x"], lib.tok)):
+        for t, found, short in zip(texts, lib.encoded(texts, True), lib.encoded(texts, False)):
+            want = tok.encode(t, add_special_tokens=False)
+            assert lib.fitting(t) is fits
+            assert (found.ids, found.offsets, found.word_ids) == (want.ids, want.offsets, want.word_ids) and short.ids == want.ids
+    assert len({id(lib.printed), id(lib.composed), id(lib.tok)}) == 3
+
+
+def test_only_overlaps_need_offsets(monkeypatch):
+    """Chunks of a composed text are encoded without offsets, whatever lies at the cuts."""
+    asked = []
+    chunks = tokens.Library.chunks
+
+    def seen(self, parts):
+        parts = list(parts)
+        asked.extend(z - a for _, a, z in parts)
+        return chunks(self, parts)
+
+    monkeypatch.setattr(tokens.Library, "chunks", seen)
+    lib = tokens.Library(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Words of a longer text, it's été. " * 60, "a " * 1500, "ab" * 1500, "<|endoftext|>" * 200, "x<|endoftext|> y\n" * 150, "'s't " * 500]
+    assert tokens.counts(lib, texts, 400, 40) == [len(lib.tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert asked and sum(asked) < sum(map(len, texts)) / 4
+
+
 def test_vectors(spark):
     rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0]), (62, [1.0, None, 2.0]), (63, [float("nan"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (64, [1.0]), (5, [5.0, 1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

@@ -52,7 +52,7 @@ UNPRINTED = re.compile(r"[^\t-\r -~]")
 class Token(NamedTuple):
     id: int
     start: int  # in the text
-    first: bool  # of a word
+    first: bool  # of a word, and of what its character became: one character may give the ends of two words
 
 
 class Chunk:
@@ -67,7 +67,8 @@ class Chunk:
 
     def token(self, k: int) -> Token:
         e = self.found
-        return Token(self.ids[k], self.at + e.token_to_chars(k)[0], k == 0 or e.token_to_word(k) != e.token_to_word(k - 1))
+        start = e.token_to_chars(k)[0]
+        return Token(self.ids[k], self.at + start, k == 0 or e.token_to_word(k) != e.token_to_word(k - 1) and e.token_to_chars(k - 1)[1] <= start)
 
 
 class Library:

@@ -140,6 +140,14 @@ def test_only_overlaps_need_offsets(monkeypatch):
     assert asked and sum(asked) < sum(map(len, texts)) / 4
 
 
+def test_no_splice_inside_a_character():
+    """Lower-cased, U+0130 is a letter and a mark, the start of a word each, at the same character: 53 for 52 tokens."""
+    lib = tokens.Library(public_tokenizers.path("word_bpe_49k.json"))
+    text = "\u0937r\u0323\n\u03001\nv<|ENDOFTEXT|>\xc9R<|endoftet|>\u0663\n\xdf'\u0301'M\u0130D'a\x85|\u093fD\u03c2 the\nlv\xdfb     \xc9\xb2\u094dd \x85,r"
+    assert not lib.bare(text)
+    assert tokens.counts(lib, [text], 40, 8) == [len(lib.tok.encode(text, add_special_tokens=False).ids)]
+
+
 def test_vectors(spark):
     rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0]), (62, [1.0, None, 2.0]), (63, [float("nan"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (64, [1.0]), (5, [5.0, 1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

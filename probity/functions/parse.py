@@ -37,17 +37,22 @@ def unescape(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def strip_tags(t: Column, entities: bool = True) -> Column:
     """Breaks become newlines, tags go, references are decoded, blanks and newlines squeezed."""
-    s = F.regexp_replace(F.regexp_replace(t, BR, "\n"), TAG, "")
+    s = let(t, lambda x: F.when(F.contains(x, F.lit("<")), F.regexp_replace(F.regexp_replace(x, BR, "\n"), TAG, "")).otherwise(x))
     if entities:
-        s = F.when(F.contains(s, F.lit("&")), unescape(s)).otherwise(s)
-    s = F.regexp_replace(s, r"[ \t\r\f\x0B]+", " ")
-    s = F.regexp_replace(s, r"\n{3,}", "\n\n")
-    return trim(s)
+        s = F.coalesce(unescape(F.when(F.contains(s, F.lit("&")), s)), s)
+
+    def squeezed(x: Column) -> Column:
+        x = F.regexp_replace(x, r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " ")
+        return let(x, lambda y: trim(F.when(F.contains(y, F.lit("\n\n\n")), F.regexp_replace(y, r"\n{3,}", "\n\n")).otherwise(y)))
+
+    return let(s, squeezed)
 
 
 def trim(t: Column) -> Column:
-    """Without white space of any kind at its ends, ASCII separators included."""
-    return F.regexp_replace(t, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    """Without white space of any kind at its ends, ASCII separators included. Most texts begin and end with a
+    printed ASCII character, so the pattern, which tries every position, isn't run over them."""
+    ends = lambda x: F.ascii(F.left(x, F.lit(1))).between(33, 126) & F.ascii(F.right(x, F.lit(1))).between(33, 126)
+    return let(t, lambda x: F.when(ends(x), x).otherwise(F.regexp_replace(x, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")))
 
 
 def tags_to_spaces(t: Column) -> Column:
@@ -139,9 +144,11 @@ def json_array_after(t: Column, key: str) -> Column:
 
     Each escape becomes two plain characters, so a string is what stands between two quotes; strings, brackets
     and the rest in between are the tokens over which the depth is counted, until it is 0."""
-    tail = F.nullif(F.regexp_extract(t, f"(?s)(?:{key})(\\[.*)", 1), F.lit(""))
-    plain = F.regexp_replace(tail, r"(?s)\\.", "\x01\x01")
-    tokens = F.regexp_extract_all(plain, F.lit(r'"[^"]*(?:"|\z)|[\[\]]|[^"\[\]]+'), F.lit(0))
+
+    def tokens(tail: Column) -> Column:
+        plain = F.regexp_replace(tail, r"(?s)\\.", "\x01\x01")
+        return F.regexp_extract_all(plain, F.lit(r'"[^"]*(?:"|\z)|[\[\]]|[^"\[\]]+'), F.lit(0))
+
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
 
     def step(a: Column, x: Column) -> Column:
@@ -149,17 +156,21 @@ def json_array_after(t: Column, key: str) -> Column:
         at = a["at"] + F.length(x)
         return F.when(a["end"] > 0, a).otherwise(F.struct(depth.alias("depth"), at.alias("at"), F.when((depth == 0) & (x == "]"), at).otherwise(0).alias("end")))
 
-    end = F.aggregate(tokens, start, step, lambda a: a["end"])
-    return F.when(end > 0, F.substring(tail, F.lit(1), end))
+    def closed(tail: Column) -> Column:
+        return let(F.aggregate(tokens(tail), start, step, lambda a: a["end"]), lambda end: F.when(end > 0, F.substring(tail, F.lit(1), end)))
+
+    return let(F.regexp_extract(t, f"(?s)(?:{key})(\\[.*)", 1), lambda tail: F.when(tail != "", closed(tail)))
 
 
 def last_of_each(pairs: Column, key: str, value: str) -> Column:
     """A map of an array of structs: the last struct of a key counts; null keys are left out."""
     known = F.transform(pairs, lambda p, i: F.struct(p[key].alias("k"), i.alias("i"), p[value].alias("v")))
     by_key = F.array_sort(F.filter(known, lambda p: p["k"].isNotNull()))
-    both = F.arrays_zip(by_key.alias("a"), F.slice(by_key, F.lit(2), F.size(by_key)).alias("b"))
-    last = F.filter(both, lambda p: F.coalesce(p["a"]["k"] != p["b"]["k"], F.lit(True)))
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["a"]["k"], p["a"]["v"])))
+
+    def last(rows: Column) -> Column:
+        return F.filter(rows, lambda p, i: F.coalesce(p["k"] != F.get(rows, i + 1)["k"], F.lit(True)))
+
+    return F.map_from_entries(F.transform(let(by_key, last), lambda p: F.struct(p["k"], p["v"])))
 
 
 # The spelled numbers.
@@ -171,33 +182,45 @@ def relative_date(t: Column, now: Column, zone: str = "Europe/Moscow") -> Column
     and, whatever follows, 'today/yesterday at ...' and 'N hours/minutes ago' (digits or one to ten). A date
     without a year lies in now's year, or the year before where that were more than a day ahead. Unknown
     months count as January; what fits no form or no calendar is 0. Nothing depends on the session's zone."""
-    s = F.lower(trim(F.coalesce(t, F.lit(""))))
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.timestamp_add("SECOND", now, epoch))
     full = r"(?U)^(\d{1,2})\s+([a-z]{3,5})[a-z]*(?:\s+(\d{4}))?(?:\s+at\s+(\d{1,2}):(\d{2})\s*(am|pm)?)?$"
     near = r"(?U)^(yesterday|today)\s+at\s+(\d{1,2}):(\d{2})\s*(am|pm)?"
     ago = r"(?U)^(\d+|" + "|".join(_NUMBERS) + r")\s+(hour|minute)s?\s+ago"
 
-    def part(pattern: str, i: int) -> Column:
-        return F.regexp_extract(s, pattern, i)
+    def groups(s: Column, pattern: str, n: int) -> Column:
+        # of a text that the whole pattern has matched: one match for all groups
+        return F.split(F.regexp_replace(s, pattern, "\x01".join(f"${i}" for i in range(1, n + 1))), "\x01")
+
+    def number(s: Column) -> Column:
+        return F.when(s != "", s).try_cast("int")  # a cast of an empty text raises and catches an error, which takes longer than all the rest
 
-    def seconds(year: Column, month: Column, day: Column, pattern: str, i: int) -> Column:
-        hour = F.coalesce(part(pattern, i).try_cast("int"), F.lit(0))
-        half = part(pattern, i + 2)
+    def seconds(year: Column, month: Column, day: Column, hour: Column, minute: Column, half: Column) -> Column:
+        hour = F.coalesce(number(hour), F.lit(0))
         hour = F.when((half == "pm") & (hour != 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
-        wall = F.try_make_timestamp_ntz(year, month, day, hour, F.coalesce(part(pattern, i + 1).try_cast("int"), F.lit(0)), F.lit(0))
+        wall = F.try_make_timestamp_ntz(year, month, day, hour, F.coalesce(number(minute), F.lit(0)), F.lit(0))
         return F.timestamp_diff("SECOND", epoch, F.convert_timezone(F.lit(zone), F.lit("UTC"), wall))
 
-    month = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, const.MONTHS)), F.substring(part(full, 2), 1, 3)), F.lit(0)), F.lit(1)).cast("int")
-    in_year = lambda y: seconds(y, month, part(full, 1).try_cast("int"), full, 4)
-    this = in_year(F.year(local))
-    dated = F.when(part(full, 3) != "", in_year(part(full, 3).try_cast("int"))).when(this - now > 86400, in_year(F.year(local) - 1)).otherwise(this)
-    day = F.date_sub(F.to_date(local), F.when(part(near, 1) == "yesterday", 1).otherwise(0))
-    close = seconds(F.year(day), F.month(day), F.day(day), near, 2)
-    spelled = F.array_position(F.array(*map(F.lit, _NUMBERS)), part(ago, 1))
-    n = F.coalesce(part(ago, 1).try_cast("long"), F.nullif(spelled, F.lit(0)))
-    since = now - n * F.when(part(ago, 2) == "hour", 3600).otherwise(60)
-    return F.coalesce(F.when(s.rlike(full), dated).when(s.rlike(near), close).when(s.rlike(ago), since), F.lit(0)).cast("long")
+    def dated(g: Column) -> Column:
+        month = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, const.MONTHS)), F.substring(g[1], 1, 3)), F.lit(0)), F.lit(1)).cast("int")
+        in_year = lambda y: seconds(y, month, g[0].try_cast("int"), g[3], g[4], g[5])
+        this = let(in_year(F.year(local)), lambda x: F.when(x - now > 86400, in_year(F.year(local) - 1)).otherwise(x))
+        return F.when(g[2] != "", in_year(g[2].try_cast("int"))).otherwise(this)
+
+    def close(g: Column) -> Column:
+        day = F.date_sub(F.to_date(local), F.when(g[0] == "yesterday", 1).otherwise(0))
+        return seconds(F.year(day), F.month(day), F.day(day), g[1], g[2], g[3])
+
+    def since(g: Column) -> Column:
+        spelled = F.array_position(F.array(*map(F.lit, _NUMBERS)), g[0])
+        n = F.coalesce(F.when(g[0].rlike(r"(?U)^\d"), g[0]).try_cast("long"), F.nullif(spelled, F.lit(0)))
+        return now - n * F.when(g[1] == "hour", 3600).otherwise(60)
+
+    def found(s: Column) -> Column:
+        rest = r"[\s\S]*"
+        return F.when(s.rlike(full), let(groups(s, full, 6), dated)).when(s.rlike(near), let(groups(s, near + rest, 4), close)).when(s.rlike(ago), let(groups(s, ago + rest, 2), since))
+
+    return F.coalesce(let(F.lower(trim(F.coalesce(t, F.lit("")))), found), F.lit(0)).cast("long")
 
 
 def day_first_date(t: Column) -> Column:

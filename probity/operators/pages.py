@@ -60,10 +60,12 @@ def segments(pages: DataFrame, html: str, starts: list[str], key: str) -> DataFr
 
 def full_text(body: Column) -> Column:
     """A post's text block, its hidden rest behind, without the link to it."""
-    inner = F.coalesce(pick(body, TEXT_BLOCK), F.lit(""))
-    hidden = F.regexp_extract_all(inner, F.lit(HIDDEN), F.lit(1))
-    rest = F.when(F.size(hidden) > 0, F.concat(F.lit("\n\n"), F.array_join(hidden, "\n\n"))).otherwise("")
-    return P.strip_tags(F.concat(F.regexp_replace(inner, MORE_LINK, ""), rest))
+
+    def whole(inner: Column) -> Column:
+        rest = P.let(F.regexp_extract_all(inner, F.lit(HIDDEN), F.lit(1)), lambda hidden: F.when(F.size(hidden) > 0, F.concat(F.lit("\n\n"), F.array_join(hidden, "\n\n"))).otherwise(""))
+        return F.concat(F.regexp_replace(inner, MORE_LINK, ""), rest)
+
+    return P.strip_tags(P.let(F.coalesce(pick(body, TEXT_BLOCK), F.lit("")), whole))
 
 
 def problems(dates: dict[str, tuple[Column, Column]], counts: dict[str, tuple[Column, Column]]) -> Column:
@@ -126,7 +128,12 @@ def thread_links(html: Column) -> Column:
 def prefetched(html: Column) -> Column:
     """The map of method to response (JSON text) in a profile page; the last of a method counts. Null without
     the array of responses, or where it isn't JSON."""
-    items = F.from_json(P.json_array_after(html, PREFETCH), "array<struct<method string, response string>>")
+    return responses(P.json_array_after(html, PREFETCH))
+
+
+def responses(found: Column) -> Column:
+    """The map of method to response of the array of responses."""
+    items = F.from_json(found, "array<struct<method string, response string>>")
     return P.last_of_each(F.filter(items, lambda x: x["method"] != ""), "method", "response")
 
 
@@ -149,7 +156,8 @@ def profile_bundles(pages: DataFrame, html: str = "html", key: str = "page_id")
     Missing free texts are empty; list counts override the user's own counters."""
     x = pages.select(key, prefetched(F.col(html)).alias("m"))
     get = lambda method, kind: F.from_json(F.try_element_at("m", F.lit(method)), kind)
-    x = x.select(key, F.get(get("users.get", USER), F.lit(0)).alias("u"), get("friends.get", PERSON).alias("fr"), get("users.getFollowers", PERSON).alias("fo"), get("users.getSubscriptions", GROUPS).alias("su"), get("photos.get", PHOTOS).alias("ph"), get("video.get", VIDEOS).alias("vi")).where("u.id is not null")
+    parts = F.struct(F.get(get("users.get", USER), F.lit(0)).alias("u"), get("friends.get", PERSON).alias("fr"), get("users.getFollowers", PERSON).alias("fo"), get("users.getSubscriptions", GROUPS).alias("su"), get("photos.get", PHOTOS).alias("ph"), get("video.get", VIDEOS).alias("vi"))
+    x = x.select(key, F.inline_outer(F.array(parts))).where("u.id is not null")  # a condition isn't pushed below it, which would read all JSON twice
     own = lambda c: F.try_element_at("u.counters", F.lit(c)).try_cast("long")
     over = {"friends": "fr.count", "followers": "fo.count", "subscriptions": "su.count", "photos": "ph.count", "videos": "vi.count"}
     names = ["albums", "audios", "followers", "friends", "groups", "online_friends", "pages", "photos", "subscriptions", "videos", "video_playlists", "mutual_friends", "clips_followers", "clips_views", "clips_likes"]
@@ -167,11 +175,15 @@ def profile_bundles(pages: DataFrame, html: str = "html", key: str = "page_id")
 def profile_problems(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     """(key, field, reason, value) of pages that give no profile: without the array of responses, with one that
     isn't JSON, or without a user in it."""
-    found = P.json_array_after(F.col(html), PREFETCH)
-    m = prefetched(F.col(html))
-    user = F.get(F.from_json(F.try_element_at(m, F.lit("users.get")), USER), F.lit(0))["id"]
-    reason = F.when(~F.coalesce(F.col(html), F.lit("")).rlike(PREFETCH), "no responses").when(found.isNull(), "array without end").when(m.isNull(), "broken JSON").when(user.isNull(), "no user")
-    return pages.select(key, F.lit("html").alias("field"), reason.alias("reason"), F.substring(F.coalesce(found, F.col(html)), 1, 200).alias("value")).where("reason is not null")
+    user = lambda m: F.get(F.from_json(F.try_element_at(m, F.lit("users.get")), USER), F.lit(0))["id"]
+
+    def told(found: Column) -> Column:
+        wrong = P.let(responses(found), lambda m: F.when(m.isNull(), "broken JSON").when(user(m).isNull(), "no user"))
+        reason = F.when(~F.coalesce(F.col(html), F.lit("")).rlike(PREFETCH), "no responses").when(found.isNull(), "array without end").otherwise(wrong)
+        return F.struct(reason.alias("reason"), F.substring(F.coalesce(found, F.col(html)), 1, 200).alias("value"))
+
+    rows = pages.select(key, F.inline_outer(F.array(P.let(P.json_array_after(F.col(html), PREFETCH), told))))
+    return rows.where("reason is not null").select(key, F.lit("html").alias("field"), "reason", "value")
 
 
 def children(bundles: DataFrame, array: str) -> DataFrame:

@@ -155,3 +155,16 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["user"], r["n"]) for r in spark.table("rates").collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_profile_pages_are_read_once(spark):
+    """The condition on the user isn't pushed below the parsed JSON, where all of it would be parsed again."""
+    from probity.operators import pages as G
+
+    pages = spark.createDataFrame([("a", '<script>{"apiPrefetchCache":[{"method":"users.get","response":[{"id":7,"status":"x"}]}]}</script>'), ("b", "none"), ("c", '"apiPrefetchCache":[{"method":"users.get","response":[]}]'), ("d", '"apiPrefetchCache":[{]')], "page_id string, html string")
+    bundles, problems = G.profile_bundles(pages), G.profile_problems(pages)
+    assert [(r["page_id"], r["profile"]["user_id"], r["profile"]["status"]) for r in bundles.collect()] == [("a", 7, "x")]
+    assert {r["page_id"]: r["reason"] for r in problems.collect()} == {"b": "no responses", "c": "no user", "d": "broken JSON"}
+    for df in (bundles, problems):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("(?s)(?:(?i)") == 1

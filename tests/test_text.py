@@ -1,4 +1,7 @@
 """Hand-computed cases of the text and parsing functions."""
+import math
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +73,29 @@ def test_entropy(spark, value, want):
 def test_function(spark, f, value, want):
     got = one(spark, value, f)
     assert got == (pytest.approx(want) if isinstance(want, float) else want)
+
+
+def test_entropy_sorts_no_characters(spark):
+    texts = ["", "a", "aa", "Aab", "😀😀x", "éÉ", None, "".join(chr(0x4E00 + i) for i in range(6000))] + ["word %d" % i for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select("i", T.entropy(F.col("t")).alias("e"), T.letters(F.col("t")).alias("n"))
+    got = {r["i"]: (r["e"], r["n"]) for r in df.collect()}
+
+    def want(t):
+        c = Counter(t.lower()) if t else {}
+        n = sum(c.values())
+        return -sum(k / n * math.log2(k / n) for k in c.values()) if n > 1 else 0.0
+
+    for i, t in enumerate(texts):
+        assert abs(got[i][0] - want(t)) < 1e-9
+        assert got[i][1] == sum(x.isalpha() for x in t or "")
+    assert "array_sort" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_of_linguistic_features_are_found_once(spark):
+    from probity.operators import profile_features as P
+
+    rows = spark.createDataFrame([(1, 7, "One two. Two three!"), (2, 7, "two"), (3, 8, "x"), (4, -1, "y")], "id long, from_id long, text string")
+    out = P.linguistic(rows)
+    assert {r["user_id"]: (r["vocab_size"], round(r["mattr"], 6)) for r in out.collect()} == {7: (3, 0.6), 8: (1, 1.0)}
+    # the sentences' words alone are looked for behind the stored ones
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2
